@@ -37,10 +37,11 @@ def poisson1_cuts(upto: int = 10) -> list[float]:
 
 def poisson1(u: Column) -> Column:
     """Poisson(1) count for a uniform draw: how many CDF cut points lie at or below it."""
-    weight = F.lit(0)
-    for cut in poisson1_cuts():
-        weight = weight + (u >= F.lit(cut)).cast("int")
-    return weight
+    cuts = poisson1_cuts()
+    case = F.when(u < F.lit(cuts[0]), 0)
+    for k, cut in enumerate(cuts[1:], start=1):
+        case = case.when(u < F.lit(cut), k)
+    return case.otherwise(len(cuts))
 
 
 def micros_between(later: Column | str, earlier: Column | str) -> Column:

@@ -11,6 +11,7 @@ mode='poisson'      independent Poisson(1) weights; one narrow pass, no index, n
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from stampline.session import pinned
 
 #: Replicate number that stands for the observed sample, every entity once.
 OBSERVED = -1
+#: Largest entities x replicates product whose draws are broadcast (about 32 bytes each).
+BROADCAST_DRAWS = 2_000_000
 
 
 def dense_index(entities: DataFrame, entity: str) -> DataFrame:
@@ -41,21 +44,34 @@ def dense_index(entities: DataFrame, entity: str) -> DataFrame:
     )
 
 
-def entity_draws(entities: DataFrame, entity: str, n_boot: int, seed: int = 0,
-                 mode: str = "multinomial") -> DataFrame:
-    """(entity, draws): draws = array of (rep, w), w > 0, plus the observed sample at rep -1.
+@dataclass(frozen=True)
+class Draws:
+    """One row (entity, draws) per entity; draws = array of (rep, w), w > 0.
 
-    The array is bounded by n_boot + 1, whatever the data.
+    The array also holds the observed sample at rep -1 and is bounded by n_boot + 1,
+    whatever the data. `small` says the whole table was counted and fits a broadcast.
     """
+
+    table: DataFrame
+    n_entities: int
+    small: bool
+
+
+def entity_draws(entities: DataFrame, entity: str, n_boot: int, seed: int = 0,
+                 mode: str = "multinomial") -> Draws:
+    """Replicate weights of every entity."""
     observed = F.array(F.struct(F.lit(OBSERVED).alias("rep"), F.lit(1).alias("w")))
     if mode == "poisson":
         keys = entities.select(entity).where(F.col(entity).isNotNull()).distinct()
-        drawn = F.transform(
-            F.sequence(F.lit(0), F.lit(n_boot - 1)),
-            lambda b: F.struct(b.alias("rep"),
-                               poisson1(uniform(F.lit(seed), b, F.col(entity))).alias("w")))
-        drawn = F.filter(drawn, lambda s: s["w"] > 0)
-        return keys.select(entity, F.concat(observed, drawn).alias("draws"))
+        packed = (
+            keys.select(entity, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+            .withColumn("_u", uniform(F.lit(seed), F.col("rep"), F.col(entity)))
+            .withColumn("w", poisson1(F.col("_u"))).where(F.col("w") > 0)
+            .groupBy(entity).agg(F.collect_list(F.struct("rep", "w")).alias("drawn"))
+        )
+        size = keys.count()
+        return Draws(keys.join(packed, entity, "left").select(entity, packed_draws(observed)),
+                     size, size * n_boot <= BROADCAST_DRAWS)
     if mode != "multinomial":
         raise ValueError(f"mode must be 'multinomial' or 'poisson', not {mode!r}")
     index = pinned(dense_index(entities, entity))
@@ -67,30 +83,36 @@ def entity_draws(entities: DataFrame, entity: str, n_boot: int, seed: int = 0,
     picked = F.floor(uniform(F.lit(seed), F.col("rep"), F.col("slot")) * size)
     counts = slots.groupBy("rep", picked.alias("idx")).agg(F.count(F.lit(1)).cast("int").alias("w"))
     packed = counts.groupBy("idx").agg(F.collect_list(F.struct("rep", "w")).alias("drawn"))
-    return index.join(packed, "idx", "left").select(
-        entity,
-        F.when(F.col("drawn").isNull(), observed).otherwise(F.concat(observed, "drawn")).alias("draws"))
+    return Draws(index.join(packed, "idx", "left").select(entity, packed_draws(observed)),
+                 size, size * n_boot <= BROADCAST_DRAWS)
+
+
+def packed_draws(observed: Column) -> Column:
+    drawn = F.when(F.col("drawn").isNull(), observed).otherwise(F.concat(observed, "drawn"))
+    return drawn.alias("draws")
 
 
 def cluster_weights(entities: DataFrame, entity: str, n_boot: int, seed: int = 0,
                     mode: str = "multinomial") -> DataFrame:
     """(rep, entity, w) for rep 0..n_boot-1; entities that were not drawn have no row."""
     return (
-        entity_draws(entities, entity, n_boot, seed, mode)
+        entity_draws(entities, entity, n_boot, seed, mode).table
         .select(entity, F.explode("draws").alias("_d"))
         .select(F.col("_d.rep").alias("rep"), entity, F.col("_d.w").cast("bigint").alias("w"))
         .where(F.col("rep") >= 0)
     )
 
 
-def with_replicates(frame: DataFrame, draws: DataFrame, entity: str) -> DataFrame:
+def with_replicates(frame: DataFrame, draws: Draws, entity: str) -> DataFrame:
     """Repeat each row once per replicate that drew its entity, with the multiplicity `w`.
 
-    The join moves one small array per entity; adaptive execution broadcasts it when it is
-    small and splits a hot entity when it is not. The rows multiply only after the join.
+    A counted-small draw table is broadcast, so the rows keep their partitioning (score ranges
+    stay together and pre-aggregate well). Otherwise one small array per entity is joined by
+    key and adaptive execution splits a hot entity. Rows multiply only after the join.
     """
+    table = F.broadcast(draws.table) if draws.small else draws.table
     return (
-        frame.join(draws, entity)
+        frame.join(table, entity)
         .select("*", F.explode("draws").alias("_d"))
         .withColumns({"rep": F.col("_d.rep"), "w": F.col("_d.w").cast("double")})
         .drop("draws", "_d")
@@ -134,6 +156,5 @@ def clustered_stat_ci(frame: DataFrame, entity: str,
     draws = entity_draws(entities, entity, n_boot, seed, mode)
     rows = with_replicates(frame, draws, entity)
     values = statistic(rows, ["rep", *by])
-    groups = entities.where(F.col(entity).isNotNull()) \
-        .agg(F.countDistinct(entity).alias("n_groups"))
-    return summarise(values, by, n_boot, level=level).crossJoin(groups)
+    return summarise(values, by, n_boot, level=level) \
+        .withColumn("n_groups", F.lit(draws.n_entities).cast("bigint"))

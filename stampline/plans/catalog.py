@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stampline.plans import discrimination_queries  # noqa: F401
+from stampline.plans import discrimination_queries, inference_queries  # noqa: F401
 from stampline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
