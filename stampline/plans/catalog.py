@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from stampline.plans import discrimination_queries, inference_queries  # noqa: F401
+from stampline.plans import (  # noqa: F401
+    cohort_queries, feature_queries, discrimination_queries, inference_queries,
+)
 from stampline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
