@@ -212,13 +212,13 @@ def inject_leak(df: DataFrame, feature: str, late: str, key: str, share: int = 2
     return numbered.withColumn(STAMP + feature, stamp).drop("_row")
 
 
-def dense_rows(df: DataFrame, key: str) -> tuple[DataFrame, int]:
+def dense_rows(df: DataFrame, *key: str) -> tuple[DataFrame, int]:
     """Zero-based row numbers in key order, and the row count."""
-    ranged = pinned(df.repartitionByRange(key).withColumn("_range", F.spark_partition_id()))
+    ranged = pinned(df.repartitionByRange(*key).withColumn("_range", F.spark_partition_id()))
     across = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_off"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*key)) - 1
     # One offset per range: bounded by the number of shuffle partitions.
     out = ranged.withColumn("_p", place).join(F.broadcast(offsets), "_range") \
         .withColumn("_row", F.col("_p") + F.col("_off")).drop("_p", "_off", "_range")

@@ -110,7 +110,7 @@ def f7(spark, sf):
 
 def newton_sql(source: str, keys: str, slope: bool, name: str, steps: int = 15) -> str:
     """CTE {name} (keys, a, b): plain Newton unrolled over `source` (keys, x, n, pos)."""
-    out = [f"{name}_0 as materialized (select distinct {keys}, 0.0::double as a, 1.0::double as b from {source})"]
+    out = [f"{name}_0 as materialized (select distinct {keys}, 0.0::double as a, {0 if slope else 1}::double as b from {source})"]
     for i in range(steps):
         step = ("a + coalesce((h11 * g0 - h01 * g1) / nullif(h00 * h11 - h01 * h01, 0), 0) as a, "
                 "b + coalesce((h00 * g1 - h01 * g0) / nullif(h00 * h11 - h01 * h01, 0), 0) as b" if slope

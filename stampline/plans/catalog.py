@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from stampline.plans import (  # noqa: F401
-    cohort_queries, feature_queries, matching_queries, discrimination_queries,
-    inference_queries, calibration_queries,
+    source_queries, cohort_queries, feature_queries, matching_queries, discrimination_queries,
+    inference_queries, calibration_queries, arm_queries, signal_queries,
 )
 from stampline.plans.registry import ORACLES, QUERIES
 
