@@ -54,9 +54,8 @@ def fit_gbt_arm(matrix: DataFrame, label: str, numeric: list[str], categorical:
                 trial: dict | None = None, seed: int = 0, max_iter: int = 30):
     """Boosted trees on the train split, stopped early on the validation split.
 
-    NULL numbers get a missing indicator and the train median's place is taken by the
-    imputation constant below every value, so a split can isolate them; NULL categories are a
-    level of their own.
+    A NULL number gets an indicator and a constant below every value, so one split can isolate
+    it; a NULL category is a level of its own. Spark stops on validation loss, not on AUROC.
     """
     rows = with_tree_columns(matrix, label, numeric, categorical).where(F.col(split).isin("train", "val")) \
         .withColumn("is_val", F.col(split) == "val")

@@ -76,14 +76,21 @@ def informative_strata(df: DataFrame, y: str, stratum: str, entity: str,
     return good.groupBy(*by).agg(*strata_agg).join(kept.groupBy(*by).agg(people), by)
 
 
+def seeds_seen(seeds: list[int]) -> Column:
+    """How many of the declared seeds a group holds: one bit each, no distinct shuffle."""
+    bit = F.lit(0).cast("bigint")
+    for i, s in enumerate(dict.fromkeys(seeds)):
+        bit = F.when(F.col("seed") == s, F.lit(1 << i).cast("bigint")).otherwise(bit)
+    return F.bit_count(F.bit_or(bit))
+
+
 def seed_pool(preds: DataFrame, seeds: list[int], keys: list[str], item: str = "item_id",
               carry: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """Mean score per item over the seeds; only items scored by every seed stay."""
     mean = F.avg("score") if digits is None else F.round(F.avg("score"), digits)
     return (
         preds.where(F.col("seed").isin(*seeds)).groupBy(*keys, item)
-        .agg(*[F.first(c).alias(c) for c in (carry or [])],
-             mean.alias("score"), F.countDistinct("seed").alias("_n"))
+        .agg(*[F.first(c).alias(c) for c in (carry or [])], mean.alias("score"), seeds_seen(seeds).alias("_n"))
         .where(F.col("_n") == len(set(seeds))).drop("_n")
     )
 
