@@ -12,14 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stampline.functions.expr import ratio
-from stampline.functions.histogram import (
-    RANGE, ordered_pairs, pair_share, score_histogram, tag_ranges,
-)
+from stampline.functions.histogram import score_histogram
+from stampline.functions.replicates import replicate_pairs
 from stampline.operators.discrimination import (
-    auroc, concordance_pairs, join_arms, rank_correlation, within_stratum_concordance,
+    auroc, join_arms, rank_correlation, within_stratum_concordance,
 )
 from stampline.operators.resampling import (
-    OBSERVED, clustered_stat_ci, entity_draws, summarise, with_replicates,
+    OBSERVED, Draws, entity_draws, summarise, with_weights,
 )
 from stampline.session import pinned
 
@@ -29,38 +28,40 @@ BASE = 0.5
 # ---- replicate tables -------------------------------------------------------
 
 def entity_histogram(df: DataFrame, y: str, score: str, entity: str, keys: list[str],
-                     extra: list[str] | None = None) -> DataFrame:
-    """Histogram per (keys, extra, entity, score), cut into score ranges and written once.
+                     stratum: str | None = None) -> DataFrame:
+    """Histogram per (keys, stratum, entity, score), written once in score order.
 
-    The number of ranges is fixed, so small inputs keep their parallelism when the rows
-    multiply by the replicates.
+    Rows are range-partitioned by (keys, stratum, score, entity), so partitions stay even when
+    one cell, stratum or score holds most rows. The number of ranges is fixed, so small inputs
+    keep their parallelism when replicates come in.
     """
-    hist = score_histogram(df.where(F.col(entity).isNotNull()), y, score,
-                           [*keys, *(extra or []), entity])
+    groups = [*keys, *([stratum] if stratum else [])]
+    hist = score_histogram(df.where(F.col(entity).isNotNull()), y, score, [*groups, entity])
+    order = [*groups, "score", entity]
     ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pinned(tag_ranges(hist, keys, ranges))
-
+    return pinned(hist.repartitionByRange(ranges, *order).sortWithinPartitions(*order))
 
-def weighted_auroc(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, value) from replicated histogram rows."""
-    hist = rows.groupBy(*keys, RANGE, "score").agg(
-        F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
-    return ordered_pairs(hist, keys).select(*keys, pair_share().alias("value"))
 
+def replicate_statistic(hist: DataFrame, draws: Draws, entity: str, keys: list[str],
+                        stratum: str | None = None) -> DataFrame:
+    """(rep, keys, value): AUROC, or concordance inside strata, of every cell on every draw.
 
-def weighted_concordance(rows: DataFrame, keys: list[str], stratum: str) -> DataFrame:
-    """(keys, value) counting only pairs of one stratum."""
-    hist = rows.groupBy(*keys, stratum, RANGE, "score").agg(
-        F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
-    return concordance_pairs(hist, keys, stratum) \
-        .select(*keys, pair_share(pairs=F.col("pairs")).alias("value"))
+    With broadcast draws the rows stay where they are; with joined draws they are put back in
+    score order, each carrying two bytes per replicate.
+    """
+    order = [*keys, *([stratum] if stratum else []), "score", entity]
+    rows = with_weights(hist, draws, entity)
+    if not draws.small:
+        ranges = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.repartitionByRange(ranges, *order)
+    return replicate_pairs(rows.sortWithinPartitions(*order), keys, stratum)
 
 
 def replicate_auroc(hist: DataFrame, entity: str, keys: list[str], n_boot: int, seed: int = 0,
                     mode: str = "multinomial", universe: DataFrame | None = None) -> DataFrame:
-    """(rep, keys, value): AUROC of every cell on every draw; rep -1 is the observed sample."""
+    """(rep, keys, value) on fresh draws; rep -1 is the observed sample."""
     draws = entity_draws(universe if universe is not None else hist, entity, n_boot, seed, mode)
-    return weighted_auroc(with_replicates(hist, draws, entity), ["rep", *keys])
+    return replicate_statistic(hist, draws, entity, keys)
 
 
 def cell_counts(hist: DataFrame, entity: str, keys: list[str]) -> DataFrame:
@@ -138,10 +139,10 @@ def clustered_concordance_ci(df: DataFrame, y: str, score: str, stratum: str, en
                              by: list[str], n_boot: int, seed: int = 0,
                              mode: str = "multinomial") -> DataFrame:
     """Within-stratum concordance with an entity-clustered interval."""
-    hist = entity_histogram(df.where(F.col(stratum).isNotNull()), y, score, entity, by, [stratum])
-    return clustered_stat_ci(
-        hist, entity, lambda rows, keys: weighted_concordance(rows, keys, stratum),
-        by, n_boot, seed, mode)
+    hist = entity_histogram(df.where(F.col(stratum).isNotNull()), y, score, entity, by, stratum)
+    draws = entity_draws(hist, entity, n_boot, seed, mode)
+    reps = replicate_statistic(hist, draws, entity, by, stratum)
+    return summarise(reps, by, n_boot).withColumn("n_groups", F.lit(draws.n_entities).cast("bigint"))
 
 
 # ---- ratios -----------------------------------------------------------------
@@ -204,11 +205,11 @@ def matched_replicates(rows: DataFrame, base: str, wave: str, stratum: str, by:
     per = rows.groupBy(*keys, stratum).agg(F.min("y").alias("_lo"), F.max("y").alias("_hi"))
     good = per.where((F.col("_lo") == 0) & (F.col("_hi") == 1)).select(*keys, stratum)
     kept = rows.join(good, [*keys, stratum], "left_semi")
-    hist = entity_histogram(kept, "y", "score", entity, keys, [stratum])
+    hist = entity_histogram(kept, "y", "score", entity, keys)
+    strat = entity_histogram(kept, "y", "score", entity, keys, stratum)
     draws = entity_draws(hist, entity, n_boot, seed, mode)
-    reps = with_replicates(hist, draws, entity)
-    within = weighted_concordance(reps, ["rep", *keys], stratum).withColumnRenamed("value", "within")
-    plain = weighted_auroc(reps, ["rep", *keys]).withColumnRenamed("value", "plain")
+    within = replicate_statistic(strat, draws, entity, keys, stratum).withColumnRenamed("value", "within")
+    plain = replicate_statistic(hist, draws, entity, keys).withColumnRenamed("value", "plain")
     both = within.join(plain, ["rep", *keys])
 
     def of(arm: str, col: str, name: str) -> Column:

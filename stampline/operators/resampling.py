@@ -13,6 +13,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ from stampline.session import pinned
 
 #: Replicate number that stands for the observed sample, every entity once.
 OBSERVED = -1
-#: Largest entities x replicates product whose draws are broadcast (about 32 bytes each).
-BROADCAST_DRAWS = 2_000_000
+#: Largest entities x replicates product whose draws are broadcast (two bytes each).
+BROADCAST_DRAWS = 50_000_000
 
 
 def dense_index(entities: DataFrame, entity: str) -> DataFrame:
@@ -46,10 +48,10 @@ def dense_index(entities: DataFrame, entity: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Draws:
-    """One row (entity, draws) per entity; draws = array of (rep, w), w > 0.
+    """One row (entity, w) per entity; w = multiplicities as a dense array.
 
-    The array also holds the observed sample at rep -1 and is bounded by n_boot + 1,
-    whatever the data. `small` says the whole table was counted and fits a broadcast.
+    w[0] is the observed sample (always 1), w[b + 1] is replicate b, so the array is bounded by
+    n_boot + 1 whatever the data. `small` says the whole table was counted and fits a broadcast.
     """
 
     table: DataFrame
@@ -60,62 +62,68 @@ class Draws:
 def entity_draws(entities: DataFrame, entity: str, n_boot: int, seed: int = 0,
                  mode: str = "multinomial") -> Draws:
     """Replicate weights of every entity."""
-    observed = F.array(F.struct(F.lit(OBSERVED).alias("rep"), F.lit(1).alias("w")))
     if mode == "poisson":
-        keys = entities.select(entity).where(F.col(entity).isNotNull()).distinct()
-        packed = (
-            keys.select(entity, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+        index = entities.select(entity).where(F.col(entity).isNotNull()).distinct()
+        size = index.count()
+        drawn = (
+            index.select(entity, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
             .withColumn("_u", uniform(F.lit(seed), F.col("rep"), F.col(entity)))
-            .withColumn("w", poisson1(F.col("_u"))).where(F.col("w") > 0)
-            .groupBy(entity).agg(F.collect_list(F.struct("rep", "w")).alias("drawn"))
+            .withColumn("_w", poisson1(F.col("_u")))
+            .select(entity, F.explode(F.array_repeat("rep", F.col("_w"))).alias("rep"))
         )
-        size = keys.count()
-        return Draws(keys.join(packed, entity, "left").select(entity, packed_draws(observed)),
-                     size, size * n_boot <= BROADCAST_DRAWS)
-    if mode != "multinomial":
+        key = entity
+    elif mode == "multinomial":
+        index = pinned(dense_index(entities, entity))
+        size = index.count()
+        slots = entities.sparkSession.range(n_boot * size).select(
+            F.expr(f"cast(id div {max(size, 1)} as int)").alias("rep"),
+            (F.col("id") % max(size, 1)).alias("slot"))
+        picked = F.floor(uniform(F.lit(seed), F.col("rep"), F.col("slot")) * size)
+        drawn = slots.select(picked.alias("idx"), "rep")
+        key = "idx"
+    else:
         raise ValueError(f"mode must be 'multinomial' or 'poisson', not {mode!r}")
-    index = pinned(dense_index(entities, entity))
-    size = index.count()
-    spark = entities.sparkSession
-    slots = spark.range(n_boot * size).select(
-        F.expr(f"cast(id div {max(size, 1)} as int)").alias("rep"),
-        (F.col("id") % max(size, 1)).alias("slot"))
-    picked = F.floor(uniform(F.lit(seed), F.col("rep"), F.col("slot")) * size)
-    counts = slots.groupBy("rep", picked.alias("idx")).agg(F.count(F.lit(1)).cast("int").alias("w"))
-    packed = counts.groupBy("idx").agg(F.collect_list(F.struct("rep", "w")).alias("drawn"))
-    return Draws(index.join(packed, "idx", "left").select(entity, packed_draws(observed)),
-                 size, size * n_boot <= BROADCAST_DRAWS)
 
+    @F.pandas_udf("array<smallint>")
+    def dense(reps: pd.Series) -> pd.Series:
+        return reps.map(lambda r: np.concatenate(
+            [[1], np.bincount(np.asarray([] if r is None else r, dtype=np.int64), minlength=n_boot)]).astype(np.int16))
 
-def packed_draws(observed: Column) -> Column:
-    drawn = F.when(F.col("drawn").isNull(), observed).otherwise(F.concat(observed, "drawn"))
-    return drawn.alias("draws")
+    # One entity is drawn about n_boot times in all, so its list is short.
+    packed = drawn.groupBy(key).agg(F.collect_list("rep").alias("reps"))
+    table = index.join(packed, key, "left").select(entity, dense("reps").alias("w"))
+    return Draws(table, size, size * n_boot <= BROADCAST_DRAWS)
 
 
 def cluster_weights(entities: DataFrame, entity: str, n_boot: int, seed: int = 0,
                     mode: str = "multinomial") -> DataFrame:
     """(rep, entity, w) for rep 0..n_boot-1; entities that were not drawn have no row."""
-    return (
-        entity_draws(entities, entity, n_boot, seed, mode).table
-        .select(entity, F.explode("draws").alias("_d"))
-        .select(F.col("_d.rep").alias("rep"), entity, F.col("_d.w").cast("bigint").alias("w"))
-        .where(F.col("rep") >= 0)
-    )
+    draws = entity_draws(entities, entity, n_boot, seed, mode).table
+    return draws.select(entity, F.posexplode("w").alias("_i", "w")) \
+        .where((F.col("_i") > 0) & (F.col("w") > 0)) \
+        .select((F.col("_i") - 1).alias("rep"), entity, F.col("w").cast("bigint").alias("w"))
+
+
+def with_weights(frame: DataFrame, draws: Draws, entity: str) -> DataFrame:
+    """Attach each row's dense weights `w`.
+
+    A counted-small draw table is broadcast, so the rows keep their partitioning. Otherwise one
+    small array per entity is joined by key and adaptive execution splits a hot entity.
+    """
+    return frame.join(F.broadcast(draws.table) if draws.small else draws.table, entity)
 
 
 def with_replicates(frame: DataFrame, draws: Draws, entity: str) -> DataFrame:
     """Repeat each row once per replicate that drew its entity, with the multiplicity `w`.
 
-    A counted-small draw table is broadcast, so the rows keep their partitioning (score ranges
-    stay together and pre-aggregate well). Otherwise one small array per entity is joined by
-    key and adaptive execution splits a hot entity. Rows multiply only after the join.
+    For statistics that must see rows; pre-aggregate per entity first. Rows multiply only after
+    the join.
     """
-    table = F.broadcast(draws.table) if draws.small else draws.table
+    cols = frame.columns
     return (
-        frame.join(table, entity)
-        .select("*", F.explode("draws").alias("_d"))
-        .withColumns({"rep": F.col("_d.rep"), "w": F.col("_d.w").cast("double")})
-        .drop("draws", "_d")
+        with_weights(frame, draws, entity)
+        .select(*cols, F.posexplode("w").alias("_i", "w")).where(F.col("w") > 0)
+        .select(*cols, (F.col("_i") - 1).alias("rep"), F.col("w").cast("double").alias("w"))
     )
 
 
