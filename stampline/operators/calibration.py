@@ -111,16 +111,32 @@ def one_task_holds(hist: DataFrame, keys: list[str], score: str = "score") -> bo
 
 def ece_ci(df: DataFrame, y: str, p: str, entity: str, k: int, scheme: str, by: list[str], n_boot: int,
            seed: int = 0, mode: str = "multinomial") -> DataFrame:
-    """ECE interval; every replicate finds its own bins from the running replicate weight."""
-    hist = pinned(score_histogram(df.where(F.col(entity).isNotNull()), y, p, [*by, entity]))
-    small = one_task_holds(hist, by)
-
-    def statistic(rows: DataFrame, keys: list[str]) -> DataFrame:
-        weighted = rows.groupBy(*keys, "score").agg(
-            F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
-        return ece_of(reliability_of(binned_histogram(weighted, keys, k, scheme, small), keys), keys, "value")
+    """ECE interval; every replicate finds its own bins.
 
-    out = clustered_stat_ci(hist, entity, statistic, by, n_boot, seed, mode).drop("p_value")
+    Equal-width bins are fixed by the score, so rows shrink to one per (entity, bin) before the
+    replicates come in. Equal-mass bins follow the running replicate weight.
+    """
+    rows = df.where(F.col(entity).isNotNull())
+    if scheme == "equal_width":
+        hist = score_histogram(rows, y, p, [*by, entity]).withColumns({
+            "n": F.col("pos") + F.col("neg"), "bin": width_bin(F.col("score"), k)})
+        frame = pinned(hist.groupBy(*by, entity, "bin").agg(
+            F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("score") * F.col("n")).alias("sp")))
+
+        def statistic(reps: DataFrame, keys: list[str]) -> DataFrame:
+            n, sp, sy = [F.sum(F.col(c) * F.col("w")) for c in ("n", "sp", "pos")]
+            curve = reps.groupBy(*keys, "bin").agg(n.alias("n"), (sy / n - sp / n).alias("gap"))
+            return ece_of(curve, keys, "value")
+    else:
+        frame = pinned(score_histogram(rows, y, p, [*by, entity]))
+        small = one_task_holds(frame, by)
+
+        def statistic(reps: DataFrame, keys: list[str]) -> DataFrame:
+            weighted = reps.groupBy(*keys, "score").agg(
+                F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
+            return ece_of(reliability_of(binned_histogram(weighted, keys, k, scheme, small), keys), keys, "value")
+
+    out = clustered_stat_ci(frame, entity, statistic, by, n_boot, seed, mode).drop("p_value")
     return out.withColumn("point_below_ci_lo", F.col("estimate") < F.col("ci_lo"))
 
 

@@ -193,6 +193,13 @@ def recovery_ratio_fixed_denominator(df: DataFrame, denominators: DataFrame, ent
     )
 
 
+def stratified_rows(pooled: DataFrame, strata: DataFrame, arms: list[str], by: list[str], item: str,
+                    entity: str, stratum: str) -> DataFrame:
+    """Common rows of the arms with their stratum, written once because several passes follow."""
+    rows = common_rows(pooled, arms, by, item, [entity, "y"])
+    return pinned(rows.join(strata.select(item, stratum).where(F.col(stratum).isNotNull()), item))
+
+
 def matched_replicates(rows: DataFrame, base: str, wave: str, stratum: str, by: list[str],
                        item: str, entity: str, n_boot: int, seed: int = 0,
                        mode: str = "multinomial") -> tuple[DataFrame, DataFrame]:
@@ -225,8 +232,7 @@ def gain_retained(pooled: DataFrame, strata: DataFrame, base: str, wave: str, by
                   item: str, entity: str, n_boot: int, threshold: float, stratum: str = "stratum",
                   seed: int = 0, mode: str = "multinomial") -> DataFrame:
     """How much of the gain of `wave` over `base` survives inside strata, in both readings."""
-    rows = common_rows(pooled, [base, wave], by, item, [entity, "y"]) \
-        .join(strata.select(item, stratum).where(F.col(stratum).isNotNull()), item)
+    rows = stratified_rows(pooled, strata, [base, wave], by, item, entity, stratum)
     wide, counts = matched_replicates(rows, base, wave, stratum, by, item, entity, n_boot, seed, mode)
     unmatched = F.col("w_all") - F.col("b_all")
     main = summarise(wide.withColumn("value", ratio(F.col("w_in") - F.col("b_in"), unmatched)), by, n_boot)
@@ -253,8 +259,7 @@ def restricted_vs_plain_diff(pooled: DataFrame, strata: DataFrame, arm: str, by:
                              item: str, entity: str, n_boot: int, stratum: str = "stratum",
                              seed: int = 0, mode: str = "multinomial") -> DataFrame:
     """Within-stratum concordance minus plain AUROC of one arm, same rows, same draws."""
-    rows = common_rows(pooled, [arm], by, item, [entity, "y"]) \
-        .join(strata.select(item, stratum).where(F.col(stratum).isNotNull()), item)
+    rows = stratified_rows(pooled, strata, [arm], by, item, entity, stratum)
     wide, counts = matched_replicates(rows, arm, arm, stratum, by, item, entity, n_boot, seed, mode)
     diff = summarise(wide.withColumn("value", F.col("w_in") - F.col("w_all")), by, n_boot)
     seen = wide.where(F.col("rep") == OBSERVED).select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stampline.functions.expr import hashed_int, micros
 from stampline.functions.ordered import asof, position
 from stampline.operators.cohort import assign_split
+from stampline.session import pinned
 
 HORIZONS = (6, 24, 72)
 SEEDS = (0, 1, 2, 3, 4)
@@ -69,7 +70,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """(arm, label, seed, item_id, entity_id, y, score) for arms prev, ctx and sig."""
     lab = horizon_labels(spark, sf).where(F.col("y") >= 0)
     rec = base_records(spark, sf).select("item_id", "acuity", "split")
-    rows = lab.join(rec, "item_id")
+    rows = pinned(lab.join(rec, "item_id"))  # the labelled cohort is a written table
     train = rows.where(F.col("split") == "train").groupBy("label") \
         .agg(F.round(F.avg("y"), 9).alias("prev"))
     seeds = F.explode(F.array(*[F.lit(s) for s in SEEDS])).alias("seed")
