@@ -169,57 +169,71 @@ def logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def newton_fit(cells: DataFrame, keys: list[str], slope: bool, start: tuple[float, float] = (0.0, 1.0),
-               max_iter: int = 30, tol: float = 1e-9) -> DataFrame:
-    """Logistic fit of (pos, n) on x per cell by damped Newton: (keys, a, b, converged).
-
-    `cells` holds (keys, x, n, pos) and should be a written table. Without `slope` the
-    coefficient of x stays 1. Each step is one grouped aggregate for all cells at once: it
-    scores the candidate, and where the log-likelihood fell the step is halved instead of
-    taken. One scalar per step tells whether any cell still moves.
+#: The two fits that share a pass: offset only (slope fixed at one), and intercept with slope.
+FITS = ("offset", "full")
+
+
+def logistic_fits(cells: DataFrame, keys: list[str], max_iter: int = 25, tol: float = 1e-9) -> DataFrame:
+    """Both logistic fits of (pos, n) on x per cell by damped Newton.
+
+    Returns (keys, offset_a, full_a, full_b, offset_done, full_done). `cells` holds
+    (keys, x, n, pos) and should be a written table. One grouped aggregate per step serves all
+    cells and both fits: it scores the candidates, and where the log-likelihood fell the step is
+    halved instead of taken. Settled cells leave the loop; one scalar per step tells whether any
+    is left.
     """
-    spark = cells.sparkSession
-    a0, b0 = start if slope else (start[0], 1.0)
-    state = pinned(cells.select(*keys).distinct().select(
-        *keys, F.lit(a0).alias("a"), F.lit(b0).alias("b"), F.lit(0.0).alias("da"), F.lit(0.0).alias("db"),
-        F.lit(float("-inf")).alias("ll"), F.lit(False).alias("done")))
-    small = state.count() <= BROADCAST_STATE
+    start = {"offset": 1.0, "full": 1.0}
+    cols = {}
+    for f in FITS:
+        cols |= {f"{f}_a": F.lit(0.0), f"{f}_b": F.lit(start[f]), f"{f}_da": F.lit(0.0), f"{f}_db": F.lit(0.0),
+                 f"{f}_ll": F.lit(float("-inf")), f"{f}_done": F.lit(False)}
+    active = pinned(cells.select(*keys).distinct().withColumns(cols))
+    settled, left = [], active.count()
     for _ in range(max_iter):
-        table = F.broadcast(state) if small else state
-        eta = (F.col("a") + F.col("da")) + (F.col("b") + F.col("db")) * F.col("x")
-        mu = 1.0 / (1.0 + F.exp(-eta))
-        # log(1 + e^eta) without overflow
-        soft = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-        r, w = F.col("pos") - F.col("n") * mu, F.col("n") * mu * (1 - mu)
-        sums = cells.join(table, keys).where(~F.col("done")).groupBy(*keys).agg(
-            F.sum(F.col("pos") * eta - F.col("n") * soft).alias("ll2"), F.sum(r).alias("g0"),
-            F.sum(r * F.col("x")).alias("g1"), F.sum(w).alias("h00"),
-            F.sum(w * F.col("x")).alias("h01"), F.sum(w * F.col("x") * F.col("x")).alias("h11"))
-        joined = state.join(sums, keys, "left")
-        better = F.col("ll2") >= F.col("ll") - 1e-12 * F.abs("ll2")
-        if slope:
-            det = F.col("h00") * F.col("h11") - F.col("h01") * F.col("h01")
-            sa = (F.col("h11") * F.col("g0") - F.col("h01") * F.col("g1")) / F.nullif(det, F.lit(0.0))
-            sb = (F.col("h00") * F.col("g1") - F.col("h01") * F.col("g0")) / F.nullif(det, F.lit(0.0))
-        else:
-            sa, sb = F.col("g0") / F.nullif(F.col("h00"), F.lit(0.0)), F.lit(0.0)
-        step = joined.select(
-            *keys,
-            F.when(better, F.col("a") + F.col("da")).otherwise(F.col("a")).alias("a"),
-            F.when(better, F.col("b") + F.col("db")).otherwise(F.col("b")).alias("b"),
-            F.when(better, sa).otherwise(F.col("da") / 2).alias("da"),
-            F.when(better, sb).otherwise(F.col("db") / 2).alias("db"),
-            F.when(better, F.col("ll2")).otherwise(F.col("ll")).alias("ll"),
-            "done", better.alias("_moved"), F.col("a").alias("_a"), F.col("b").alias("_b"))
-        settled = F.col("_moved") & (F.abs("da") < tol) & (F.abs("db") < tol)
-        state = pinned(step.withColumn("done", F.when(F.col("done"), True).otherwise(F.coalesce(settled, F.lit(False))))
-                       .select(*keys, F.when(F.col("_moved").isNull(), F.col("_a")).otherwise(F.col("a")).alias("a"),
-                               F.when(F.col("_moved").isNull(), F.col("_b")).otherwise(F.col("b")).alias("b"),
-                               F.coalesce("da", F.lit(0.0)).alias("da"), F.coalesce("db", F.lit(0.0)).alias("db"),
-                               "ll", "done"))
-        if not state.where(~F.col("done")).limit(1).count():
+        table = F.broadcast(active) if left <= BROADCAST_STATE else active
+        aggs = []
+        for f in FITS:
+            eta = F.col(f"{f}_a") + F.col(f"{f}_da") + (F.col(f"{f}_b") + F.col(f"{f}_db")) * F.col("x")
+            mu = 1.0 / (1.0 + F.exp(-eta))
+            # log(1 + e^eta) without overflow
+            soft = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
+            r, w = F.col("pos") - F.col("n") * mu, F.col("n") * mu * (1 - mu)
+            aggs += [F.sum(F.col("pos") * eta - F.col("n") * soft).alias(f"{f}_try"),
+                     F.sum(r).alias(f"{f}_g0"), F.sum(w).alias(f"{f}_h00")]
+            if f == "full":
+                aggs += [F.sum(r * F.col("x")).alias("g1"), F.sum(w * F.col("x")).alias("h01"),
+                         F.sum(w * F.col("x") * F.col("x")).alias("h11")]
+        sums = cells.join(table, keys).groupBy(*keys).agg(*aggs, *[F.first(c).alias(c) for c in cols])
+        det = F.nullif(F.col("full_h00") * F.col("h11") - F.col("h01") * F.col("h01"), F.lit(0.0))
+        newton = {
+            "offset": (F.col("offset_g0") / F.nullif(F.col("offset_h00"), F.lit(0.0)), F.lit(0.0)),
+            "full": ((F.col("h11") * F.col("full_g0") - F.col("h01") * F.col("g1")) / det,
+                     (F.col("full_h00") * F.col("g1") - F.col("h01") * F.col("full_g0")) / det)}
+        step = {}
+        for f in FITS:
+            done = F.col(f"{f}_done")
+            better = F.col(f"{f}_try") >= F.col(f"{f}_ll") - 1e-12 * F.abs(f"{f}_try")
+            for part, move in zip(("a", "b"), newton[f]):
+                here, by = F.col(f"{f}_{part}"), F.col(f"{f}_d{part}")
+                step[f"{f}_{part}"] = F.when(~done & better, here + by).otherwise(here)
+                step[f"{f}_d{part}"] = F.when(done, 0.0).when(better, F.coalesce(move, F.lit(0.0))).otherwise(by / 2)
+            step[f"{f}_ll"] = F.when(~done & better, F.col(f"{f}_try")).otherwise(F.col(f"{f}_ll"))
+            step[f"{f}_ok"] = better
+        moved = sums.select(*keys, *[c.alias(n) for n, c in step.items()], *[f"{f}_done" for f in FITS])
+        for f in FITS:
+            small = (F.abs(f"{f}_da") < tol) & (F.abs(f"{f}_db") < tol)
+            moved = moved.withColumn(f"{f}_done", F.col(f"{f}_done") | (F.col(f"{f}_ok") & small))
+        state = pinned(moved.select(*keys, *cols))
+        finished = F.col("offset_done") & F.col("full_done")
+        settled.append(state.where(finished))
+        active = state.where(~finished)
+        left = active.count()
+        if not left:
             break
-    return state.select(*keys, "a", "b", F.col("done").alias("converged"))
+    out = active
+    for part in settled:
+        out = out.unionByName(part)
+    return out.select(*keys, "offset_a", "full_a", "full_b", "offset_done", "full_done")
 
 
 def logit_cells(df: DataFrame, y: str, p: str, keys: list[str]) -> DataFrame:
@@ -239,39 +253,36 @@ def flat_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fit_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, intercept, slope, converged): NULL where undefined or not converged."""
-    marks = flat_cells(cells, keys)
-    icpt = newton_fit(cells, keys, slope=False).select(
-        *keys, F.when(F.col("converged"), F.col("a")).alias("intercept"))
-    both = newton_fit(cells, keys, slope=True).select(
-        *keys, F.when(F.col("converged"), F.col("b")).alias("slope"))
-    out = marks.join(icpt, keys).join(both, keys)
-    ok = ~F.col("one_class")
-    return out.select(*keys, F.when(ok, F.col("intercept")).alias("intercept"),
-                      F.when(ok & ~F.col("flat"), F.col("slope")).alias("slope"))
+    """(keys, intercept, slope): NULL where undefined or not converged.
+
+    A cell with one class has no fit and never enters the loop.
+    """
+    marks = pinned(flat_cells(cells, keys))
+    sound = cells.join(marks.where(F.col("one_class")), keys, "left_anti")
+    fits = logistic_fits(pinned(sound), keys)
+    return marks.join(fits, keys, "left").select(
+        *keys, F.when(F.col("offset_done"), F.col("offset_a")).alias("intercept"),
+        F.when(F.col("full_done") & ~F.col("flat"), F.col("full_b")).alias("slope"))
 
 
 def keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, by) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
+def calibration_fit(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
+    """(by, intercept, slope) from one loop over the distinct probabilities."""
+    rows, keys = keyed(df, by or [])
+    return fit_cells(pinned(logit_cells(rows, y, p, keys)), keys).select(*(by or []), "intercept", "slope")
+
+
 def calibration_intercept(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     """Intercept of a logistic fit with logit(p) as offset, slope fixed at one."""
-    rows, keys = keyed(df, by or [])
-    cells = pinned(logit_cells(rows, y, p, keys))
-    marks = flat_cells(cells, keys)
-    fit = newton_fit(cells, keys, slope=False).join(marks, keys)
-    return fit.select(*(by or []), F.when(F.col("converged") & ~F.col("one_class"), F.col("a")).alias("intercept"))
+    return calibration_fit(df, y, p, by).drop("slope")
 
 
 def calibration_slope(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     """Coefficient on logit(p); NULL when the logits are flat or a class is absent."""
-    rows, keys = keyed(df, by or [])
-    cells = pinned(logit_cells(rows, y, p, keys))
-    marks = flat_cells(cells, keys)
-    fit = newton_fit(cells, keys, slope=True).join(marks, keys)
-    ok = F.col("converged") & ~F.col("one_class") & ~F.col("flat")
-    return fit.select(*(by or []), F.when(ok, F.col("b")).alias("slope"))
+    return calibration_fit(df, y, p, by).drop("intercept")
 
 
 def calibration_fit_ci(df: DataFrame, y: str, p: str, entity: str, by: list[str], n_boot: int, seed: int = 0,

@@ -57,6 +57,7 @@ class Draws:
     table: DataFrame
     n_entities: int
     small: bool
+    n_boot: int
 
 
 def entity_draws(entities: DataFrame, entity: str, n_boot: int, seed: int = 0,
@@ -92,7 +93,7 @@ def entity_draws(entities: DataFrame, entity: str, n_boot: int, seed: int = 0,
     # One entity is drawn about n_boot times in all, so its list is short.
     packed = drawn.groupBy(key).agg(F.collect_list("rep").alias("reps"))
     table = index.join(packed, key, "left").select(entity, dense("reps").alias("w"))
-    return Draws(table, size, size * n_boot <= BROADCAST_DRAWS)
+    return Draws(table, size, size * n_boot <= BROADCAST_DRAWS, n_boot)
 
 
 def cluster_weights(entities: DataFrame, entity: str, n_boot: int, seed: int = 0,

@@ -66,6 +66,7 @@ def test_replicates_match_brute_force(spark, monkeypatch, mode, ranges, broadcas
     """Same replicate values from the matrix kernel as from plain pair counting."""
     if not broadcast:
         monkeypatch.setattr(rs, "BROADCAST_DRAWS", 0)
+        monkeypatch.setattr(inf, "REPLICATES_PER_PASS", 5)
     monkeypatch.setattr("stampline.functions.replicates.CELLS_PER_CHUNK", 100)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", ranges)
