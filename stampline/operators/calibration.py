@@ -173,7 +173,7 @@ def logit(p: Column) -> Column:
 FITS = ("offset", "full")
 
 
-def logistic_fits(cells: DataFrame, keys: list[str], max_iter: int = 25, tol: float = 1e-9) -> DataFrame:
+def logistic_fits(cells: DataFrame, keys: list[str], max_iter: int = 25) -> DataFrame:
     """Both logistic fits of (pos, n) on x per cell by damped Newton.
 
     Returns (keys, offset_a, full_a, full_b, offset_done, full_done). `cells` holds
@@ -182,49 +182,18 @@ def logistic_fits(cells: DataFrame, keys: list[str], max_iter: int = 25, tol: fl
     halved instead of taken. Settled cells leave the loop; one scalar per step tells whether any
     is left.
     """
-    start = {"offset": 1.0, "full": 1.0}
     cols = {}
     for f in FITS:
-        cols |= {f"{f}_a": F.lit(0.0), f"{f}_b": F.lit(start[f]), f"{f}_da": F.lit(0.0), f"{f}_db": F.lit(0.0),
+        cols |= {f"{f}_a": F.lit(0.0), f"{f}_b": F.lit(1.0 if f == "offset" else 0.0), f"{f}_da": F.lit(0.0), f"{f}_db": F.lit(0.0),
                  f"{f}_ll": F.lit(float("-inf")), f"{f}_done": F.lit(False)}
+    aggs, steps, dones = newton_expressions(list(cols))
+    finished = F.col("offset_done") & F.col("full_done")
     active = pinned(cells.select(*keys).distinct().withColumns(cols))
     settled, left = [], active.count()
     for _ in range(max_iter):
         table = F.broadcast(active) if left <= BROADCAST_STATE else active
-        aggs = []
-        for f in FITS:
-            eta = F.col(f"{f}_a") + F.col(f"{f}_da") + (F.col(f"{f}_b") + F.col(f"{f}_db")) * F.col("x")
-            mu = 1.0 / (1.0 + F.exp(-eta))
-            # log(1 + e^eta) without overflow
-            soft = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
-            r, w = F.col("pos") - F.col("n") * mu, F.col("n") * mu * (1 - mu)
-            aggs += [F.sum(F.col("pos") * eta - F.col("n") * soft).alias(f"{f}_try"),
-                     F.sum(r).alias(f"{f}_g0"), F.sum(w).alias(f"{f}_h00")]
-            if f == "full":
-                aggs += [F.sum(r * F.col("x")).alias("g1"), F.sum(w * F.col("x")).alias("h01"),
-                         F.sum(w * F.col("x") * F.col("x")).alias("h11")]
-        sums = cells.join(table, keys).groupBy(*keys).agg(*aggs, *[F.first(c).alias(c) for c in cols])
-        det = F.nullif(F.col("full_h00") * F.col("h11") - F.col("h01") * F.col("h01"), F.lit(0.0))
-        newton = {
-            "offset": (F.col("offset_g0") / F.nullif(F.col("offset_h00"), F.lit(0.0)), F.lit(0.0)),
-            "full": ((F.col("h11") * F.col("full_g0") - F.col("h01") * F.col("g1")) / det,
-                     (F.col("full_h00") * F.col("g1") - F.col("h01") * F.col("full_g0")) / det)}
-        step = {}
-        for f in FITS:
-            done = F.col(f"{f}_done")
-            better = F.col(f"{f}_try") >= F.col(f"{f}_ll") - 1e-12 * F.abs(f"{f}_try")
-            for part, move in zip(("a", "b"), newton[f]):
-                here, by = F.col(f"{f}_{part}"), F.col(f"{f}_d{part}")
-                step[f"{f}_{part}"] = F.when(~done & better, here + by).otherwise(here)
-                step[f"{f}_d{part}"] = F.when(done, 0.0).when(better, F.coalesce(move, F.lit(0.0))).otherwise(by / 2)
-            step[f"{f}_ll"] = F.when(~done & better, F.col(f"{f}_try")).otherwise(F.col(f"{f}_ll"))
-            step[f"{f}_ok"] = better
-        moved = sums.select(*keys, *[c.alias(n) for n, c in step.items()], *[f"{f}_done" for f in FITS])
-        for f in FITS:
-            small = (F.abs(f"{f}_da") < tol) & (F.abs(f"{f}_db") < tol)
-            moved = moved.withColumn(f"{f}_done", F.col(f"{f}_done") | (F.col(f"{f}_ok") & small))
-        state = pinned(moved.select(*keys, *cols))
-        finished = F.col("offset_done") & F.col("full_done")
+        state = pinned(cells.join(table, keys).groupBy(*keys).agg(*aggs)
+                       .select(*keys, *steps).select(*keys, *[c for c in cols if not c.endswith("_done")], *dones))
         settled.append(state.where(finished))
         active = state.where(~finished)
         left = active.count()
@@ -236,6 +205,41 @@ def logistic_fits(cells: DataFrame, keys: list[str], max_iter: int = 25, tol: fl
     return out.select(*keys, "offset_a", "full_a", "full_b", "offset_done", "full_done")
 
 
+def newton_expressions(state: list[str], tol: float = 1e-8) -> tuple[list[Column], list[Column], list[Column]]:
+    """Sums of one pass, the step they imply, and which fits have settled."""
+    aggs = [F.first(c).alias(c) for c in state]
+    for f in FITS:
+        eta = F.col(f"{f}_a") + F.col(f"{f}_da") + (F.col(f"{f}_b") + F.col(f"{f}_db")) * F.col("x")
+        mu = 1.0 / (1.0 + F.exp(-eta))
+        # log(1 + e^eta) without overflow
+        soft = F.greatest(eta, F.lit(0.0)) + F.log1p(F.exp(-F.abs(eta)))
+        r, w = F.col("pos") - F.col("n") * mu, F.col("n") * mu * (1 - mu)
+        aggs += [F.sum(F.col("pos") * eta - F.col("n") * soft).alias(f"{f}_try"),
+                 F.sum(r).alias(f"{f}_g0"), F.sum(w).alias(f"{f}_h00")]
+        if f == "full":
+            aggs += [F.sum(r * F.col("x")).alias("g1"), F.sum(w * F.col("x")).alias("h01"),
+                     F.sum(w * F.col("x") * F.col("x")).alias("h11")]
+    det = F.nullif(F.col("full_h00") * F.col("h11") - F.col("h01") * F.col("h01"), F.lit(0.0))
+    newton = {
+        "offset": (F.col("offset_g0") / F.nullif(F.col("offset_h00"), F.lit(0.0)), F.lit(0.0)),
+        "full": ((F.col("h11") * F.col("full_g0") - F.col("h01") * F.col("g1")) / det,
+                 (F.col("full_h00") * F.col("g1") - F.col("h01") * F.col("full_g0")) / det)}
+    steps, dones = [], []
+    for f in FITS:
+        done, gained = F.col(f"{f}_done"), F.col(f"{f}_try")
+        # Near the optimum the likelihood only moves by rounding, which is not a loss.
+        better = gained >= F.col(f"{f}_ll") - 1e-10 * F.abs(gained)
+        for part, move in zip(("a", "b"), newton[f]):
+            here, by = F.col(f"{f}_{part}"), F.col(f"{f}_d{part}")
+            steps += [F.when(~done & better, here + by).otherwise(here).alias(f"{f}_{part}"),
+                      F.when(done, 0.0).when(better, F.coalesce(move, F.lit(0.0))).otherwise(by / 2).alias(f"{f}_d{part}")]
+        steps += [F.when(~done & better, gained).otherwise(F.col(f"{f}_ll")).alias(f"{f}_ll"),
+                  better.alias(f"{f}_ok"), done]
+        small = (F.abs(f"{f}_da") < tol) & (F.abs(f"{f}_db") < tol)
+        dones.append((done | (F.col(f"{f}_ok") & small)).alias(f"{f}_done"))
+    return aggs, steps, dones
+
+
 def logit_cells(df: DataFrame, y: str, p: str, keys: list[str]) -> DataFrame:
     """(keys, x, n, pos): one row per distinct probability, which is all a fit needs."""
     hist = score_histogram(df, y, p, keys)

@@ -126,31 +126,34 @@ def cohort_reconciliation(df: DataFrame, published: DataFrame, entity: str, epis
                           sentinel: int = SENTINEL) -> DataFrame:
     """Long report (section, quantity, local, published, gap).
 
-    Each input-sized pass is one aggregate; the long form is built from its single row.
+    The table is read once for the whole cohort, once per split count and three times for the
+    test fold; every reading ends in an aggregate.
     """
-    def long(one: DataFrame, section: str) -> DataFrame:
-        return one.unpivot([], one.columns, "quantity", "local") \
-            .select(F.lit(section).alias("section"), "quantity", "local")
-
-    held = F.col(split) == test
-    counts = df.agg(F.count(F.lit(1)).alias("records"), F.countDistinct(entity).alias("entities"),
-                    F.countDistinct(episode).alias("episodes"))
-    positives = df.agg(*[F.count_if(F.col(c) == 1).alias(c) for c in labels])
-    exclusions = df.agg(*[F.count_if(F.col(c) == sentinel).alias(c) for c in labels])
+    def long(df: DataFrame, cells: list[tuple[str, str, Column]]) -> DataFrame:
+        one = df.agg(*[c.alias(f"c{i}") for i, (_, _, c) in enumerate(cells)])
+        parts = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(q).alias("quantity"), F.col(f"c{i}").alias("local"))
+                          for i, (s, q, _) in enumerate(cells)])
+        return one.select(F.explode(parts).alias("_p")).select("_p.*")
+
+    def size(section: str) -> list[tuple[str, str, Column]]:
+        return [(section, "records", F.count(F.lit(1))), (section, "entities", F.countDistinct(entity)),
+                (section, "episodes", F.countDistinct(episode))]
+
+    whole = long(df, size("cohort")
+                 + [("positives", c, F.count_if(F.col(c) == 1)) for c in labels]
+                 + [("exclusions", c, F.count_if(F.col(c) == sentinel)) for c in labels])
     splits = df.where(F.col(split).isNotNull()).groupBy(F.col(split).alias("quantity")) \
         .agg(F.count(F.lit(1)).alias("local")).select(F.lit("split").alias("section"), "quantity", "local")
-    tests = df.where(held)
-    fold = tests.agg(F.count(F.lit(1)).alias("records"), F.countDistinct(entity).alias("entities"),
-                     F.countDistinct(episode).alias("episodes"))
-    first = first_of_episode_counts(tests, seq, episode).select(
-        F.col("kept_rows").alias("first records"), F.col("episodes").alias("episodes among them"),
-        F.col("tied_episodes").alias("tied episodes"), F.col("dropped_rows").alias("later records"))
+    tests = df.where(F.col(split) == test)
+    first = first_of_episode_counts(tests, seq, episode)
+    first = long(first, [("first of episode", name, F.max(c)) for name, c in (
+        ("first records", "kept_rows"), ("episodes among them", "episodes"),
+        ("tied episodes", "tied_episodes"), ("later records", "dropped_rows"))])
     levels = tests.groupBy(seq).agg(F.count(F.lit(1)).alias("local")).select(
         F.lit("sequence").alias("section"),
         F.concat(F.lit("numbered "), F.col(seq).cast("string")).alias("quantity"), "local")
-    report = long(counts, "cohort")
-    for part in (long(positives, "positives"), long(exclusions, "exclusions"), splits,
-                 long(fold, "test fold"), long(first, "first of episode"), levels):
+    report = whole
+    for part in (splits, long(tests, size("test fold")), first, levels):
         report = report.unionByName(part)
     return report.join(published, ["section", "quantity"], "left") \
         .withColumn("gap", F.col("local") - F.col("published"))

@@ -90,6 +90,9 @@ def entity_draws(entities: DataFrame, entity: str, n_boot: int, seed: int = 0,
         return reps.map(lambda r: np.concatenate(
             [[1], np.bincount(np.asarray([] if r is None else r, dtype=np.int64), minlength=n_boot)]).astype(np.int16))
 
+    # The flag keeps the planner from evaluating the function a second time in a derived filter.
+    dense = dense.asNondeterministic()
+
     # One entity is drawn about n_boot times in all, so its list is short.
     packed = drawn.groupBy(key).agg(F.collect_list("rep").alias("reps"))
     table = index.join(packed, key, "left").select(entity, dense("reps").alias("w"))

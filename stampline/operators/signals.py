@@ -18,6 +18,11 @@ from stampline.functions.expr import uniform
 LEADS = "array<array<double>>"
 
 
+def once(udf):
+    """Keep the planner from evaluating a Python function again in a filter it derives."""
+    return udf.asNondeterministic()
+
+
 def _fill_gaps(channel: np.ndarray) -> np.ndarray:
     """Linear inside, last value after the end; a leading gap has nothing to start from."""
     known = np.flatnonzero(~np.isnan(channel))
@@ -40,7 +45,7 @@ def signal_clean(df: DataFrame, leads: str = "leads", clip: float = 3.0) -> Data
         return col.map(lambda rec: None if rec is None else _to_lists(
             [np.clip(_fill_gaps(np.array(lead, dtype=float)), -clip, clip) for lead in rec]))
 
-    return df.withColumn(leads, clean(F.col(leads)))
+    return df.withColumn(leads, once(clean)(F.col(leads)))
 
 
 def fir_taps(factor: int, half_width: int = 4) -> list[float]:
@@ -70,7 +75,7 @@ def signal_decimate(df: DataFrame, factor: int, leads: str = "leads") -> DataFra
 
         return col.map(lambda rec: None if rec is None else [one(lead) for lead in rec])
 
-    return df.withColumn(leads, decimate(F.col(leads)))
+    return df.withColumn(leads, once(decimate)(F.col(leads)))
 
 
 def leads_by_name(df: DataFrame, order: list[str], names: str = "names", leads: str = "leads") -> DataFrame:

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stampline.functions.expr import minutes_between
+from stampline.functions.expr import micros, minutes_between
+from stampline.functions.ordered import position
 from stampline.operators import cohort as c
 from stampline.plans import views as v
 from stampline.plans.discrimination_queries import r
 from stampline.plans.registry import query
+from stampline.session import pinned
 
 LABELS = ["h6", "h24", "h72"]
 
 
 def labelled(spark, sf, seq=False):
-    """Records with their wide labels."""
-    return v.records(spark, sf, seq).join(v.wide_labels(spark, sf), "item_id")
+    """Records with their wide labels; the cohort is a written table, which reports read often."""
+    return pinned(v.records(spark, sf, seq).join(v.wide_labels(spark, sf), "item_id"))
 
 
 @query("b1_canonicalise", """
@@ -148,10 +150,6 @@ s as (select item_id, episode_id, rank() over (partition by episode_id order by
       from records)"""))
 def b10(spark, sf):
     """Sequence numbers by the hour, so some episodes tie at zero."""
-    from stampline.functions.expr import micros
-    from stampline.functions.ordered import position
-    from stampline.session import pinned
-
     rec = v.base_records(spark, sf).select("item_id", "episode_id", "index_time")
     rec = pinned(position(rec, ["episode_id"], micros(F.date_trunc("hour", "index_time").cast("timestamp_ntz")),
                           name="seq"))

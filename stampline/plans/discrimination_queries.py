@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stampline.operators import discrimination as d
 from stampline.plans import views as v
 from stampline.plans.registry import query
+from stampline.session import pinned
 
 R6 = 6
 
@@ -120,7 +121,7 @@ from t where pos > 0 and neg > 0 group by t.label""", """
 t as (select label, stratum, sum(y) as pos, sum(1 - y) as neg
       from horizon_labels join strata using (item_id) where y >= 0 group by label, stratum)"""))
 def e9(spark, sf):
-    rows = v.horizon_labels(spark, sf).join(v.strata(spark, sf), "item_id")
+    rows = pinned(v.horizon_labels(spark, sf).join(v.strata(spark, sf), "item_id"))
     return d.informative_strata(rows, "y", "stratum", "entity_id", ["label"])
 
 

@@ -11,6 +11,7 @@ from stampline.operators.features import calendar_parts, elapsed_minutes
 from stampline.plans import views as v
 from stampline.plans.discrimination_queries import r
 from stampline.plans.registry import query
+from stampline.session import pinned
 
 LABELS = ["h6", "h24", "h72"]
 KEY = ["delay_bucket", "hour_bucket", "is_weekend", "acuity_level"]
@@ -22,7 +23,8 @@ def coarse_records(spark, sf):
 
 
 def matched_rows(spark, sf):
-    return coarse_records(spark, sf).join(v.wide_labels(spark, sf), "item_id")
+    """Coarsened records with their labels, as the written table the matching stage reads."""
+    return pinned(coarse_records(spark, sf).join(v.wide_labels(spark, sf), "item_id"))
 
 
 COARSE = """
