@@ -37,15 +37,17 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left"
     return left.join(small, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def tag_slices(df: DataFrame, keys: list[str], order: Column,
-               rows_per_slice: int | None = None) -> tuple[DataFrame, bool]:
+def tag_slices(df: DataFrame, keys: list[str], order: Column, rows_per_slice: int | None = None,
+               counted: DataFrame | None = None) -> tuple[DataFrame, bool]:
     """Add `_slice`; it grows with `order` inside a key and equal order values share a slice.
 
+    `counted` may stand in for `df` when counting keys, if it is cheaper and no smaller.
+
     Returns the tagged frame and whether any key was cut. One scalar reaches the driver; the
     cut points stay in a checkpointed table whose size is checked before it is broadcast.
     """
     budget = rows_per_slice or ROWS_PER_SLICE
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    sizes = (df if counted is None else counted).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     hot = sizes.where(F.col("_rows") > budget)
     largest, n_hot = hot.agg(F.max("_rows"), F.count(F.lit(1))).first()
     if not n_hot:
@@ -145,7 +147,8 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right
     rows = left.select(*by, F.col(left_time).alias("_t"), F.lit(0).alias("_side"),
                        F.struct(*cols).alias("_row"))
     both = rows.unionByName(events, allowMissingColumns=True)
-    tagged, cut = tag_slices(both, by, micros_or_number(both, "_t"), rows_per_slice)
+    counted = left.select(*by).unionByName(right.select(*by))
+    tagged, cut = tag_slices(both, by, micros_or_number(both, "_t"), rows_per_slice, counted)
     # A strict match must not see right rows of the same instant, so left rows come first.
     side = F.col("_side").asc() if strict else F.col("_side").desc()
     step = F.col("_t").asc() if back else F.col("_t").desc()

@@ -34,14 +34,12 @@ def entity_histogram(df: DataFrame, y: str, score: str, entity: str, keys: list[
     """Histogram per (keys, stratum, entity, score), written once in score order.
 
     Rows are range-partitioned by (keys, stratum, score, entity), so partitions stay even when
-    one cell, stratum or score holds most rows. The number of ranges is fixed, so small inputs
-    keep their parallelism when replicates come in.
+    one cell, stratum or score holds most rows. Adaptive execution picks the number of ranges.
     """
     groups = [*keys, *([stratum] if stratum else [])]
     hist = score_histogram(df.where(F.col(entity).isNotNull()), y, score, [*groups, entity])
     order = [*groups, "score", entity]
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pinned(hist.repartitionByRange(ranges, *order).sortWithinPartitions(*order))
+    return pinned(hist.repartitionByRange(*order).sortWithinPartitions(*order))
 
 
 def replicate_statistic(hist: DataFrame, draws: Draws, entity: str, keys: list[str],
@@ -54,8 +52,7 @@ def replicate_statistic(hist: DataFrame, draws: Draws, entity: str, keys: list[s
     order = [*keys, *([stratum] if stratum else []), "score", entity]
     rows = with_weights(hist, draws, entity)
     if not draws.small:
-        ranges = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = rows.repartitionByRange(ranges, *order)
+        rows = rows.repartitionByRange(*order)
     rows = rows.sortWithinPartitions(*order)
     if draws.n_boot < REPLICATES_PER_PASS:
         return replicate_pairs(rows, keys, stratum)
