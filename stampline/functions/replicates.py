@@ -87,6 +87,19 @@ class _Run:
         return wins, pos * neg
 
 
+def _tie_sums(weights: np.ndarray, count: np.ndarray, tie_of: np.ndarray, n_ties: int) -> np.ndarray:
+    """Replicate weight of one class per tie; most rows hold only one class."""
+    out = np.zeros((n_ties, weights.shape[1]))
+    rows = np.flatnonzero(count)
+    if len(rows):
+        part, ids = weights[rows], tie_of[rows]
+        if (count[rows] != 1.0).any():
+            part = part * count[rows, None]
+        starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        out[ids[starts]] = np.add.reduceat(part, starts, axis=0, dtype=np.float64)
+    return out
+
+
 def _piece_rows(batches: Iterator[pa.RecordBatch], groups: list[str], n_keys: int,
                 schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     run: _Run | None = None
@@ -147,13 +160,11 @@ def _piece_rows(batches: Iterator[pa.RecordBatch], groups: list[str], n_keys: in
         step = max(1, CELLS_PER_CHUNK // width)
         for lo in range(0, n, step):
             hi = min(n, lo + step)
-            w = weights[lo:hi].astype(np.float64)
-            p, q = w * pos[lo:hi, None], w * neg[lo:hi, None]
-            ties = np.flatnonzero(new_tie[lo:hi])
-            if not len(ties) or ties[0] != 0:
-                ties = np.concatenate([[0], ties])
-            if len(ties) < hi - lo:
-                p, q = np.add.reduceat(p, ties, axis=0), np.add.reduceat(q, ties, axis=0)
+            first = new_tie[lo:hi].copy()
+            first[0] = True
+            ties, tie_of = np.flatnonzero(first), np.cumsum(first) - 1
+            p = _tie_sums(weights[lo:hi], pos[lo:hi], tie_of, len(ties))
+            q = _tie_sums(weights[lo:hi], neg[lo:hi], tie_of, len(ties))
             at = score[lo:hi][ties]
             starts = np.flatnonzero(new_group[lo:hi][ties])
             if not len(starts) or starts[0] != 0:
