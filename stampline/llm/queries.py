@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stampline.llm.bpe import bpe_digests
+from stampline.llm.simhash import near_duplicates
 from stampline.llm.url_filters import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +37,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query("op4_simhash_anchors")
+def op4(spark, sf):
+    return near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op6_bpe_automaton")
 def op6(spark, sf):
     return bpe_digests(table(spark, sf, "documents"), tokenizer_path())
