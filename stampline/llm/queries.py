@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stampline.llm import oracles
 from stampline.llm.bpe import bpe_digests
 from stampline.llm.simhash import near_duplicates
+from stampline.llm.substrings import substring_dedup
 from stampline.llm.url_filters import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,31 +49,12 @@ def op6(spark, sf):
     return bpe_digests(table(spark, sf, "documents"), tokenizer_path())
 
 
-URL_SQL = """
-with urls as (
-  select page_id,
-    case when position('://' in coalesce(url, '')) > 0
-         then substr(url, position('://' in url) + 3) else '' end as rest
-  from pages),
-parts as (
-  select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz') as host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
-  from urls),
-rules(rhost, rpath, action) as (values
-  ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
-  ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-hit as (
-  select page_id, rhost || rpath as rule, action,
-    row_number() over (partition by page_id order by length(rhost) + length(rpath) desc) as k
-  from parts join rules
-    on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath))
-select parts.page_id, host, path, rule, coalesce(action, 'allow') as verdict
-from parts left join hit on hit.page_id = parts.page_id and k = 1
-"""
-
-
-@query("op8_url_filters", URL_SQL)
+@query("op8_url_filters", oracles.URL_FILTERS)
 def op8(spark, sf):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     return url_verdicts(table(spark, sf, "pages"), rules)
+
+
+@query("op10_substring_dedup", oracles.SUBSTRINGS)
+def op10(spark, sf):
+    return substring_dedup(table(spark, sf, "documents"))

@@ -210,6 +210,29 @@ def shown(col: str = "id") -> Column:
     return F.when(F.col(col) != NO_ID, F.col(col))
 
 
+def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`keyed`, and `th`, a hash of the text, so that different texts sharing an id stay apart."""
+    return keyed(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
+
+
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """docs with the list of their spans (id, th, begin, size); null where there are none."""
+    listed = spans.groupBy("id", "th").agg(F.collect_list(F.struct("begin", "size")).alias("spans"))
+    return docs.join(listed, ["id", "th"], "left")
+
+
+def cover(part: Slice, first: np.ndarray, total: int) -> np.ndarray:
+    """Which of `total` units the `spans` of a slice cover; first: where each text's units begin."""
+    spans = part.batch.column(part.batch.schema.get_field_index("spans"))
+    counts = pc.list_value_length(spans).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = spans.flatten()
+    begin = flat.field("begin").to_numpy() + np.repeat(first, counts)
+    depth = np.zeros(total + 1, np.int64)
+    np.add.at(depth, begin, 1)
+    np.add.at(depth, begin + flat.field("size").to_numpy(), -1)
+    return np.cumsum(depth)[:total] > 0
+
+
 class Bits:
     """A set of 64-bit hashes as a bitmap of fixed size: it may say yes wrongly, never no wrongly."""
 
