@@ -10,6 +10,7 @@ from stampline.llm import oracles
 from stampline.llm.bpe import bpe_digests
 from stampline.llm.simhash import near_duplicates
 from stampline.llm.substrings import substring_dedup
+from stampline.llm.suffixes import suffix_dedup
 from stampline.llm.url_filters import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +50,11 @@ def op6(spark, sf):
     return bpe_digests(table(spark, sf, "documents"), tokenizer_path())
 
 
+@query("op7_suffix_buckets")
+def op7(spark, sf):
+    return suffix_dedup(table(spark, sf, "documents"))
+
+
 @query("op8_url_filters", oracles.URL_FILTERS)
 def op8(spark, sf):
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")

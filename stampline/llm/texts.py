@@ -7,6 +7,7 @@ is a slice of its own), so a worker's memory follows the slice and not the batch
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stampline.session import ensure_checkpoint_dir
+
 SLICE = 1 << 20
 #: Rows without an id share one; it is the smallest long, below any real id.
 NO_ID = -(1 << 63)
@@ -210,9 +213,25 @@ def shown(col: str = "id") -> Column:
     return F.when(F.col(col) != NO_ID, F.col(col))
 
 
+#: Bits of a text's hash that tell apart different texts with one id.
+MARK_BITS = 12
+
+
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`keyed`, and `th`, a hash of the text, so that different texts sharing an id stay apart."""
-    return keyed(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    """`keyed`, and `th`, some bits of the text's hash, so that different texts sharing an id stay apart."""
+    return keyed(df, id_col, text_col).withColumn(
+        "th", F.coalesce(F.xxhash64("text").bitwiseAND(F.lit((1 << MARK_BITS - 1) - 1)), F.lit(0)))
+
+
+def place(th, begin, low=0):
+    """One long for a place in a text: its mark, a position of 32 bits, and 20 bits more."""
+    return th << 52 | begin << 20 | low
+
+
+def place_parts(at: str = "at") -> tuple[Column, Column, Column]:
+    """(th, begin, low) of `place`."""
+    return (F.shiftright(at, 52).alias("th"), F.shiftright(at, 20).bitwiseAND(F.lit(0xFFFFFFFF)).alias("begin"),
+            F.col(at).bitwiseAND(F.lit(0xFFFFF)).alias("low"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -221,6 +240,24 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(listed, ["id", "th"], "left")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame as a Parquet table in the shared checkpoint folder: smaller than a checkpoint of rows, and
+    read column by column. Shuffle files behind it go at once, since nothing reads them again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def cover(part: Slice, first: np.ndarray, total: int) -> np.ndarray:
     """Which of `total` units the `spans` of a slice cover; first: where each text's units begin."""
     spans = part.batch.column(part.batch.schema.get_field_index("spans"))
