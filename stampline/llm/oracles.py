@@ -42,3 +42,30 @@ select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint
   sha256(coalesce(txt, '')) as kept_sha256
 from w left join kept using (doc_id)
 """
+
+DECONTAMINATION = rf"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+i as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+wins as (
+  select distinct item_id, least(len(ws), 10) as n, array_to_string(ws[s:s + least(len(ws), 10) - 1], ' ') as win
+  from (select item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as s from i where len(ws) > 0)),
+lens as (select distinct n from wins),
+hit as (
+  select distinct doc_id, s, w.n, item_id from (
+    select doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) as s from d, lens where len(ws) >= n) x
+  join wins w on w.n = x.n and w.win = array_to_string(ws[s:s + x.n - 1], ' ')),
+covered as (
+  select doc_id, count(distinct s + k) as n_hit from (
+    select doc_id, s, unnest(range(n)) as k from (select distinct doc_id, s, n from hit)) group by doc_id),
+named as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (
+    select distinct doc_id, item_id::varchar as item from hit) group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+  coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256,
+  n_hit is not null as contaminated
+from d left join covered using (doc_id) left join named using (doc_id)
+"""

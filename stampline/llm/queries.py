@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stampline.llm import oracles
 from stampline.llm.bpe import bpe_digests
+from stampline.llm.decontaminate import decontaminate
 from stampline.llm.simhash import near_duplicates
 from stampline.llm.substrings import substring_dedup
 from stampline.llm.suffixes import suffix_dedup
@@ -40,6 +41,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query("op3_decontamination", oracles.DECONTAMINATION)
+def op3(spark, sf):
+    return decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op4_simhash_anchors")
 def op4(spark, sf):
     return near_duplicates(table(spark, sf, "documents"))

@@ -95,6 +95,22 @@ class Words:
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
+    def joined(self, chosen: np.ndarray | None = None) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Bytes of the texts with their (chosen) words joined by one space, and where each of those begins and ends."""
+        start, end, text_of = self.start, self.end, self.text_of()
+        if chosen is not None:
+            start, end, text_of = start[chosen], end[chosen], text_of[chosen]
+        depth = np.zeros(len(self.buf) + 2, np.int8)
+        depth[start] = 1
+        np.subtract.at(depth, end, 1)
+        keep = np.cumsum(depth, dtype=np.int8)[:-1] > 0
+        buf = np.append(self.buf, np.uint8(0x20))
+        inner = end[:-1][text_of[1:] == text_of[:-1]]  # another word of the text follows
+        keep[inner] = True
+        buf[inner] = 0x20
+        place = np.append(0, np.cumsum(keep))
+        return buf[keep].tobytes(), place[start], place[end]
+
     def hashes(self, salt: int = 0) -> np.ndarray:
         return mix(Rolling(byte_values(salt)[self.buf], salt).of(self.start, self.end)
                    + (self.end - self.start).astype(np.uint64))
