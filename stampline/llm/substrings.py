@@ -20,9 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stampline.llm.texts import (PLAIN, Rolling, Slice, batch_of, bitmap, cover, map_texts, mix, ranges, shown,
-                                 sliding_argmin, texts_of, with_spans)
-from stampline.session import pinned
+from stampline.llm.texts import (PLAIN, Rolling, Slice, batch_of, bitmap, cover, map_texts, mix, place, place_parts,
+                                 ranges, shown, sliding_argmin, texts_of, with_spans, written)
 
 #: The pre-filter's bitmap has 2^26 bits (8 MB). Past so many repeated minimizers it would hardly filter, and
 #: the second pass goes without it; the rows that it drops have no part in the result either way.
@@ -70,56 +69,89 @@ def repeated_cores(docs: DataFrame, k: int, m: int) -> DataFrame:
     return counted.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core")
 
 
+def kept_paths(part: Slice, k: int, m: int, holds) -> tuple[Paths, np.ndarray]:
+    """Paths of a slice whose minimizer may be repeated, and their places."""
+    paths = Paths(part, k, m)
+    if holds is not None:
+        paths.take(holds.value.may_hold(paths.core))
+    first = paths.begin - paths.words.first[paths.text]
+    return paths, place(part.column("th")[paths.text], first, paths.size)
+
+
+def tag(path, id, at):
+    """What the bitmap of opened paths is keyed by; works on columns and arrays."""
+    if isinstance(path, np.ndarray):
+        return (path ^ id << 13 ^ at >> 7).view(np.uint64)
+    return path.bitwiseXOR(F.shiftleft(id, 13)).bitwiseXOR(F.shiftright(at, 7))
+
+
 def candidate_paths(docs: DataFrame, k: int, m: int, holds) -> DataFrame:
-    """Paths whose minimizer may be repeated: core, path, at (first word << 16 | edges), edges (their hashes)."""
+    """id, core, path and at (`place` of the first word, and the number of edges)."""
+
+    def emit(part):
+        paths, at = kept_paths(part, k, m, holds)
+        if not len(at):
+            return None
+        path = paths.hash_of(1, paths.size + k - 1, paths.begin)
+        return batch_of(id=part.column("id")[paths.text], core=paths.core.view(np.int64), path=path.view(np.int64), at=at)
+
+    return map_texts(docs, "text", emit, "id long, core long, path long, at long")
+
+
+def edges_of(docs: DataFrame, k: int, m: int, holds, opened) -> DataFrame:
+    """The edges of opened paths, each with its place. More than those do no harm: a further occurrence of a
+    path is later than its first one in either comparison."""
 
     def emit(part):
-        paths = Paths(part, k, m)
-        if holds is not None:
-            paths.take(holds.value.may_hold(paths.core))
-        if not len(paths.begin):
+        paths, at = kept_paths(part, k, m, holds)
+        if not len(at):
             return None
+        id = part.column("id")[paths.text]
+        if opened is not None:
+            path = paths.hash_of(1, paths.size + k - 1, paths.begin).view(np.int64)
+            mine = opened.value.may_hold(tag(path, id, at))
+            paths.take(mine)
+            id, at = id[mine], at[mine]
         size = paths.size
-        first = paths.begin - paths.words.first[paths.text]
-        edges = paths.hash_of(2, k, np.repeat(paths.begin, size) + ranges(size))
-        text = pa.array(paths.text)
-        return batch_of(id=part.batch.column("id").take(text), th=part.batch.column("th").take(text),
-                        core=paths.core.view(np.int64), path=paths.hash_of(1, size + k - 1, paths.begin).view(np.int64),
-                        at=first << 16 | size,
-                        edges=pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()),
-                                                       pa.array(edges.view(np.int64))))
+        step = ranges(size)
+        edge = paths.hash_of(2, k, np.repeat(paths.begin, size) + step)
+        return batch_of(id=np.repeat(id, size), core=np.repeat(paths.core, size).view(np.int64),
+                        edge=edge.view(np.int64), at=np.repeat(at & ~np.int64(0xFFFFF), size) + (step << 20) + k)
+
+    return map_texts(docs, "text", emit, "id long, core long, edge long, at long")
+
+
+def later_places(rows: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
+    """Places after the first one with the same keys."""
+    return rows.join(firsts.where("first < last").select(*keys, "first"), keys).where(
+        F.struct("id", "at") > F.col("first")).select("id", "at")
+
 
-    return map_texts(docs, "text", emit,
-                     "id long, th long, core long, path long, at long, edges array<long>")
+def first_and_last(rows: DataFrame, keys: list[str]) -> DataFrame:
+    here = F.struct("id", "at")
+    return rows.groupBy(*keys).agg(F.min(here).alias("first"), F.max(here).alias("last"))
 
 
 def repeated_spans(docs: DataFrame, k: int = 20, m: int = 8) -> DataFrame:
     """`id`, `th`, `begin`, `size` (words): spans whose every k-word window starts earlier somewhere else.
 
-    docs: id, th (a hash of the text, so that texts sharing an id stay apart), text.
+    docs: id, th (a mark of the text, so that texts sharing an id stay apart), text.
     """
-    if not 0 < k - m < 1 << 16:
+    if not 0 < k - m < 1 << 10:
         raise ValueError("m must be below k")
-    cores = pinned(repeated_cores(docs, k, m))
+    cores = written(repeated_cores(docs, k, m))
     holds = bitmap(cores, "core") if cores.count() <= FILTER_ROOM else None
-    found = pinned(candidate_paths(docs, k, m, holds))
-    here = F.struct("id", "th", "at")
-    paths = pinned(found.groupBy("core", "path").agg(F.min(here).alias("first")))
-    forks = paths.groupBy("core").agg((F.count("*") > 1).alias("forks"))
-    compact = pinned(paths.join(forks, "core"))
-    marked = found.join(compact, ["core", "path"]).select(
-        "core", "id", "th", "at", (here > F.col("first")).alias("later"),
-        F.when((here == F.col("first")) & F.col("forks"), F.col("edges")).alias("edges"))
-    marked = pinned(marked.where("later or edges is not null"))
-    begin, size = F.shiftright("at", 16), F.col("at").bitwiseAND(F.lit(0xFFFF))
-    whole = marked.where("later").select("id", "th", begin.alias("begin"), (size + F.lit(k - 1)).alias("size"))
-    opened = marked.where("edges is not null").select(
-        "core", "id", "th", begin.alias("from"), F.posexplode("edges").alias("i", "edge")).select(
-        "core", "edge", F.struct("id", "th", (F.col("from") + F.col("i")).alias("at")).alias("place"))
-    firsts = pinned(opened.groupBy("core", "edge").agg(F.min("place").alias("first")))
-    single = opened.join(firsts, ["core", "edge"]).where("place > first").select(
-        "place.id", "place.th", F.col("place.at").alias("begin"), F.lit(k).cast("long").alias("size"))
-    return whole.unionByName(single)
+    found = candidate_paths(docs, k, m, holds)
+    paths = written(first_and_last(found, ["core", "path"]))
+    whole = written(later_places(found, paths, ["core", "path"]))
+    forks = paths.groupBy("core").count().where("count > 1").select("core")
+    opened = written(paths.select("core", tag(F.col("path"), F.col("first.id"), F.col("first.at")).alias("tag"))
+                     .join(forks, "core", "left_semi").select("tag"))
+    edges = written(edges_of(docs, k, m, holds, bitmap(opened, "tag") if opened.count() <= FILTER_ROOM else None))
+    single = later_places(edges, written(first_and_last(edges, ["core", "edge"])), ["core", "edge"])
+    th, begin, low = place_parts()
+    return (whole.select("id", th, begin, (low + F.lit(k - 1)).alias("size"))
+            .unionByName(written(single).select("id", th, begin, low.alias("size"))))
 
 
 def kept_words(part: Slice) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
