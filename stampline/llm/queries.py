@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from stampline.llm import oracles
 from stampline.llm.bpe import bpe_digests
 from stampline.llm.decontaminate import decontaminate
+from stampline.llm.rules import apply_rules, quality_rules
 from stampline.llm.simhash import near_duplicates
 from stampline.llm.substrings import substring_dedup
 from stampline.llm.suffixes import suffix_dedup
+from stampline.llm.texts import keyed
 from stampline.llm.url_filters import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +43,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query("op2_quality_rules")
+def op2(spark, sf):
+    docs = table(spark, sf, "documents")
+    rules = quality_rules(keyed(docs, "doc_id", "text"), table(spark, sf, "labels"))
+    return apply_rules(docs, rules)
+
+
 @query("op3_decontamination", oracles.DECONTAMINATION)
 def op3(spark, sf):
     return decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
