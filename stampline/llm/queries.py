@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stampline.llm import oracles
 from stampline.llm.bpe import bpe_digests
 from stampline.llm.decontaminate import decontaminate
+from stampline.llm.quality import quality_scores
 from stampline.llm.rules import apply_rules, quality_rules
 from stampline.llm.simhash import near_duplicates
 from stampline.llm.substrings import substring_dedup
@@ -43,6 +44,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query("op1_quality_classifier")
+def op1(spark, sf):
+    return quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query("op2_quality_rules")
 def op2(spark, sf):
     docs = table(spark, sf, "documents")
