@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stampline.llm import oracles
 from stampline.llm.bpe import bpe_digests
 from stampline.llm.decontaminate import decontaminate
+from stampline.llm.languages import language_predictions
 from stampline.llm.quality import quality_scores
 from stampline.llm.rules import apply_rules, quality_rules
 from stampline.llm.simhash import near_duplicates
@@ -66,6 +67,11 @@ def op4(spark, sf):
     return near_duplicates(table(spark, sf, "documents"))
 
 
+@query("op5_language_id")
+def op5(spark, sf):
+    return language_predictions(table(spark, sf, "documents"))
+
+
 @query("op6_bpe_automaton")
 def op6(spark, sf):
     return bpe_digests(table(spark, sf, "documents"), tokenizer_path())
