@@ -69,3 +69,42 @@ select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit
   n_hit is not null as contaminated
 from d left join covered using (doc_id) left join named using (doc_id)
 """
+
+LICENSES = rf"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+phrases(phrase, k, label) as (values ('gnu general public license', 4, 'gpl'), ('apache license', 2, 'apache'),
+  ('cc by', 2, 'cc-by'), ('mit license', 2, 'mit')),
+places as (
+  select doc_id, s - 1 as s, label
+  from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as s from d)
+  join phrases on array_to_string(ws[s:s + k - 1], ' ') = phrase),
+base as (
+  select doc_id, count(*) as n_base, min(s) as first_word, max(s) as last_word,
+    list_sort(list(distinct label)) as labels from places group by doc_id),
+templates(label, t) as (values
+  ('apache-2.0', 'licensed under the apache license version 2 0'),
+  ('gpl-3.0', 'gnu general public license version 3'),
+  ('gpl-2.0', 'gnu general public license version 2'),
+  ('mit-notice', 'released under the mit license'),
+  ('cc-by-4.0', 'licensed under cc by 4 0'),
+  ('cc-by-nc-4.0', 'licensed under cc by nc 4 0'),
+  ('cc-by-sa-4.0', 'licensed under cc by sa 4 0'),
+  ('bsd', 'redistribution and use in source and binary forms with or without modification are permitted'),
+  ('mpl-2.0', 'this source code form is subject to the terms of the mozilla public license v 2 0')),
+sets as (select label, list_distinct(string_split(t, ' ')) as t from templates),
+lines as (
+  select doc_id, list_distinct(regexp_extract_all(translate(l, '{_UPPER}', '{_LOWER}'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as ws from (select doc_id, unnest(ls) as l from d)),
+held as (
+  select doc_id, label, len(list_intersect(ws, t)) / len(t) as share from lines, sets
+  where len(list_intersect(ws, t)) >= ceil(0.9 * len(t) - 1e-9)),
+more as (select doc_id, list(distinct label) as labels, max(share) as share from held group by doc_id)
+select d.doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word,
+  coalesce(array_to_string(base.labels, ','), '') as base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []),
+    coalesce(more.labels, [])))), ','), '') as labels,
+  case when n_base > 0 then 1.0 else coalesce(share, 0.0) end::double as score
+from d left join base using (doc_id) left join more using (doc_id)
+"""

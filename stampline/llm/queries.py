@@ -10,6 +10,7 @@ from stampline.llm import oracles
 from stampline.llm.bpe import bpe_digests
 from stampline.llm.decontaminate import decontaminate
 from stampline.llm.languages import language_predictions
+from stampline.llm.licenses import license_scan
 from stampline.llm.quality import quality_scores
 from stampline.llm.rules import apply_rules, quality_rules
 from stampline.llm.simhash import near_duplicates
@@ -88,6 +89,11 @@ def op8(spark, sf):
     return url_verdicts(table(spark, sf, "pages"), rules)
 
 
+@query("op9_license_scan", oracles.LICENSES)
+def op9(spark, sf):
+    return license_scan(table(spark, sf, "documents"))
+
+
 @query("op10_substring_dedup", oracles.SUBSTRINGS)
 def op10(spark, sf):
     return substring_dedup(table(spark, sf, "documents"))
