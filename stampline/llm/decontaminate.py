@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stampline.llm.texts import (ALNUM, Rolling, Slice, Words, batch_of, bitmap, keyed, map_texts, mix, ranges, shown,
-                                 written)
+from stampline.llm.texts import (ALNUM, ID, MARK, Rolling, Slice, Words, batch_of, bitmap, keyed, map_texts, marked, mix,
+                                 ranges, shown, texts_of, written)
 
 
 def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,17 +88,17 @@ def candidates(docs: DataFrame, holds, sizes: list[int], width: int) -> DataFram
             [pa.array(hashes.view(np.int64)), pa.array(at - words.first[text]), pa.array(at - first),
              pa.array(around, pa.string())], ["shingle", "at", "lead", "around"])
         bounds = np.append(0, np.cumsum(np.bincount(text, minlength=part.n))).astype(np.int32)
-        return batch_of(id=part.batch.column("id"), n_words=words.count.astype(np.int64),
+        return batch_of(id=part.batch.column("id"), th=part.batch.column("th"), n_words=words.count.astype(np.int64),
                         places=pa.ListArray.from_arrays(pa.array(bounds), flat))
 
-    return map_texts(docs, "text", probe, "id long, n_words long, places array<struct<shingle:long, at:long, "
+    return map_texts(docs, "text", probe, "id long, th long, n_words long, places array<struct<shingle:long, at:long, "
                                           "lead:long, around:string>>")
 
 
 def hits(docs: DataFrame, items: DataFrame, width: int, shingle: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts: row, id, n_words), (hits: row, begin, n, window), (item, window).
+    """(texts: row, id, th, n_words), (hits: row, begin, n, window), (item, window).
 
-    docs and items: id, text. `row` numbers the input rows.
+    docs: id, th, text; items: id, text. `row` numbers the input rows.
     """
     pairs = written(item_windows(items, width, shingle))
     tokens = (pairs.select("window", "n", F.posexplode("shingles").alias("offset", "shingle"))
@@ -119,7 +119,7 @@ def hits(docs: DataFrame, items: DataFrame, width: int, shingle: int) -> tuple[D
              .where(F.slice(F.split("around", " "), (F.col("lead") - F.col("offset") + 1).cast("int"),
                             F.col("n").cast("int")) == F.split("window", " "))
              .select("row", begin.alias("begin"), "n", "window"))
-    return texts.select("row", "id", "n_words"), written(found.distinct()), pairs.select("item", "window").distinct()
+    return texts.select("row", "id", "th", "n_words"), written(found.distinct()), pairs.select("item", "window").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -132,7 +132,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     items no windows; items without an id count in n_hit alone. Rows stay as many as they are, repeated ids or
     rows included; equal items are all named. Other columns are left behind.
     """
-    texts, found, pairs = hits(keyed(docs, id_col, text_col), keyed(items, item_id, item_text), width, shingle)
+    texts, found, pairs = hits(texts_of(docs, id_col, text_col), keyed(items, item_id, item_text), width, shingle)
     spans = F.array_sort(F.collect_set(F.struct("begin", (F.col("begin") + F.col("n")).alias("end"))))
     covered = F.aggregate(
         spans, F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("total")),
@@ -148,3 +148,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         shown().alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"),
         F.col("n_hit").isNotNull().alias("contaminated")))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               item_id: str = "item_id", item_text: str = "text", width: int = 10, shingle: int = 4) -> DataFrame:
+    """The rows whose text holds no window of any item, with all their columns."""
+    texts, found, _ = hits(texts_of(docs, id_col, text_col), keyed(items, item_id, item_text), width, shingle)
+    bad = texts.join(found.select("row").distinct(), "row", "left_semi").select(
+        F.col("id").alias(ID), F.col("th").alias(MARK)).distinct()
+    return marked(docs, id_col, text_col).join(written(bad), [ID, MARK], "left_anti").select(docs.columns)

@@ -11,11 +11,13 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stampline.llm.rules import labelled_sample
-from stampline.llm.texts import (ALNUM, LOWER, Rolling, Slice, batch_of, byte_values, keyed, map_texts, mix, shown)
+from stampline.llm.texts import (ALNUM, LOWER, Rolling, Slice, arrow_batches, batch_of, byte_values, keyed, map_texts,
+                                 mix, shown, slices, text_udf)
 
 #: Labelled texts that the classifier is trained on at most.
 SAMPLE = 20_000
@@ -94,8 +96,6 @@ def train(sample: DataFrame, passes: int = 6) -> Model:
     size = 1 << LOG_SIZE
 
     def fit(batches):
-        from stampline.llm.texts import slices
-
         rows = []
         for batch in batches:
             for part in slices([batch], "text"):
@@ -133,18 +133,25 @@ def held_out(id_col: str, folds: int, hold: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string")) % folds == hold, F.lit(False))
 
 
+def dot_products(part: Slice, model: Model) -> np.ndarray:
+    """Scores of a slice's texts."""
+    slots, counts = hashed_ngrams(part)
+    sums = np.diff(np.append(0, np.cumsum(model.weights[slots], dtype=np.float64))[np.append(0, np.cumsum(counts))])
+    return 1 / (1 + np.exp(-np.clip(SCALE * sums / np.maximum(counts, 1) + model.bias, -35, 35)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col` (of the rows as they are), score (0 to 1, higher for label 1). Null and empty texts score the bias."""
+    """id (NO_ID for null) and score (0 to 1, higher for label 1). Null and empty texts score the bias."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^LOG_SIZE weights, 1 MB
+    return map_texts(keyed(docs, id_col, text_col), "text", lambda part: batch_of(
+        id=part.batch.column("id"), score=dot_products(part, shared.value)), "id long, score double")
 
-    def dot(part: Slice):
-        slots, counts = hashed_ngrams(part)
-        sums = np.diff(np.append(0, np.cumsum(shared.value.weights[slots], dtype=np.float64))[
-            np.append(0, np.cumsum(counts))])
-        logit = SCALE * sums / np.maximum(counts, 1) + shared.value.bias
-        return batch_of(id=part.batch.column("id"), score=1 / (1 + np.exp(-np.clip(logit, -35, 35))))
 
-    return map_texts(keyed(docs, id_col, text_col), "text", dot, "id long, score double")
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows whose text scores at least `least`, with all their columns; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = text_udf(lambda part: pa.array(dot_products(part, shared.value)), "double")
+    return arrow_batches(docs).where(scored(docs[text_col]) >= least)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

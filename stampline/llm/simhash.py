@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stampline.llm.components import components
-from stampline.llm.texts import PLAIN, batch_of, keyed, map_texts, mix, ranges, shown
+from stampline.llm.texts import ID, MARK, PLAIN, batch_of, map_texts, marked, mix, ranges, shown, texts_of
 from stampline.session import pinned
 
 #: Homes of one anchor that one slice compares.
@@ -33,22 +33,13 @@ _CODE = 15
 def shingle_hashes(part, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of every k-word shingle (all words of a text that has fewer), and how many each text has."""
     words = part.words(PLAIN, lower=True)
-    keep = np.zeros(len(words.buf) + 1, bool)
-    keep[:-1] = PLAIN[words.buf]
-    text_of = words.text_of()
-    inner = words.end[:-1][text_of[1:] == text_of[:-1]]  # one space between two words of a text
-    keep[inner] = True
-    buf = np.append(words.buf, np.uint8(0x20))
-    buf[inner] = 0x20
-    place = np.cumsum(keep)
-    joined = buf[keep].tobytes()
+    joined, begins, ends = words.joined()
     counts = np.where(words.count >= k, words.count - k + 1, np.minimum(words.count, 1))
     first = np.repeat(words.first[:-1], counts) + ranges(counts)
     last = np.minimum(first + k, np.repeat(words.first[1:], counts)) - 1
-    begin = (place[words.start[first]] - 1).tolist()
-    end = place[words.end[last] - 1].tolist()
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[b:e], seed) for b, e in zip(begin, end)], np.uint64), counts
+    hashes = [digest(joined[b:e], seed) for b, e in zip(begins[first].tolist(), ends[last].tolist())]
+    return np.array(hashes, np.uint64), counts
 
 
 def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -64,14 +55,14 @@ def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
-                 seed: int = 42) -> DataFrame:
-    """`id` (NO_ID for null) and `fp`, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, k: int = 4, seed: int = 42) -> DataFrame:
+    """id, th and `fp`, the fingerprint as a signed long. docs: id, th, text."""
 
     def digest(part):
-        return batch_of(id=part.batch.column("id"), fp=majority_bits(*shingle_hashes(part, k, seed)).view(np.int64))
+        return batch_of(id=part.batch.column("id"), th=part.batch.column("th"),
+                        fp=majority_bits(*shingle_hashes(part, k, seed)).view(np.int64))
 
-    return map_texts(keyed(docs, id_col, text_col), "text", digest, "id long, fp long")
+    return map_texts(docs, "text", digest, "id long, th long, fp long")
 
 
 class Cover:
@@ -205,6 +196,16 @@ def near_links(distinct: DataFrame, radius: int = 4, blocks: int = 3) -> DataFra
             .mapInArrow(lambda batches: anchor_links(batches, radius), "a long, b long"))
 
 
+def grouped(docs: DataFrame, id_col: str, text_col: str, k: int, radius: int, blocks: int,
+            seed: int) -> tuple[DataFrame, DataFrame]:
+    """(id, th, fp) of every row, and (fp, root) with the component of every distinct fingerprint."""
+    prints = pinned(fingerprints(texts_of(docs, id_col, text_col), k, seed))
+    distinct = pinned(prints.select("fp").distinct())
+    roots = components(near_links(distinct, radius, blocks), "a", "b")
+    return prints, pinned(distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        "fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
                     radius: int = 4, blocks: int = 3, seed: int = 42) -> DataFrame:
     """`id_col`, fingerprint (16 hex digits), component_id (smallest id in the component, itself included).
@@ -214,16 +215,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id stays null and is never a component_id unless all ids of the component are null. blocks: more parts
     mean fewer rows, larger anchors; radius // blocks of 0 or 1 is usual.
     """
-    prints = pinned(fingerprints(docs, id_col, text_col, k, seed))
-    distinct = pinned(prints.groupBy("fp").agg(F.min(shown()).alias("least")))
-    roots = components(near_links(distinct, radius, blocks), "a", "b")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    # Untied fingerprints are done; the others take the smallest id of their component.
-    tied = pinned(rooted.join(roots.select("root").distinct(), "root", "left_semi"))
-    lowest = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = tied.join(lowest, "root").select("fp", "component_id").unionByName(
-        rooted.join(roots.select("root").distinct(), "root", "left_anti")
-        .select("fp", F.col("least").alias("component_id")))
-    return prints.join(pinned(named), "fp").select(
+    prints, rooted = grouped(docs, id_col, text_col, k, radius, blocks, seed)
+    least = pinned(prints.groupBy("fp").agg(F.min(shown()).alias("least"))).join(rooted, "fp")
+    lowest = pinned(least.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = pinned(rooted.join(lowest, "root").select("fp", "component_id"))
+    return prints.join(named, "fp").select(
         shown().alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, radius: int = 4,
+               blocks: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each component with all its columns: that of the smallest id (then of the smallest mark of its
+    text); of wholly repeated rows one stays."""
+    prints, rooted = grouped(docs, id_col, text_col, k, radius, blocks, seed)
+    first = F.min(F.struct("id", "th"))
+    chosen = pinned(prints.groupBy("fp").agg(first.alias("first"))).join(rooted, "fp").groupBy("root").agg(
+        F.min("first").alias("first")).select(F.col("first.id").alias(ID), F.col("first.th").alias(MARK))
+    kept = marked(docs, id_col, text_col).join(pinned(chosen), [ID, MARK], "left_semi")
+    return kept.dropDuplicates([ID, MARK]).select(docs.columns)

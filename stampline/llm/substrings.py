@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stampline.llm.texts import (PLAIN, Rolling, Slice, batch_of, bitmap, cover, map_texts, mix, place, place_parts,
-                                 ranges, shown, sliding_argmin, texts_of, with_spans, written)
+from stampline.llm.texts import (ID, MARK, PLAIN, Rolling, Slice, arrow_batches, batch_of, bitmap, cover, map_texts,
+                                 marked, mix, place, place_parts, ranges, shown, sliding_argmin, text_udf, texts_of,
+                                 with_spans, written)
 
 #: The pre-filter's bitmap has 2^26 bits (8 MB). Past so many repeated minimizers it would hardly filter, and
 #: the second pass goes without it; the rows that it drops have no part in the result either way.
 FILTER_ROOM = 1 << 23
+SPANS = "__llm_spans"
 
 
 class Paths:
@@ -158,19 +160,27 @@ def kept_words(part: Slice) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words, removed words and the kept ones joined by one space, of each text with its `spans`."""
     words = part.words(PLAIN)
     gone = cover(part, words.first[:-1], len(words.start))
-    text_of = words.text_of()
-    stay = np.flatnonzero(~gone)
-    depth = np.zeros(len(words.buf) + 2, np.int8)
-    depth[words.start[stay]] += 1
-    np.subtract.at(depth, words.end[stay], 1)
-    keep = np.cumsum(depth, dtype=np.int8)[:-1] > 0
-    buf = np.append(words.buf, np.uint8(0x20))
-    space = words.end[stay[:-1]][text_of[stay[1:]] == text_of[stay[:-1]]]  # another kept word follows
-    keep[space] = True
-    buf[space] = 0x20
-    joined, bounds = buf[keep].tobytes(), np.append(0, np.cumsum(keep))[part.at]
+    stay, text_of = np.flatnonzero(~gone), words.text_of()
+    joined, begin, end = words.joined(stay)
+    bounds = np.searchsorted(stay, words.first)
+    edges = [(begin[a], end[b - 1]) if b > a else (0, 0) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
     removed = np.bincount(text_of[gone], minlength=part.n)
-    return words.count, removed, [joined[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    return words.count, removed, [joined[a:b] for a, b in edges]
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20,
+                    m: int = 8) -> DataFrame:
+    """All rows with all their columns; texts that lose words are their kept words, joined by one space, others
+    stay as they are. A column n_chars follows the text."""
+    spans = repeated_spans(texts_of(docs, id_col, text_col), k, m)
+    listed = spans.groupBy("id", "th").agg(F.collect_list(F.struct("begin", "size")).alias(SPANS))
+    rows = marked(docs, id_col, text_col).join(
+        listed.withColumnsRenamed({"id": ID, "th": MARK}), [ID, MARK], "left")
+    kept = text_udf(lambda part: pa.array(kept_words(part)[2], pa.binary()).cast(pa.string()), "string", "spans")
+    text = F.when(F.col(SPANS).isNull(), F.col(text_col)).otherwise(kept(F.col(text_col), F.col(SPANS)))
+    new = {text_col: text} | ({"n_chars": F.when(F.col(SPANS).isNull(), F.col("n_chars")).otherwise(
+        F.length(text).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    return arrow_batches(rows).withColumns(new).select(docs.columns)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 20,

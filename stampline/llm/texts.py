@@ -235,8 +235,39 @@ MARK_BITS = 12
 
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """`keyed`, and `th`, some bits of the text's hash, so that different texts sharing an id stay apart."""
-    return keyed(df, id_col, text_col).withColumn(
-        "th", F.coalesce(F.xxhash64("text").bitwiseAND(F.lit((1 << MARK_BITS - 1) - 1)), F.lit(0)))
+    return keyed(df, id_col, text_col).withColumn("th", text_mark(F.col("text")))
+
+
+#: Columns that row-keeping operators add for a while; no table has these names.
+ID, MARK = "__llm_id", "__llm_mark"
+
+
+def marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All columns of df, and the id and mark of `texts_of` under names of their own."""
+    return df.withColumns({ID: F.coalesce(df[id_col].cast("long"), F.lit(NO_ID)), MARK: text_mark(df[text_col])})
+
+
+def text_mark(text: Column) -> Column:
+    return F.coalesce(F.xxhash64(text).bitwiseAND(F.lit((1 << MARK_BITS - 1) - 1)), F.lit(0))
+
+
+def text_udf(fn: Callable[[Slice], pa.Array], kind: str, *names: str):
+    """An Arrow UDF that runs `fn` on slices of its first argument; further arguments are columns `names`."""
+
+    def run(text: pa.Array, *more: pa.Array) -> pa.Array:
+        batch = batch_of(text=text, **dict(zip(names, more)))
+        return pa.concat_arrays([fn(part) for part in slices([batch], "text")])
+
+    if not names:
+        def one(text: pa.Array) -> pa.Array:
+            return run(text)
+
+        return F.arrow_udf(one, kind)
+
+    def two(text: pa.Array, other: pa.Array) -> pa.Array:
+        return run(text, other)
+
+    return F.arrow_udf(two, kind)
 
 
 def place(th, begin, low=0):
