@@ -19,8 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import unicodedata
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,11 @@ from pyspark.sql import DataFrame
 
 from stampline.llm.texts import batch_of, keyed, map_texts, shown
 
+#: Stands for an end-of-word suffix inside the automaton.
+END = "\uffff"
 #: Words whose encoding a worker keeps, and transitions it keeps; past that it starts anew.
-KEPT_WORDS, KEPT_ARCS = 200_000, 400_000
-#: Unicode's White_Space characters.
+KEPT_WORDS, KEPT_ARCS = 300_000, 400_000
+#: Unicode's White_Space characters, fixed.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
 
@@ -46,9 +49,11 @@ class Automaton:
     """Token automaton of ordered merges over base symbols."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
-        self.labels = {i: s for s, i in vocab.items()}
         self.vocab = vocab
-        self.longest = max(map(len, vocab), default=0)
+        self.reach: dict[str, int] = {}  # first four characters -> longest token that begins so
+        for label in vocab:
+            if len(label) > 3:
+                self.reach[label[:4]] = max(len(label), self.reach.get(label[:4], 3))
         self.to: dict[int, int] = {}           # token -> state its arcs lead to
         self.made: dict[int, tuple[int, int]] = {}  # token -> (its left part, when it was made)
         parent = [-1]
@@ -66,7 +71,6 @@ class Automaton:
         self._number(parent)
         self.spans = {label: self._nested(states) for label, states in lost.items()}
         self.arcs: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
 
     def _number(self, parent: list[int]) -> None:
         below: list[list[int]] = [[] for _ in parent]
@@ -127,29 +131,54 @@ class Automaton:
             self.arcs[key] = known
         return known
 
-    def encode(self, symbols: list[str]) -> tuple[int, ...]:
-        """Token ids of one pre-split word, given as base symbols."""
-        n = len(symbols)
-        ends = [0]
-        for s in symbols:
-            ends.append(ends[-1] + len(s))
-        text = "".join(symbols)
-        state, back = [0] + [-1] * n, [(0, 0)] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(i - 1, -1, -1):
-                if ends[i] - ends[j] > self.longest:
-                    break
-                token = self.vocab.get(text[ends[j]:ends[i]])
-                if token is not None and state[j] >= 0 and self.has_arc(state[j], token):
-                    state[i], back[i] = self.to.get(token, 0), (j, token)
-                    break
-        if n and state[n] < 0:
-            raise ValueError(f"no path for {text!r}")
-        ids, i = [], n
-        while i:
-            i, token = back[i]
-            ids.append(token)
-        return tuple(reversed(ids))
+    def encode(self, text: str) -> list[int]:
+        """Token ids of one pre-split word, given as its base symbols joined: the path through the automaton.
+
+        Longer arcs are tried first. A place from which no path goes on is tried once: whatever path led
+        there, its state is the same.
+        """
+        n, at, state = len(text), 0, 0
+        tokens: list[int] = []
+        trail: list[tuple[int, int, int]] = []
+        dead: set[int] = set()
+        vocab, arcs, reach, to = self.vocab, self.arcs, self.reach, self.to
+        size = min(n, reach.get(text[:4], 3))
+        while at < n:
+            while size:
+                token = vocab.get(text[at:at + size])
+                if token is not None and at + size not in dead:
+                    known = arcs.get(state << 20 | token)
+                    if known or known is None and self.has_arc(state, token):
+                        break
+                size -= 1
+            if size:
+                trail.append((at, state, size))
+                tokens.append(token)
+                state = to.get(token, 0)
+                at += size
+                size = min(n - at, reach.get(text[at:at + 4], 3))
+            elif trail:
+                dead.add(at)
+                at, state, size = trail.pop()
+                tokens.pop()
+                size -= 1
+            else:
+                raise ValueError(f"no path for {text!r}")
+        return tokens
+
+
+class Kept(dict):
+    """Words and what they encode to; what is missing is made, and past `room` words it starts anew."""
+
+    def __init__(self, make, room: int):
+        super().__init__()
+        self.make, self.room = make, room
+
+    def __missing__(self, word):
+        if len(self) >= self.room:
+            self.clear()
+        self[word] = out = self.make(word)
+        return out
 
 
 class WordTokenizer:
@@ -159,44 +188,43 @@ class WordTokenizer:
     def __init__(self, source: dict):
         model = source["model"]
         pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        self.automaton = Automaton(model["vocab"], pairs)
-        self.suffix = model["end_of_word_suffix"] or ""
+        # The suffix is one character that no symbol has, so that it isn't cut.
+        suffix = model["end_of_word_suffix"] or ""
+        marked = (lambda t: t[:-len(suffix)] + END if suffix and t.endswith(suffix) else t)
+        vocab = {marked(t): i for t, i in model["vocab"].items()}
+        self.automaton = Automaton(vocab, [(marked(a), marked(b)) for a, b in pairs])
+        self.end = END if suffix else ""
         self.special = {t["content"]: t["id"] for t in source["added_tokens"]}
-        self.labels = self.automaton.labels | {i: s for s, i in self.special.items()}
+        self.labels = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
-        self.white = regex.compile(f"[{WHITE}]+")
         self.symbols = byte_symbols()
-        self.plain = regex.compile(r"[\x00-\x7f]*")
-        self.kept: dict[str, tuple[bytes, int, str]] = {}
+        self.kept = Kept(self._word, KEPT_WORDS)
 
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
         with open(path, encoding="utf-8") as f:
             return cls(json.load(f))
 
-    def _word(self, word: str) -> tuple[bytes, int, str]:
-        """Ids as little-endian bytes, their number, and their labels joined by a space."""
-        symbols = [self.symbols[b] for b in word.encode()]
-        symbols[-1] += self.suffix
-        ids = self.automaton.encode(symbols)
-        if len(self.kept) >= KEPT_WORDS:
-            self.kept.clear()
-        out = (np.array(ids, "<u4").tobytes(), len(ids), " ".join(self.labels[i] for i in ids))
-        self.kept[word] = out
-        return out
+    def _word(self, word: str) -> tuple[bytes, str]:
+        """Ids as little-endian bytes, and their labels joined by a space."""
+        text = word if word.isascii() and word.isprintable() else "".join(map(self.symbols.__getitem__, word.encode()))
+        ids = self.automaton.encode(text + self.end)
+        return array("I", ids).tobytes(), " ".join([self.labels[i] for i in ids])
 
-    def pieces(self, text: str) -> Iterator[tuple[bytes, int, str]]:
+    def pieces(self, text: str) -> list[tuple[bytes, str]]:
+        """Of every word in turn; special tokens are words too. White space only parts words."""
+        out: list[tuple[bytes, str]] = []
         for k, part in enumerate(self.cut.split(text) if self.cut and "<" in text else [text]):
             if k % 2:
-                yield np.array([self.special[part]], "<u4").tobytes(), 1, part
+                out.append((array("I", [self.special[part]]).tobytes(), part))
                 continue
             if not part.isascii():
-                part = regex.sub("Σ", "σ", _nfc(part))  # each character is lower-cased by itself
-            get = self.kept.get
-            for word in self.word.findall(self.white.sub(" ", part).lower()):
-                yield get(word) or self._word(word)
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # each character is lowered by itself
+            kept = self.kept
+            out += [kept[word] for word in self.word.findall(part.lower())]
+        return out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(b"".join(p[0] for p in self.pieces(text)), "<u4").tolist()
@@ -205,12 +233,6 @@ class WordTokenizer:
         return " ".join(self.labels[i] for i in ids)
 
 
-def _nfc(text: str) -> str:
-    import unicodedata
-
-    return unicodedata.normalize("NFC", text)
-
-
 _LOADED: dict[str, WordTokenizer] = {}
 
 
@@ -221,8 +243,10 @@ def tokenizer(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col`, n_tokens, ids_sha256 (ids as little-endian 32-bit integers), decoded_sha256 of every text.
+def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+                tokens: bool = False) -> DataFrame:
+    """`id_col`, n_tokens, ids_sha256 (ids as little-endian 32-bit integers), decoded_sha256 of every text, and with
+    `tokens` also `ids` (array of int) and `decoded`.
 
     path: a tokenizer file that every worker can open, installed with its package. A null text is empty: no
     tokens, digests of nothing. Rows stay as many as they are; equal rows give equal digests; other columns
@@ -230,32 +254,23 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """
 
     def digest(part):
-        t = tokenizer(path)
-        n, ids, texts = [], [], []
-        for text in part.batch.column("text").to_pylist():
-            pieces = list(t.pieces(text)) if text else []
-            n.append(sum(p[1] for p in pieces))
-            ids.append(hashlib.sha256(b"".join(p[0] for p in pieces)).hexdigest())
-            texts.append(hashlib.sha256(" ".join(p[2] for p in pieces).encode()).hexdigest())
-        return batch_of(id=part.batch.column("id"), n_tokens=pa.array(n, pa.int64()), ids_sha256=ids,
-                        decoded_sha256=texts)
-
-    out = map_texts(keyed(docs, id_col, text_col), "text", digest,
-                    "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.select(shown().alias(id_col), "n_tokens", "ids_sha256", "decoded_sha256")
-
-
-def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col`, `ids` (array of int) and `decoded` of every text; nulls and rows as in `bpe_digests`."""
-
-    def encode(part):
         t = tokenizer(path)
         ids, texts = [], []
         for text in part.batch.column("text").to_pylist():
-            pieces = list(t.pieces(text)) if text else []
-            ids.append(np.frombuffer(b"".join(p[0] for p in pieces), "<u4").astype(np.int32))
-            texts.append(" ".join(p[2] for p in pieces))
-        return batch_of(id=part.batch.column("id"), ids=pa.array(ids, pa.list_(pa.int32())), decoded=texts)
-
-    out = map_texts(keyed(docs, id_col, text_col), "text", encode, "id long, ids array<int>, decoded string")
-    return out.select(shown().alias(id_col), "ids", "decoded")
+            pieces = t.pieces(text) if text else []
+            ids.append(b"".join([p[0] for p in pieces]))
+            texts.append(" ".join([p[1] for p in pieces]))
+        sizes = [len(x) // 4 for x in ids]
+        out = {"id": part.batch.column("id"), "n_tokens": pa.array(sizes, pa.int64()),
+               "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+               "decoded_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in texts]}
+        if tokens:
+            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            out |= {"ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), flat),
+                    "decoded": pa.array(texts, pa.string())}
+        return batch_of(**out)
+
+    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    out = map_texts(keyed(docs, id_col, text_col), "text", digest,
+                    schema + ", ids array<int>, decoded string" * tokens)
+    return out.select(shown().alias(id_col), *out.columns[1:])
