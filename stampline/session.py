@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +46,21 @@ def pinned(df: DataFrame) -> DataFrame:
     a lost executor costs one re-read instead of the whole lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_SHIPPED = "_stampline_shipped"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context: they need not have it on their path."""
+    sc = spark.sparkContext
+    if getattr(sc, _SHIPPED, False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.parent.is_dir():  # else imported from an archive that was sent already
+        archive = Path(tempfile.mkdtemp(prefix="run-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        sc.addPyFile(str(archive))
+    setattr(sc, _SHIPPED, True)
