@@ -4,7 +4,7 @@ The automaton reads tokens: a sequence of tokens has a path exactly if it is the
 It starts as one state with an arc for every base symbol. Each merge (u, v) -> w, in order of rank, is one
 gadget: the state that u leads to is copied without its v-arc, u then leads to the copy, and every state that
 has a u-arc gets a w-arc to where v led. So each merge adds one state, all arcs with one label lead to one
-state, and a state differs from the one it was copied from by the one arc it lost.
+state, and a state differs from the one it was copied from by the one arc it lost. A merge whose u-state has no v-arc adds nothing.
 
 The table therefore keeps, per token, the state it leads to, and per state its parent, the label it lost and
 when. States form a tree; "has state q lost label v before time m" asks for an ancestor of q, which intervals
@@ -58,10 +58,13 @@ class Automaton:
         self.made: dict[int, tuple[int, int]] = {}  # token -> (its left part, when it was made)
         parent = [-1]
         lost: dict[int, list[tuple[int, int]]] = {}  # label -> (state that lost it, when)
+        gadgets: dict[tuple[int, int], int] = {}
+        ends_with: dict[int, int] = {}  # token -> its right part
         for when, (left, right) in enumerate(merges, 1):
             u, v, w = vocab[left], vocab[right], vocab[left + right]
-            if w in self.made:
-                continue  # a second way to the same token adds no arc
+            if w in self.made or not self._follows(u, v, gadgets, ends_with):
+                continue
+            gadgets[u, v], ends_with[w] = when, v
             target = self.to.get(v, 0)
             parent.append(self.to.get(u, 0))
             lost.setdefault(v, []).append((len(parent) - 1, when))
@@ -72,6 +75,23 @@ class Automaton:
         self.spans = {label: self._nested(states) for label, states in lost.items()}
         self.arcs: dict[int, bool] = {}
 
+    def _follows(self, u: int, v: int, gadgets: dict[tuple[int, int], int], ends_with: dict[int, int]) -> bool:
+        """Whether the state after u has a v-arc so far. It lost those of the gadgets of u, and of u's right
+        parts from before they became parts."""
+        label, until = v, 1 << 60
+        while True:
+            token, before = u, 1 << 60
+            while True:
+                lost = gadgets.get((token, label), 1 << 61)
+                if lost < before and lost <= until:
+                    return False
+                if token not in ends_with:
+                    break
+                token, before = ends_with[token], self.made[token][1]
+            if label not in self.made:
+                return True
+            label, until = self.made[label]
+
     def _number(self, parent: list[int]) -> None:
         below: list[list[int]] = [[] for _ in parent]
         for state, p in enumerate(parent[1:], 1):

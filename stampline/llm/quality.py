@@ -23,7 +23,7 @@ from stampline.llm.texts import (ALNUM, LOWER, Rolling, Slice, arrow_batches, ba
 SAMPLE = 20_000
 #: Weights.
 LOG_SIZE = 18
-SHARDS = 8
+SHARDS = 4
 _WORD = ALNUM | np.isin(np.arange(256), list(range(0x41, 0x5B)))
 _KIND = np.where(_WORD, 1, 2)
 _KIND[[0x20, *range(0x09, 0x0E)]] = 0
@@ -91,7 +91,7 @@ class Model(NamedTuple):
     bias: float
 
 
-def train(sample: DataFrame, passes: int = 6) -> Model:
+def train(sample: DataFrame, passes: int = 10) -> Model:
     """Averaged weights of FTRL on each shard of `sample` (id, text, y). Without rows all scores are 0.5."""
     size = 1 << LOG_SIZE
 
@@ -103,7 +103,8 @@ def train(sample: DataFrame, passes: int = 6) -> Model:
                 y = part.column("y")
                 for i, s in enumerate(np.split(slots, np.cumsum(counts)[:-1])):
                     at, n = np.unique(s, return_counts=True)
-                    rows.append((np.append(at, size), np.append(SCALE * n / max(1, len(s)), 1.0), float(y[i])))
+                    rows.append((np.append(at, size).astype(np.int32),
+                                 np.append(SCALE * n / max(1, len(s)), 1.0).astype(np.float32), float(y[i])))
         if rows:
             model, draw = Ftrl(size), np.random.default_rng(7)
             for _ in range(passes):

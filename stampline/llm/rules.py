@@ -122,7 +122,8 @@ def _grown(x: dict[str, np.ndarray], bad: np.ndarray, cuts: int) -> Rule:
         best, gain = None, 1e-9
         for name, values in x.items():
             v, b = values[mine], bad[mine]
-            for t in np.unique(np.quantile(v[b], np.linspace(0, 1, cuts))):
+            steps = np.linspace(0, 1, cuts)
+            for t in np.unique(np.concatenate([np.quantile(v[b], steps), np.quantile(v[~b], steps)])):
                 above = v >= t
                 for up, chosen in ((True, above), (False, ~above)):
                     p1, n1 = int(b[chosen].sum()), int((~b[chosen]).sum())

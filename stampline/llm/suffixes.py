@@ -154,7 +154,8 @@ def refine(table: pa.Table, width: int) -> pa.RecordBatch | None:
     buf, at = flat_bytes(column["bytes"])
     chosen = np.flatnonzero(new)  # a repeated row is no second place
     size = column["size"].to_numpy()[chosen]
-    quarter, half = width // 4, width // 2
+    half = (width + 1) // 2
+    quarter = (half + 1) // 2
     places = np.arange(len(buf) - quarter + 1)
     grams = mix(Rolling(byte_values(2)[buf], 2).of(places, places + quarter))
     bucket = np.unique(grams, return_inverse=True)[1]

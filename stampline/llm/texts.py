@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stampline.session import ensure_checkpoint_dir
+from stampline.session import ensure_checkpoint_dir, ship
 
 SLICE = 1 << 20
 #: Rows without an id share one; it is the smallest long, below any real id.
@@ -40,7 +40,8 @@ def ascii_lower(col: Column) -> Column:
 
 
 def arrow_batches(df: DataFrame) -> DataFrame:
-    """Bound the Arrow batches of this session by bytes as well as by rows, where it leaves them unbounded."""
+    """Smaller Arrow batches where the session has Spark's default, and the package for the Python workers."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) >= 10000:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
