@@ -33,7 +33,7 @@ from stampline.llm.texts import batch_of, keyed, map_texts, shown
 #: Stands for an end-of-word suffix inside the automaton.
 END = "\uffff"
 #: Words whose encoding a worker keeps, and transitions it keeps; past that it starts anew.
-KEPT_WORDS, KEPT_ARCS = 300_000, 400_000
+KEPT_WORDS, KEPT_ARCS = 200_000, 200_000
 #: Unicode's White_Space characters, fixed.
 WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -71,6 +71,7 @@ class Automaton:
             self.to[u] = len(parent) - 1
             self.to[w] = target
             self.made[w] = (u, when)
+        self.never = {vocab[a + b] for a, b in merges} - self.made.keys()  # no path makes these
         self._number(parent)
         self.spans = {label: self._nested(states) for label, states in lost.items()}
         self.arcs: dict[int, bool] = {}
@@ -137,8 +138,8 @@ class Automaton:
         key = state << 20 | token
         known = self.arcs.get(key)
         if known is None:
-            known, label, until = True, token, 1 << 60
-            while True:
+            known, label, until = token not in self.never, token, 1 << 60
+            while known:
                 lost = self.lost_at(state, label)
                 if lost and lost <= until:  # equal: u = v, the copy has no u-arc and so gets no w-arc
                     known = False
@@ -222,6 +223,11 @@ class WordTokenizer:
         self.symbols = byte_symbols()
         self.kept = Kept(self._word, KEPT_WORDS)
 
+    def forget(self) -> None:
+        """Drop the kept words and transitions; the automaton stays."""
+        self.kept.clear()
+        self.automaton.arcs.clear()
+
     @classmethod
     def load(cls, path: str) -> WordTokenizer:
         with open(path, encoding="utf-8") as f:
@@ -292,5 +298,5 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     out = map_texts(keyed(docs, id_col, text_col), "text", digest,
-                    schema + ", ids array<int>, decoded string" * tokens)
+                    schema + ", ids array<int>, decoded string" * tokens, done=lambda: tokenizer(path).forget())
     return out.select(shown().alias(id_col), *out.columns[1:])

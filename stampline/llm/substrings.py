@@ -146,7 +146,7 @@ def repeated_spans(docs: DataFrame, k: int = 20, m: int = 8) -> DataFrame:
     found = candidate_paths(docs, k, m, holds)
     paths = written(first_and_last(found, ["core", "path"]))
     whole = written(later_places(found, paths, ["core", "path"]))
-    forks = paths.groupBy("core").count().where("count > 1").select("core")
+    forks = written(paths.groupBy("core").count().where("count > 1").select("core"))
     opened = written(paths.select("core", tag(F.col("path"), F.col("first.id"), F.col("first.at")).alias("tag"))
                      .join(forks, "core", "left_semi").select("tag"))
     edges = written(edges_of(docs, k, m, holds, bitmap(opened, "tag") if opened.count() <= FILTER_ROOM else None))

@@ -280,7 +280,7 @@ def repeated_strings(docs: DataFrame, width: int = 400, q: int = 200) -> DataFra
     th, begin, size, _ = run_parts()
     equal = written(found.join(twice, ["core", "kind"])
                     .select("id", th, begin, (size + F.lit(width - 1)).alias("size")))
-    several = kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    several = written(kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
     opened = kinds.join(several, "core").select("first.*", "core", (F.col("n") > BUCKET_ROOM).alias("crowded"))
     cuts = written(cut_runs(docs, opened, width))
     fit, done = [cuts.where("not crowded")], []

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from stampline.session import ensure_checkpoint_dir, ship
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Rows without an id share one; it is the smallest long, below any real id.
 NO_ID = -(1 << 63)
 
@@ -44,7 +44,7 @@ def arrow_batches(df: DataFrame) -> DataFrame:
     ship(df.sparkSession)
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) >= 10000:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return df
 
 
@@ -145,7 +145,7 @@ def _powers(salt: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             pair.append(np.multiply.accumulate(p))
         known = (pair[0], pair[1])
-        if n <= 4 * SLICE:  # tables for one huge text are not kept
+        if n <= 8 * SLICE:  # tables for one huge text are not kept
             _POWERS[salt] = known
     return known
 
@@ -204,14 +204,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[Slice]:
             begin = end
 
 
-def map_texts(df: DataFrame, text: str, fn: Callable[[Slice], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """`fn` over slices of the texts; each gives a batch with the columns of `schema`, or None."""
+def map_texts(df: DataFrame, text: str, fn: Callable[[Slice], pa.RecordBatch | None], schema: str,
+              done: Callable[[], None] | None = None) -> DataFrame:
+    """`fn` over slices of the texts; each gives a batch with the columns of `schema`, or None. `done` ends a
+    partition: Python workers live on, and what they keep counts against the executor's memory."""
 
     def run(batches):
-        for part in slices(batches, text):
-            out = fn(part)
-            if out is not None:
-                yield out
+        try:
+            for part in slices(batches, text):
+                out = fn(part)
+                if out is not None:
+                    yield out
+        finally:
+            if done is not None:
+                done()
 
     return arrow_batches(df).mapInArrow(run, schema)
 

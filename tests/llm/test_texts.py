@@ -22,11 +22,10 @@ EDGES = [(1, None), (2, ""), (3, " \t\n"), (4, "!!! 123"), (None, "null id text"
 @pytest.fixture(scope="module")
 def graded(prose):
     rng = random.Random(1)
-    good = [(i, prose(i, 60) + ".") for i in range(150)]
+    good = [(100 + i, prose(i, 60) + ".") for i in range(150)]
     bad = [(1000 + i, " ".join(w + rng.choice(["***", "$$$", "###"]) for w in prose(5000 + i, 60).split()))
            for i in range(75)]
-    bad += [(2000 + i, " ".join([w] * 9 * (i % 3 + 1) for w in ()) or " ".join(
-        w for w in prose(7000 + i, 6).split() for _ in range(10))) for i in range(75)]
+    bad += [(2000 + i, " ".join(w for w in prose(7000 + i, 6).split() for _ in range(10))) for i in range(75)]
     return good, bad
 
 
@@ -41,7 +40,8 @@ def test_classifier_on_held_out_texts(spark, documents, graded):
     truth = {d: 1 for d, _ in good} | {d: 0 for d, _ in bad}
     held = [r for r in got if r.held_out and r.doc_id in truth]
     assert len(held) > 60
-    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    wrong = [(r.doc_id, r.score) for r in held if r.predicted != truth[r.doc_id]]
+    assert len(wrong) < 0.05 * len(held), wrong
     assert len(got) == len(good) + len(bad) + len(EDGES)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
 
@@ -201,8 +201,6 @@ def test_tokens_equal_the_library(library):
 def test_token_digests(documents, library):
     rows = [*EDGES, (7, "Hello wörld, it's 2024! <|endoftext|>"), (7, "Hello wörld, it's 2024! <|endoftext|>")]
     got = bpe.bpe_digests(documents(rows), queries.tokenizer_path(), tokens=True).collect()
-    for r, (d, text) in zip(sorted(got, key=str), sorted(rows, key=str)):
-        pass
     seen = {r.doc_id: r for r in got}
     for d, text in rows:
         ids = library.encode(text or "", add_special_tokens=False).ids
@@ -321,10 +319,7 @@ def test_contamination_matches_brute_force(documents, items, prose):
         rows.append((100 + i, ", ".join(w)))
     rows += [(300, "The, THE the. the the"), (301, "short item HERE short item here"), (301, "clean")]
     got = sorted(map(tuple, decontaminate.decontaminate(documents(rows), items[1]).collect()), key=str)
-    assert got == sorted(brute.contamination(
-        [(d, t) for d, t in rows if d is not None], items[0]) + brute.contamination(
-        [(None, t) for d, t in rows if d is None], items[0]), key=str) if False else got == sorted(
-        [x for d, t in rows for x in brute.contamination([(d, t)], items[0])], key=str)
+    assert got == sorted([x for row in rows for x in brute.contamination([row], items[0])], key=str)
     clean = decontaminate.keep_clean(documents(rows), items[1])
     bad = {(x[0], x[4]) for x in got if x[5]}
     assert clean.count() == sum(not x[5] for x in got) and bad
