@@ -26,8 +26,8 @@ def uniform(*parts: Column) -> Column:
     return hashed_int(*parts) / F.lit(4294967296.0)
 
 
-def poisson1_cuts(upto: int = 10) -> list[float]:
-    """CDF of Poisson(1) at 0..upto."""
+def poisson1_cuts(upto: int = 12) -> list[float]:
+    """CDF of Poisson(1) at 0..upto; what lies above 12 is less than one step of a 32-bit draw."""
     total, cuts = 0.0, []
     for k in range(upto + 1):
         total += math.exp(-1.0) / math.factorial(k)

@@ -21,7 +21,6 @@ SLICE = "_slice"
 ROWS_PER_SLICE = 4_000_000
 #: Cut points one broadcast may carry (8 bytes each).
 MAX_BROADCAST_CUTS = 2_000_000
-MAX_CUTS_PER_KEY = 10_000
 
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left",
@@ -52,7 +51,7 @@ def tag_slices(df: DataFrame, keys: list[str], order: Column, rows_per_slice: in
     largest, n_hot = hot.agg(F.max("_rows"), F.count(F.lit(1))).first()
     if not n_hot:
         return df.withColumn(SLICE, F.lit(0)), False
-    n_cuts = min(MAX_CUTS_PER_KEY, math.ceil(largest / budget))
+    n_cuts = math.ceil(largest / budget)
     shares = [i / (n_cuts + 1) for i in range(1, n_cuts + 1)]
     small_enough = n_hot * n_cuts <= MAX_BROADCAST_CUTS
     hot_rows = attach(df.withColumn("_o", order), hot, keys, "inner", broadcast=small_enough)

@@ -36,7 +36,7 @@ def prevalence_arm(df: DataFrame, label: str, split: str, by: list[str] | None =
     base = df.where(F.col(split) == train)
     if not by:
         return df.crossJoin(F.broadcast(base.agg(rate)))  # one row
-    return df.join(base.groupBy(*by).agg(rate), by, "left")
+    return df.join(F.broadcast(base.groupBy(*by).agg(rate)), by, "left")  # declared cells
 
 
 def tree_params(trial: dict) -> dict:
@@ -55,21 +55,27 @@ def fit_gbt_arm(matrix: DataFrame, label: str, numeric: list[str], categorical:
     """Boosted trees on the train split, stopped early on the validation split.
 
     A NULL number gets an indicator and a constant below every value, so one split can isolate
-    it; a NULL category is a level of its own. Spark stops on validation loss, not on AUROC.
+    it; a NULL category is a level of its own. Spark stops on validation loss, not on AUROC. Without
+    validation rows all rounds are fitted. Trees get as many bins as the widest category has levels.
     """
     rows = with_tree_columns(matrix, label, numeric, categorical).where(F.col(split).isin("train", "val")) \
         .withColumn("is_val", F.col(split) == "val")
     indexed = [f"{c}__i" for c in categorical]
-    stages = []
+    stages, levels = [], 0
     if categorical:
-        stages.append(StringIndexer(inputCols=[f"{c}__s" for c in categorical], outputCols=indexed, handleInvalid="keep"))
+        index = StringIndexer(inputCols=[f"{c}__s" for c in categorical], outputCols=indexed, handleInvalid="keep").fit(rows)
+        levels = max(map(len, index.labelsArray))
+        stages.append(index)
+    validation = {"validationIndicatorCol": "is_val"} if rows.where("is_val").head(1) else {}
     features = [f"{c}__x" for c in numeric] + [f"{c}__na" for c in numeric] + indexed
     stages.append(VectorAssembler(inputCols=features, outputCol="features"))
-    stages.append(GBTClassifier(labelCol="target", featuresCol="features", validationIndicatorCol="is_val",
-                                maxIter=max_iter, seed=seed, maxBins=64, **tree_params(trial or {})))
+    stages.append(GBTClassifier(labelCol="target", featuresCol="features", maxIter=max_iter, seed=seed,
+                                maxBins=max(BINS, levels + 1), **validation, **tree_params(trial or {})))
     return Pipeline(stages=stages).fit(rows)
 
 
+#: Bins of a number; a category needs one per level and one for unseen ones.
+BINS = 64
 #: Stands in for a NULL number; far below any feature value.
 MISSING_NUMBER = -1.0e9
 
@@ -100,7 +106,7 @@ def trials(budget: int, seed: int = 0) -> list[dict]:
 
 def random_search(matrix: DataFrame, label: str, numeric: list[str], categorical: list[str], split: str,
                   budget: int, seed: int = 0, parallel: int = 2, max_iter: int = 10) -> DataFrame:
-    """(trial, parameters, val_auroc, best): scored on the validation split only.
+    """(trial, parameters, val_auroc, best): scored on the validation split only; none is best without one.
 
     Each fit is a distributed job; a few run side by side. Only one number per trial comes back.
     """
@@ -117,7 +123,8 @@ def search_shared(matrices: dict[str, DataFrame], numeric: list[str], categorica
         matrix = matrices[label]
         model = fit_gbt_arm(matrix, label, numeric, categorical, split, plan[i], 0, max_iter)
         scored = predict(model, matrix.where(F.col(split) == "val"), label, numeric, categorical, [])
-        return i, label, auroc(scored, "y", "score").first().auroc
+        found = auroc(scored, "y", "score").first()
+        return i, label, found.auroc if found else None
 
     jobs = [(i, label) for i in range(budget) for label in matrices]
     with ThreadPoolExecutor(parallel) as pool:
@@ -131,13 +138,15 @@ def search_shared(matrices: dict[str, DataFrame], numeric: list[str], categorica
     out = grid.join(mean, "trial")
     top = out.agg(F.max(F.struct("val_auroc", (-F.col("trial")).alias("t"))).alias("_m")) \
         .select((-F.col("_m.t")).alias("_best"))
-    return out.crossJoin(F.broadcast(top)).withColumn("best", F.col("trial") == F.col("_best")).drop("_best")
+    best = (F.col("trial") == F.col("_best")) & F.col("val_auroc").isNotNull()
+    return out.crossJoin(F.broadcast(top)).withColumn("best", best).drop("_best")
 
 
 def score_arm(preds: DataFrame, by: list[str]) -> DataFrame:
     """AUROC, average precision, Brier score, counts and prevalence per cell."""
-    roc = auroc(preds, "y", "score", by)
-    return roc.join(auprc(preds, "y", "score", by), by).join(brier(preds, "y", "score", by), by).select(
+    roc = auroc(preds, "y", "score", by).withColumn("n_items", F.col("n_pos") + F.col("n_neg"))
+    squares = brier(preds, "y", "score", by).drop("n_items")
+    return roc.join(auprc(preds, "y", "score", by), by).join(squares, by).select(
         *by, "auroc", "auprc", "brier", "n_items", F.col("n_pos").alias("n_positives"),
         (F.col("n_pos") / F.col("n_items")).alias("prevalence"))
 

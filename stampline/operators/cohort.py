@@ -115,8 +115,8 @@ def first_of_episode_counts(df: DataFrame, seq: str, episode: str) -> DataFrame:
     """One row: kept and dropped rows, episodes kept, episodes whose first row is tied."""
     per = df.groupBy(episode).agg(F.count_if(F.col(seq) == 0).alias("_first"),
                                   F.count(F.lit(1)).alias("_rows"))
-    return per.agg(F.sum("_first").alias("kept_rows"),
-                   (F.sum("_rows") - F.sum("_first")).alias("dropped_rows"),
+    kept, rows = (F.coalesce(F.sum(c), F.lit(0)) for c in ("_first", "_rows"))  # no rows: zero
+    return per.agg(kept.alias("kept_rows"), (rows - kept).alias("dropped_rows"),
                    F.count_if((F.col("_first") > 0) & F.col(episode).isNotNull()).alias("episodes"),
                    F.count_if((F.col("_first") > 1) & F.col(episode).isNotNull()).alias("tied_episodes"))
 

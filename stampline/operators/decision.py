@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,13 @@ from stampline.session import pinned
 
 
 def grid(lo: float, hi: float, step: float) -> list[float]:
-    """Thresholds lo, lo + step, …, hi."""
-    return [round(lo + i * step, 10) for i in range(int(round((hi - lo) / step)) + 1)]
+    """Thresholds from lo up to hi, each a step above the one before, in exact decimals."""
+    at, end, by = (Decimal(str(x)) for x in (lo, hi, step))
+    cuts = []
+    while at <= end:
+        cuts.append(float(at))
+        at += by
+    return cuts
 
 
 def net_benefit(tp: Column, fp: Column, n: Column, t: Column) -> Column:
@@ -83,13 +90,16 @@ def net_benefit_at(pooled: DataFrame, seeds: DataFrame, y: str, p: str, threshol
         "beats_treat_all": F.col("vs_treat_all_lo") > 0, "beats_treat_none": F.col("ci_lo") > 0})
 
 
-def usable_probability_verdict(ece: DataFrame, benefit: DataFrame, by: list[str]) -> DataFrame:
-    """Calibrated only if inside the null band under every scheme; joined to benefit and ranked.
+def usable_probability_verdict(ece: DataFrame, benefit: DataFrame, by: list[str], n_schemes: int = 2) -> DataFrame:
+    """Calibrated only if inside the null band under each of the declared schemes; joined to benefit and ranked.
+
+    A scheme that is missing or has no band counts against the cell.
 
     Cells are declared (arm, label) pairs, so the ranking window is bounded by the declaration.
     """
-    usable = ece.groupBy(*by).agg(F.bool_and("inside_null_band").alias("usable_probabilities"),
-                                  F.count(F.lit(1)).alias("n_schemes"))
+    inside = F.bool_and(F.coalesce("inside_null_band", F.lit(False)))
+    usable = ece.groupBy(*by).agg(F.count(F.lit(1)).alias("n_schemes"), inside.alias("_inside")).select(
+        *by, "n_schemes", (F.col("_inside") & (F.col("n_schemes") == n_schemes)).alias("usable_probabilities"))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("net_benefit").desc(), *by))
     return benefit.join(usable, by, "left") \
         .withColumn("usable_probabilities", F.coalesce("usable_probabilities", F.lit(False))) \

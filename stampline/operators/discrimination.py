@@ -34,8 +34,8 @@ def auprc(df: DataFrame, y: str, score: str, by: list[str] | None = None) -> Dat
 
 
 def brier(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
-    """Mean squared distance between probability and outcome."""
-    gap = F.pow(F.col(p) - F.col(y), 2)
+    """Mean squared distance between probability and outcome; undefined outcomes are left out."""
+    gap = F.when(F.col(y).isin(0, 1), F.pow(F.col(p) - F.col(y), 2))
     return df.groupBy(*(by or [])).agg(F.avg(gap).alias("brier"), F.count(gap).alias("n_items"))
 
 
@@ -54,7 +54,7 @@ def within_stratum_concordance(df: DataFrame, y: str, score: str, stratum: str,
     hist = tag_ranges(score_histogram(df.where(F.col(stratum).isNotNull()), y, score, keys), keys)
     return concordance_pairs(hist, by, stratum).select(
         *by, pair_share(pairs=F.col("pairs")).alias("concordance"),
-        F.col("pairs").cast("bigint").alias("n_pairs"))
+        F.col("pairs").cast("double").alias("n_pairs"))
 
 
 def informative_strata(df: DataFrame, y: str, stratum: str, entity: str,
@@ -67,7 +67,7 @@ def informative_strata(df: DataFrame, y: str, stratum: str, entity: str,
         F.sum((1 - F.col(y)).cast("bigint")).alias("neg"))
     good = per.where((F.col("pos") > 0) & (F.col("neg") > 0))
     strata_agg = [F.count(F.lit(1)).alias("n_strata"),
-                  F.sum(F.col("pos") * F.col("neg")).alias("n_pairs"),
+                  F.sum(F.col("pos").cast("double") * F.col("neg")).alias("n_pairs"),  # may pass a long
                   F.sum(F.col("pos") + F.col("neg")).alias("n_items")]
     kept = defined.join(good.select(*by, stratum), [*by, stratum], "left_semi")
     people = F.countDistinct(entity).alias("n_entities")
@@ -77,11 +77,8 @@ def informative_strata(df: DataFrame, y: str, stratum: str, entity: str,
 
 
 def seeds_seen(seeds: list[int]) -> Column:
-    """How many of the declared seeds a group holds: one bit each, no distinct shuffle."""
-    bit = F.lit(0).cast("bigint")
-    for i, s in enumerate(dict.fromkeys(seeds)):
-        bit = F.when(F.col("seed") == s, F.lit(1 << i).cast("bigint")).otherwise(bit)
-    return F.bit_count(F.bit_or(bit))
+    """How many of the declared seeds a group holds; the set is bounded by the declaration."""
+    return F.size(F.collect_set(F.when(F.col("seed").isin(*seeds), F.col("seed"))))
 
 
 def seed_pool(preds: DataFrame, seeds: list[int], keys: list[str], item: str = "item_id",

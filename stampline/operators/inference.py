@@ -6,7 +6,7 @@ input is read once; replicates, intervals, differences and ratios all come from
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,20 +46,20 @@ def replicate_statistic(hist: DataFrame, draws: Draws, entity: str, keys: list[s
                         stratum: str | None = None) -> DataFrame:
     """(rep, keys, value): AUROC, or concordance inside strata, of every cell on every draw.
 
-    With broadcast draws the rows stay where they are; with joined draws they are put back in
-    score order, each carrying two bytes per replicate.
+    Passes take REPLICATES_PER_PASS replicates each, and a pass draws and joins only its own. With broadcast
+    draws the rows stay where they are; with joined draws they are put back in score order, each carrying two
+    bytes per replicate of the pass.
     """
     order = [*keys, *([stratum] if stratum else []), "score", entity]
-    rows = with_weights(hist, draws, entity)
-    if not draws.small:
-        rows = rows.repartitionByRange(*order)
-    rows = rows.sortWithinPartitions(*order)
-    if draws.n_boot < REPLICATES_PER_PASS:
-        return replicate_pairs(rows, keys, stratum)
     out = None
-    for lo in range(0, draws.n_boot + 1, REPLICATES_PER_PASS):
-        block = rows.withColumn("w", F.slice("w", lo + 1, REPLICATES_PER_PASS))
-        part = replicate_pairs(block, keys, stratum).withColumn("rep", F.col("rep") + lo)
+    for first in range(0, draws.n_boot, REPLICATES_PER_PASS):
+        block = draws.part(first, REPLICATES_PER_PASS)
+        rows = with_weights(hist, block, entity)
+        if not block.small:
+            rows = rows.repartitionByRange(*order)
+        part = replicate_pairs(rows.sortWithinPartitions(*order), keys, stratum)
+        if first:  # the observed sample came with the first pass
+            part = part.where(F.col("rep") != OBSERVED).withColumn("rep", F.col("rep") + first)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -164,7 +164,9 @@ def recovery_ratio_ci(pooled: DataFrame, arms: list[str], reference: str, by: li
                       label: str = "label", seed: int = 0, mode: str = "multinomial") -> DataFrame:
     """Recovery ratio of each arm against the reference, resampled as one quantity.
 
-    Each arm is compared on the rows it shares with the reference, all arms on the same draws.
+    Each arm is compared on the rows it shares with the reference. Draws are hashes of the entity in Poisson mode
+    and of its place among the entities of the shared rows in multinomial mode, so arms that share the same
+    entities share their draws.
     """
     out = None
     for arm in arms:
@@ -182,11 +184,15 @@ def recovery_ratio_ci(pooled: DataFrame, arms: list[str], reference: str, by: li
 
 def recovery_ratio_fixed_denominator(df: DataFrame, denominators: DataFrame, entity: str,
                                      n_boot: int, target: float, seed: int = 0,
-                                     mode: str = "multinomial") -> DataFrame:
+                                     mode: str = "multinomial", reference: DataFrame | None = None,
+                                     item: str = "item_id") -> DataFrame:
     """Ratio against constants: only the numerator is resampled.
 
-    `denominators` is a short declared table (name, denominator).
+    `denominators` is a short declared table (name, denominator). With the rows of a reference arm, only items
+    that it scored as well take part.
     """
+    if reference is not None:
+        df = df.join(reference.select(item).distinct(), item, "left_semi")
     hist = entity_histogram(df, "y", "score", entity, [])
     reps = replicate_auroc(hist, entity, [], n_boot, seed, mode)
     vals = reps.crossJoin(F.broadcast(denominators)).withColumn(
@@ -331,7 +337,7 @@ def holm(tests: DataFrame, p: str, m: int, n_boot: int, family: list[str] | None
     """
     family = family or []
     floor = 2.0 / n_boot
-    digits = max(1, round(-math.log10(floor)))
+    shown = format(Fraction(2, n_boot), ".12f").rstrip("0")  # the smallest p-value there is, never rounded to less
     part = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))
     step = part.orderBy(p, *(order or []))
     i = F.row_number().over(step) - 1
@@ -344,7 +350,7 @@ def holm(tests: DataFrame, p: str, m: int, n_boot: int, family: list[str] | None
         .withColumns({
             "holm_family_size": F.lit(m).cast("bigint"), "holm_tests_present": present,
             "holm_tests_pending": F.lit(m) - present, "at_floor": F.col(p) < F.lit(floor)})
-        .withColumn("p_text", F.when(F.col("at_floor"), F.lit(f"<{floor:.{digits}f}"))
+        .withColumn("p_text", F.when(F.col("at_floor"), F.lit(f"<{shown}"))
                     .otherwise(F.format_string("%.4f", F.col(p))))
     )
 

@@ -52,7 +52,7 @@ def stratum_labels(df: DataFrame, labels: list[str], stratum: str, sentinel: int
     long = df.unpivot([stratum], labels, "label", "y").where(F.col("y") != sentinel)
     per = long.groupBy(stratum, "label").agg(F.count_if(F.col("y") == 1).alias("n_pos"),
                                              F.count_if(F.col("y") == 0).alias("n_neg"))
-    return per.withColumn("n_pairs", F.col("n_pos") * F.col("n_neg"))
+    return per.withColumn("n_pairs", F.col("n_pos").cast("double") * F.col("n_neg"))  # may pass a long
 
 
 def strata_table(df: DataFrame, labels: list[str], stratum: str, entity: str,
@@ -61,7 +61,7 @@ def strata_table(df: DataFrame, labels: list[str], stratum: str, entity: str,
     counts = []
     for c in labels:
         pos, neg = F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 0)
-        counts += [pos.alias(f"n_pos__{c}"), neg.alias(f"n_neg__{c}"), (pos * neg).alias(f"n_pairs__{c}")]
+        counts += [pos.alias(f"n_pos__{c}"), neg.alias(f"n_neg__{c}"), (pos.cast("double") * neg).alias(f"n_pairs__{c}")]
     return df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n_records"),
                                    F.countDistinct(entity).alias("n_entities"), *counts)
 
@@ -88,8 +88,8 @@ def effective_sample(df: DataFrame, labels: list[str], stratum: str, entity: str
         F.countDistinct(F.when(F.col("_in"), F.col(entity))).alias("n_entities_effective"))
     strata = per.groupBy("label").agg(
         F.count_if((F.col("_p") > 0) & (F.col("_n") > 0)).alias("n_strata_informative"),
-        F.sum(F.col("_p") * F.col("_n")).alias("n_within_pairs"),
-        (F.sum("_p") * F.sum("_n")).alias("n_all_pairs"))
+        F.sum(F.col("_p").cast("double") * F.col("_n")).alias("n_within_pairs"),
+        (F.sum("_p").cast("double") * F.sum("_n")).alias("n_all_pairs"))
     total = df.agg(F.countDistinct(stratum).alias("n_strata_total"))
     return rows.join(strata, "label").crossJoin(F.broadcast(total)).withColumn(
         "pair_retention", F.when(F.col("n_all_pairs") > 0, F.col("n_within_pairs") / F.col("n_all_pairs")))
@@ -214,10 +214,14 @@ def availability_propensity(superset: DataFrame, flag: str, numeric: list[str],
     data = superset.withColumn("label", F.col(flag).cast("double"))
     held = uniform(F.lit(seed), F.lit("holdout"), F.col(entity)) < holdout
     train, test = data.where(~held), data.where(held)
-    index = StringIndexer(inputCols=categorical, outputCols=[f"{c}__i" for c in categorical], handleInvalid="keep")
+    index, levels = None, 0
+    if categorical:
+        index = StringIndexer(inputCols=categorical, outputCols=[f"{c}__i" for c in categorical],
+                              handleInvalid="keep").fit(train)
+        levels = max(map(len, index.labelsArray))
     assemble = VectorAssembler(inputCols=[*numeric, *[f"{c}__i" for c in categorical]], outputCol="features",
                                handleInvalid="keep")
-    gbt = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=seed, maxBins=64)
+    gbt = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, seed=seed, maxBins=max(64, levels + 1))
     stages = ([index] if categorical else []) + [assemble, gbt]
     scored = Pipeline(stages=stages).fit(train).transform(test) \
         .withColumn("score", vector_to_array("probability")[1])

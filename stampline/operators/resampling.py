@@ -48,16 +48,61 @@ def dense_index(entities: DataFrame, entity: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Draws:
-    """One row (entity, w) per entity; w = multiplicities as a dense array.
+    """Replicate weights of entities: `weights(first, n)` is a frame (entity, w) for n replicates.
 
-    w[0] is the observed sample (always 1), w[b + 1] is replicate b, so the array is bounded by
-    n_boot + 1 whatever the data. `small` says the whole table was counted and fits a broadcast.
+    w[0] is the observed sample (always 1), w[b + 1] is replicate first + b. Weights are made where they are
+    asked for, so a pass over some replicates never computes or moves the others.
     """
 
-    table: DataFrame
+    weights: Callable[[int, int], DataFrame]
     n_entities: int
-    small: bool
     n_boot: int
+    first: int = 0
+
+    @property
+    def table(self) -> DataFrame:
+        return self.weights(self.first, self.n_boot)
+
+    @property
+    def small(self) -> bool:
+        """Counted, and fit for a broadcast."""
+        return self.n_entities * self.n_boot <= BROADCAST_DRAWS
+
+    def part(self, first: int, n: int) -> Draws:
+        """The draws of n replicates from `first` on."""
+        return Draws(self.weights, self.n_entities, min(n, self.n_boot - first), first)
+
+
+def poisson_weights(index: DataFrame, entity: str, seed: int) -> Callable[[int, int], DataFrame]:
+    """One draw per replicate, in place: no row per replicate and no shuffle."""
+    def weights(first: int, n: int) -> DataFrame:
+        reps = F.sequence(F.lit(first), F.lit(first + n - 1))
+        draws = F.transform(reps, lambda b: uniform(F.lit(seed), b, F.col(entity)))
+        return index.select(entity, F.concat(F.array(F.lit(1).cast("smallint")),
+                                             F.transform(draws, lambda u: poisson1(u).cast("smallint"))).alias("w"))
+
+    return weights
+
+
+def multinomial_weights(index: DataFrame, entity: str, size: int, seed: int) -> Callable[[int, int], DataFrame]:
+    """G of G entities per replicate; an entity is drawn about n times in n replicates, so its list is short."""
+    def weights(first: int, n: int) -> DataFrame:
+        g = max(size, 1)
+        slots = index.sparkSession.range(first * g, (first + n) * g if size else first * g).select(
+            F.expr(f"cast(id div {g} as int)").alias("rep"), (F.col("id") % g).alias("slot"))
+        picked = F.floor(uniform(F.lit(seed), F.col("rep"), F.col("slot")) * size)
+        packed = slots.select(picked.alias("idx"), (F.col("rep") - first).alias("rep")) \
+            .groupBy("idx").agg(F.collect_list("rep").alias("reps"))
+
+        @F.pandas_udf("array<smallint>")
+        def dense(reps: pd.Series) -> pd.Series:
+            return reps.map(lambda r: np.concatenate(
+                [[1], np.bincount(np.asarray([] if r is None else r, dtype=np.int64), minlength=n)]).astype(np.int16))
+
+        # The flag keeps the planner from evaluating the function a second time in a derived filter.
+        return index.join(packed, "idx", "left").select(entity, dense.asNondeterministic()("reps").alias("w"))
+
+    return weights
 
 
 def entity_draws(entities: DataFrame, entity: str, n_boot: int, seed: int = 0,
@@ -65,38 +110,12 @@ def entity_draws(entities: DataFrame, entity: str, n_boot: int, seed: int = 0,
     """Replicate weights of every entity."""
     if mode == "poisson":
         index = entities.select(entity).where(F.col(entity).isNotNull()).distinct()
-        size = index.count()
-        drawn = (
-            index.select(entity, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-            .withColumn("_u", uniform(F.lit(seed), F.col("rep"), F.col(entity)))
-            .withColumn("_w", poisson1(F.col("_u")))
-            .select(entity, F.explode(F.array_repeat("rep", F.col("_w"))).alias("rep"))
-        )
-        key = entity
-    elif mode == "multinomial":
+        return Draws(poisson_weights(index, entity, seed), index.count(), n_boot)
+    if mode == "multinomial":
         index = pinned(dense_index(entities, entity))
         size = index.count()
-        slots = entities.sparkSession.range(n_boot * size).select(
-            F.expr(f"cast(id div {max(size, 1)} as int)").alias("rep"),
-            (F.col("id") % max(size, 1)).alias("slot"))
-        picked = F.floor(uniform(F.lit(seed), F.col("rep"), F.col("slot")) * size)
-        drawn = slots.select(picked.alias("idx"), "rep")
-        key = "idx"
-    else:
-        raise ValueError(f"mode must be 'multinomial' or 'poisson', not {mode!r}")
-
-    @F.pandas_udf("array<smallint>")
-    def dense(reps: pd.Series) -> pd.Series:
-        return reps.map(lambda r: np.concatenate(
-            [[1], np.bincount(np.asarray([] if r is None else r, dtype=np.int64), minlength=n_boot)]).astype(np.int16))
-
-    # The flag keeps the planner from evaluating the function a second time in a derived filter.
-    dense = dense.asNondeterministic()
-
-    # One entity is drawn about n_boot times in all, so its list is short.
-    packed = drawn.groupBy(key).agg(F.collect_list("rep").alias("reps"))
-    table = index.join(packed, key, "left").select(entity, dense("reps").alias("w"))
-    return Draws(table, size, size * n_boot <= BROADCAST_DRAWS, n_boot)
+        return Draws(multinomial_weights(index, entity, size, seed), size, n_boot)
+    raise ValueError(f"mode must be 'multinomial' or 'poisson', not {mode!r}")
 
 
 def cluster_weights(entities: DataFrame, entity: str, n_boot: int, seed: int = 0,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stampline.operators import arms as g
@@ -38,22 +39,49 @@ def g1(spark, sf):
         .select("label", "item_id", "y", r("score"))
 
 
-@query("g2_fit_gbt_arm")
+@query("g2_fit_gbt_arm", v.with_views("wide_labels", """
+select item_id, h24::int as y, true as score_in_range
+from wide_labels join records using (item_id) where split = 'test' and h24 <> -999"""))
 def g2(spark, sf):
+    """Test rows, outcomes and whether each has a probability; the probabilities themselves no SQL can give."""
     data = matrix(spark, sf, "h24")
-    model = g.fit_gbt_arm(data, "h24", NUMERIC, CATEGORICAL, "split", {"num_leaves": 15}, max_iter=10)
-    return g.predict(model, data.where(F.col("split") == "test"), "h24", NUMERIC, CATEGORICAL, ["item_id"])
+    model = g.fit_gbt_arm(data, "h24", NUMERIC, CATEGORICAL, "split", {"num_leaves": 15}, max_iter=ROUNDS)
+    out = g.predict(model, data.where(F.col("split") == "test"), "h24", NUMERIC, CATEGORICAL, ["item_id"])
+    return out.select("item_id", "y", F.coalesce(F.col("score").between(0, 1), F.lit(False)).alias("score_in_range"))
 
 
-@query("g3_random_search")
+#: Rounds of the single fit, and trials and rounds of the searches: declared, far below a full search, which is
+#: a matter of parameters (`random_search(..., budget=50, max_iter=...)`).
+ROUNDS, TRIALS, TRIAL_ROUNDS = 10, 2, 3
+
+
+def search_sql(labels: list[str]) -> str:
+    """The drawn trials, labels with both classes in the validation split, and that exactly one trial is best."""
+    drawn = ", ".join("(" + ", ".join([str(i), *(f"{float(t[k])!r}::double" for k in g.SEARCH_SPACE)]) + ")"
+                      for i, t in enumerate(g.trials(TRIALS)))
+    both = " + ".join(f"(select (count(distinct {h}) = 2)::int from wide_labels join records using (item_id) "
+                      f"where split = 'val' and {h} <> -999)" for h in labels)
+    return v.with_views("wide_labels", f"""
+select t.*, s.n_labels, s.n_labels > 0 as scored, case when s.n_labels > 0 then 1 else 0 end::bigint as n_best
+from (values {drawn}) t(trial, {", ".join(g.SEARCH_SPACE)}), (select ({both})::bigint as n_labels) s""")
+
+
+def search_facts(out):
+    n_best = F.sum(F.col("best").cast("bigint")).over(Window.partitionBy(F.lit(0)))  # one row per trial
+    return out.select("trial", *g.SEARCH_SPACE, "n_labels",
+                      F.coalesce(F.col("val_auroc").between(0, 1), F.lit(False)).alias("scored"), n_best.alias("n_best"))
+
+
+@query("g3_random_search", search_sql(["h24"]))
 def g3(spark, sf):
-    return g.random_search(matrix(spark, sf, "h24"), "h24", NUMERIC, CATEGORICAL, "split", 2, max_iter=3)
+    return search_facts(g.random_search(matrix(spark, sf, "h24"), "h24", NUMERIC, CATEGORICAL, "split", TRIALS,
+                                        max_iter=TRIAL_ROUNDS))
 
 
-@query("g4_random_search_shared")
+@query("g4_random_search_shared", search_sql(["h6", "h24", "h72"]))
 def g4(spark, sf):
-    both = {h: matrix(spark, sf, h) for h in ("h6", "h24")}
-    return g.search_shared(both, NUMERIC, CATEGORICAL, "split", 2, max_iter=3)
+    every = {h: matrix(spark, sf, h) for h in ("h6", "h24", "h72")}
+    return search_facts(g.search_shared(every, NUMERIC, CATEGORICAL, "split", TRIALS, max_iter=TRIAL_ROUNDS))
 
 
 @query("g5_score_arm", v.with_views("pooled", """

@@ -100,7 +100,7 @@ def e7(spark, sf):
 
 
 @query("e8_within_stratum_concordance", v.with_views("lines", """
-select round(sum(p * (below + 0.5::double * n)) / sum(pn), 6) as concordance, sum(pn)::bigint as n_pairs
+select round(sum(p * (below + 0.5::double * n)) / sum(pn), 6) as concordance, sum(pn)::double as n_pairs
 from (select *, 0 as pn from b union all
       select stratum, null, 0, 0, 0, sum(p) * sum(n) from b group by stratum)""", """
 h as (select stratum, score, sum(y)::double as p, sum(1 - y)::double as n from lines group by stratum, score),
@@ -112,7 +112,7 @@ def e8(spark, sf):
 
 
 @query("e9_informative_strata", v.with_views("horizon_labels strata", """
-select t.label, count(*) as n_strata, sum(pos * neg)::bigint as n_pairs,
+select t.label, count(*) as n_strata, sum(pos::double * neg) as n_pairs,
        sum(pos + neg)::bigint as n_items,
        (select count(distinct entity_id) from horizon_labels h join strata s using (item_id)
         where h.label = t.label and y >= 0 and stratum in

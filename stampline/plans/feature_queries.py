@@ -147,13 +147,13 @@ def c7(spark, sf):
 
 
 @query("c8_marker_flag", f"""
-select l.doc_id, coalesce({_MARK.format('d.text')}, false) as marker
-from labels l left join (select * from documents where doc_id % 3 <> 0) d using (doc_id)""")
+select k.doc_id, coalesce({_MARK.format('d.text')}, false) as marker
+from documents k left join (select * from documents where doc_id in (select doc_id from labels)) d using (doc_id)""")
 def c8(spark, sf):
-    """The text side lacks every third document, so the default shows."""
+    """The text side holds labelled documents only, so the default shows."""
     docs = v.table(spark, sf, "documents")
-    absent = docs.where(F.col("doc_id") % 3 != 0)
-    return f.marker_flag(v.table(spark, sf, "labels").select("doc_id"), absent, "doc_id", "text", MARKERS) \
+    labelled = docs.join(v.table(spark, sf, "labels"), "doc_id", "left_semi")
+    return f.marker_flag(docs.select("doc_id"), labelled, "doc_id", "text", MARKERS) \
         .select("doc_id", "marker")
 
 
@@ -176,8 +176,7 @@ select x.feature, x.block, (select count(*) from records) as rows_checked, 0::bi
             / 6e7::double), 6) from records where window_close > index_time) end as max_late_minutes,
        case when x.feature = 'days_since_prior' then 'violation' else 'ok' end as status
 from (values {AUDIT_SAFE}) x(feature, block)
-union all select 'paced', 'acq_pre', 0, 0, 0, null, 'absent'
-union all select 'acuity_late', 'acq_window', 0, 0, 0, null, 'absent'"""))
+union all select 'paced', 'acq_pre', 0, 0, 0, null, 'dropped'"""))
 def c10(spark, sf):
     """One feature is stamped at the window close on purpose; the audit must find it."""
     leaked = featured(spark, sf).withColumn("available_at__days_since_prior", F.col("window_close"))
@@ -187,10 +186,10 @@ def c10(spark, sf):
 
 @query("c11_window_block_report", v.with_views("records", """
 select feature, (select count(*) from records) as rows_checked,
-       case when feature = 'late_marker' then null
+       case when feature in ('late_marker', 'acuity_late') then null
             else (select count(*) from records where window_close > index_time) end as late_rows,
-       case when feature = 'late_marker' then 'dropped' else 'AFTER-INDEX' end as status
-from (values ('episode_rows'), ('mean_gap_minutes'), ('late_marker')) x(feature)"""))
+       case when feature in ('late_marker', 'acuity_late') then 'dropped' else 'AFTER-INDEX' end as status
+from (values ('episode_rows'), ('mean_gap_minutes'), ('late_marker'), ('acuity_late')) x(feature)"""))
 def c11(spark, sf):
     return f.window_block_report(featured(spark, sf), REGISTRY, "index_time")
 

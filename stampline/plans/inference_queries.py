@@ -180,9 +180,10 @@ q as (select rep, name, auroc, {RATIO.format('auroc', 'den')} as value
       from a, (values ('published', 0.8565::double), ('preprint', 0.8292::double),
                ('chance', 0.5::double)) x(name, den))"""))
 def e17(spark, sf):
-    rows = pooled(spark, sf).where((F.col("arm") == "ctx") & (F.col("label") == "h72"))
+    rows = pinned(pooled(spark, sf).where(F.col("label") == "h72"))
     table = spark.createDataFrame(DENOMINATORS, "name string, denominator double")
-    out = inf.recovery_ratio_fixed_denominator(rows, table, "entity_id", B, 0.7)
+    out = inf.recovery_ratio_fixed_denominator(rows.where(F.col("arm") == "ctx"), table, "entity_id", B, 0.7,
+                                               reference=rows.where(F.col("arm") == "sig"))
     return out.select("name", *ci_cols("estimate", False), "n_boot", "n_finite", r("numerator_auroc"),
                       "meets_target", "denominator_resampled")
 
@@ -342,7 +343,7 @@ join sp x on x.arm = d.arm_a and x.label = d.label join sp z on z.arm = d.arm_b
        + v.auroc_sql("(select 1 as w, * from pooled)", "arm, label", "pa") + """,
 sp as (select arm, label, max(auroc) - min(auroc) as sp from sa group by arm, label)"""))
 def e25(spark, sf):
-    preds = pinned(v.predictions(spark, sf).where(F.col("arm") != "prev"))
+    preds = pinned(v.predictions(spark, sf))
     spread = d.seed_spread(preds, list(v.SEEDS), ["arm", "label"])
     pool = d.seed_pool(preds, list(v.SEEDS), ["arm", "label"], carry=["y"], digits=9)
     point = d.auroc(pool, "y", "score", ["arm", "label"])

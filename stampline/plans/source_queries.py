@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from stampline.plans import views as v
 from stampline.plans.registry import query
+from stampline.session import ensure_checkpoint_dir
 from stampline.sources import contracts as k
 from stampline.sources import ledger as g
 
@@ -24,34 +24,31 @@ def a1(spark, sf):
 
 @query("a2_validate_table", """
 select 'anchor_year' as "column", 'absent' as problem, null::bigint as rows
-union all select 'o_orderpriority', 'uncastable', count(*) filter (try_cast(o_orderpriority as bigint) is null) from orders
-union all select 'c_name', 'null', count(*) filter (c_name is null) from
-  (select c.c_name from orders left join (select * from customer where c_custkey % 5 <> 0) c on c_custkey = o_custkey)""")
+union all select 'lang', 'uncastable', count(*) filter (try_cast(lang as bigint) is null) from documents
+union all select 'quality', 'null', count(*) from documents where doc_id not in (select doc_id from labels)""")
 def a2(spark, sf):
-    people = v.table(spark, sf, "customer").where(F.col("c_custkey") % 5 != 0).select(
-        F.col("c_custkey").alias("o_custkey"), "c_name")
-    rows = v.table(spark, sf, "orders").join(people, "o_custkey", "left")
-    spec = k.TableSpec("orders", {
-        "o_orderkey": k.ColumnSpec("bigint", "key", False), "o_orderpriority": k.ColumnSpec("bigint"),
-        "c_name": k.ColumnSpec("string", "value", False), "anchor_year": k.ColumnSpec("bigint")})
+    """Labels cover only some documents, languages are no numbers and one column is absent."""
+    rows = v.table(spark, sf, "documents").join(v.table(spark, sf, "labels"), "doc_id", "left")
+    spec = k.TableSpec("documents", {
+        "doc_id": k.ColumnSpec("bigint", "key", False), "lang": k.ColumnSpec("bigint"),
+        "quality": k.ColumnSpec("int", "value", False), "anchor_year": k.ColumnSpec("bigint")})
     return k.validate_table(rows, spec)
 
 
 @query("a4_select_by_prefix", """
 select o_orderkey, l_quantity, l_tax, l_linenumber from orders
 left join (select l_orderkey, max(l_quantity) as l_quantity, max(l_tax) as l_tax, max(l_linenumber) as l_linenumber
-           from lineitem where l_linenumber = 1 group by l_orderkey) on l_orderkey = o_orderkey""")
+           from lineitem group by l_orderkey) on l_orderkey = o_orderkey""")
 def a4(spark, sf):
     orders = v.table(spark, sf, "orders").select("o_orderkey")
-    wide = v.table(spark, sf, "lineitem").where(F.col("l_linenumber") == 1) \
-        .withColumnRenamed("l_orderkey", "o_orderkey")
+    wide = v.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     wide = wide.groupBy("o_orderkey").agg(F.max("l_quantity").alias("l_quantity"), F.max("l_tax").alias("l_tax"),
                                           F.max("l_linenumber").alias("l_linenumber"))
     return k.select_by_prefix(orders, wide, ["l_"], "o_orderkey", expect=3)
 
 
 @query("a6_table_fingerprint", """
-select count(*) as n_rows, sum(('0x' || substr(md5(o_orderkey || '|' || o_custkey || '|' || o_orderpriority), 1, 8))::bigint)::bigint as hash
+select count(*) as n_rows, sum(('0x' || substr(md5(length(o_orderkey::varchar) || ':' || o_orderkey || '|' || length(o_custkey::varchar) || ':' || o_custkey || '|' || length(o_orderpriority::varchar) || ':' || o_orderpriority), 1, 8))::bigint)::hugeint::varchar as hash
 from orders""")
 def a6(spark, sf):
     return k.table_fingerprint(v.table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderpriority"])
@@ -59,8 +56,8 @@ def a6(spark, sf):
 
 def shared_folder(spark) -> str:
     """A fresh folder next to the checkpoints, which every executor can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{base.rstrip('/')}/derived-{uuid.uuid4().hex}"
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/derived-{uuid.uuid4().hex}"
 
 
 @query("a7_write_derived", """
@@ -119,7 +116,7 @@ with p as (select regexp_extract(url, '^[a-z]+://[^/]+/([^?#]+)', 1) as path,
            from pages group by 1)
 select split, n_paths, n_rows, hash from (
   select case k when 0 then 'test' when 1 then 'val' else 'train' end as split, count(*) as n_paths from p group by k),
-  (select count(*) as n_rows, sum(('0x' || substr(md5(path), 1, 8))::bigint)::bigint as hash from p)""")
+  (select count(*) as n_rows, sum(('0x' || substr(md5(length(path) || ':' || path), 1, 8))::bigint)::hugeint::varchar as hash from p)""")
 def a9_counts(spark, sf):
     pages = v.table(spark, sf, "pages").withColumn("fold", F.col("page_id") % 20)
     manifest = g.manifest_build(pages, "url", "fold", v.SPLIT, ["test", "val", "train"], URL)

@@ -112,7 +112,7 @@ def scored_documents(spark: SparkSession, sf: str) -> DataFrame:
     """(label, doc_id, source, y, p) for the two document labels."""
     lab = table(spark, sf, "labels").unpivot(["doc_id"], ["quality", "toxic"], "label", "y")
     doc = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    p = F.round(F.least(F.col("n_chars"), F.lit(9999)) / 10000.0, 4)
+    p = F.round(F.col("n_chars") / (F.col("n_chars") + F.lit(5000.0)), 4)
     return lab.join(doc, "doc_id").select("label", "doc_id", "source", "y", p.alias("p"))
 
 
@@ -190,7 +190,7 @@ lines as (
   from lineitem)""",
     "docs": """
 docs as (
-  select l.label, d.doc_id, d.source, l.y, round(least(d.n_chars, 9999) / 10000.0, 4)::double as p
+  select l.label, d.doc_id, d.source, l.y, round(d.n_chars / (d.n_chars + 5000.0::double), 4)::double as p
   from (select doc_id, 'quality' as label, quality as y from labels
         union all select doc_id, 'toxic', toxic from labels) l
   join documents d using (doc_id))""",

@@ -134,14 +134,20 @@ def select_by_prefix(cohort: DataFrame, wide: DataFrame, prefixes: list[str], ke
 
 
 def table_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(n_rows, hash): independent of row order and partitioning, computed in one pass."""
+    """(n_rows, hash): independent of row order and partitioning, computed in one pass.
+
+    Values carry their length, so neighbours cannot be confused, nor NULL with any text. The sum of the
+    32-bit row hashes is a decimal, given as text.
+    """
     cols = columns or df.columns
-    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("~")) for c in cols])
-    digest = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(digest), F.lit(0)).alias("hash"))
+    parts = [F.col(f"`{c}`").cast("string") for c in cols]
+    text = F.concat_ws("|", *[F.coalesce(F.concat(F.length(p), F.lit(":"), p), F.lit("~")) for p in parts])
+    digest = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"),
+                  F.coalesce(F.sum(digest).cast("string"), F.lit("0")).alias("hash"))
 
 
-def require_fingerprint(df: DataFrame, n_rows: int, hash_: int) -> DataFrame:
+def require_fingerprint(df: DataFrame, n_rows: int, hash_: str) -> DataFrame:
     """Abort unless the table is exactly the one that was written."""
     seen = table_fingerprint(df).first()
     if (seen.n_rows, seen.hash) != (n_rows, hash_):
@@ -150,13 +156,16 @@ def require_fingerprint(df: DataFrame, n_rows: int, hash_: int) -> DataFrame:
 
 
 def write_derived(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
-                  **extra: str) -> DataFrame:
+                  overwrite: bool = False, **extra: str) -> DataFrame:
     """Write the table and a one-row metadata table beside it; returns the metadata.
 
+    An existing table is replaced only if asked for.
+
     The fingerprint is taken from what was written, so it can be re-checked before use.
     """
     spark = df.sparkSession
-    writer = df.write.mode("overwrite")
+    mode = "overwrite" if overwrite else "errorifexists"
+    writer = df.write.mode(mode)
     if fmt == "csv":
         writer = writer.option("header", True)
     if partition_by:
@@ -166,5 +175,5 @@ def write_derived(df: DataFrame, path: str, fmt: str = "parquet", partition_by:
     meta = table_fingerprint(back, sorted(back.columns)).withColumns(
         {"path": F.lit(path), "format": F.lit(fmt), "columns": F.lit(",".join(df.columns)),
          **{k: F.lit(x) for k, x in extra.items()}})
-    meta.write.mode("overwrite").json(path.rstrip("/") + "_meta")
+    meta.write.mode(mode).json(path.rstrip("/") + "_meta")
     return spark.read.schema(meta.schema).json(path.rstrip("/") + "_meta")

@@ -204,3 +204,58 @@ def test_bins_close_on_the_right(spark):
     df = spark.createDataFrame([(15.0,), (15.1,), (30.0,), (60.0,), (61.0,), (None,)], "delay_minutes double")
     got = [r.b for r in df.select(m.DELAY.column().alias("b")).collect()]
     assert got == ["<=15", "15-30", "15-30", "30-60", ">60", None]
+
+
+def test_undefined_outcomes_are_no_outcomes(spark):
+    from stampline.operators.arms import score_arm
+    from stampline.operators.discrimination import brier
+
+    df = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.2), ("a", -999, 0.5)], "arm string, y int, score double")
+    assert brier(df, "y", "score").first().brier == pytest.approx((0.01 + 0.04) / 2)
+    row = score_arm(df, ["arm"]).first()
+    assert (row.n_items, row.n_positives, row.prevalence) == (2, 1, 0.5)
+
+
+def test_a_missing_scheme_is_not_calibrated(spark):
+    from stampline.operators.decision import usable_probability_verdict
+
+    ece = spark.createDataFrame([("a", "w", True), ("a", "m", True), ("b", "w", True), ("c", "w", True), ("c", "m", None)],
+                                "label string, scheme string, inside_null_band boolean")
+    nb = spark.createDataFrame([(x, 0.1) for x in "abc"], "label string, net_benefit double")
+    got = {r.label: r.usable_probabilities for r in usable_probability_verdict(ece, nb, ["label"]).collect()}
+    assert got == {"a": True, "b": False, "c": False}
+
+
+@pytest.mark.parametrize("n_boot,text", [(200, "<0.01"), (400, "<0.005"), (600, "<0.003333333333"), (10000, "<0.0002")])
+def test_the_floor_is_not_rounded(spark, n_boot, text):
+    from stampline.operators.inference import holm
+
+    row = holm(spark.createDataFrame([(0.0,)], "p double"), "p", 1, n_boot).first()
+    assert row.p_text == text
+
+
+def test_pairs_beyond_a_long(spark):
+    """Three thousand million rows of each class in one stratum, given as counts."""
+    from pyspark.sql import functions as F
+
+    from stampline.operators.discrimination import concordance_pairs  # noqa: F401
+    from stampline.operators.matching import stratum_labels
+
+    df = spark.range(4).select(F.lit("s").alias("stratum"), (F.col("id") % 2).cast("int").alias("h"))
+    per = stratum_labels(df, ["h"], "stratum")
+    assert dict(per.dtypes)["n_pairs"] == "double"
+    big = spark.createDataFrame([(3_000_000_000, 4_000_000_000)], "n_pos long, n_neg long")
+    assert big.select(F.col("n_pos").cast("double") * F.col("n_neg")).first()[0] == 1.2e19
+
+
+def test_the_ratio_takes_rows_that_the_reference_scored(spark):
+    from stampline.operators.inference import recovery_ratio_fixed_denominator
+
+    rows = spark.createDataFrame([(i, i % 5, i % 2, (i % 2) * 0.5 + (i % 7) / 20) for i in range(40)]
+                                 + [(100 + i, i, 1, 0.0) for i in range(5)],
+                                 "item_id long, entity long, y int, score double")
+    names = spark.createDataFrame([("d", 0.8)], "name string, denominator double")
+    other = rows.where("item_id < 40")
+    got = recovery_ratio_fixed_denominator(rows, names, "entity", 20, 0.7, reference=other).first()
+    want = recovery_ratio_fixed_denominator(other, names, "entity", 20, 0.7).first()
+    assert (got.estimate, got.ci_lo) == (want.estimate, want.ci_lo)
