@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stampline.functions import ordered
 from stampline.functions.expr import uniform
 from stampline.functions.histogram import score_histogram
 from stampline.functions.ordered import running_before
 from stampline.operators.resampling import (
-    clustered_stat_ci, entity_draws, summarise, with_replicates,
+    array_sums, clustered_stat_ci, entity_draws, replicate_sums, summarise, with_replicates,
 )
 from stampline.session import pinned
 
@@ -38,19 +37,13 @@ def equal_width_bin(df: DataFrame, p: str, k: int, name: str = "bin") -> DataFra
     return df.withColumn(name, width_bin(F.col(p), k))
 
 
-def binned_histogram(hist: DataFrame, keys: list[str], k: int, scheme: str,
-                     small: bool = False) -> DataFrame:
+def binned_histogram(hist: DataFrame, keys: list[str], k: int, scheme: str) -> DataFrame:
     """Add `bin` to a histogram (keys, score, pos, neg) and the row count `n`."""
     rows = hist.withColumn("n", F.col("pos") + F.col("neg"))
     if scheme == "equal_width":
         return rows.withColumn("bin", width_bin(F.col("score"), k))
     if scheme != "equal_mass":
         raise ValueError(f"scheme must be one of {SCHEMES}, not {scheme!r}")
-    if small:
-        w = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-        run = rows.withColumn("_before", F.coalesce(F.sum("n").over(w), F.lit(0.0)))
-        total = F.sum("n").over(Window.partitionBy(*keys))
-        return run.withColumn("bin", mass_bin(F.col("_before") + 1, total, k)).drop("_before")
     run = running_before(rows, keys, "score", {"_before": "n"})
     total = rows.groupBy(*keys).agg(F.sum("n").alias("_total")) if keys else rows.agg(F.sum("n").alias("_total"))
     run = run.join(total, keys) if keys else run.crossJoin(F.broadcast(total))
@@ -102,13 +95,6 @@ def bin_occupancy(curve: DataFrame, by: list[str], k: int) -> DataFrame:
         F.min("n").alias("count_min"), F.max("n").alias("count_max"))
 
 
-def one_task_holds(hist: DataFrame, keys: list[str], score: str = "score") -> bool:
-    """Do the distinct scores of every cell fit the row budget of one task?"""
-    per = hist.groupBy(*keys).agg(F.approx_count_distinct(score).alias("_d"))
-    largest = per.agg(F.max("_d")).first()[0] or 0
-    return largest * 1.2 <= ordered.ROWS_PER_SLICE
-
-
 def ece_ci(df: DataFrame, y: str, p: str, entity: str, k: int, scheme: str, by: list[str], n_boot: int,
            seed: int = 0, mode: str = "multinomial") -> DataFrame:
     """ECE interval; every replicate finds its own bins.
@@ -122,22 +108,21 @@ def ece_ci(df: DataFrame, y: str, p: str, entity: str, k: int, scheme: str, by:
             "n": F.col("pos") + F.col("neg"), "bin": width_bin(F.col("score"), k)})
         frame = pinned(hist.groupBy(*by, entity, "bin").agg(
             F.sum("n").alias("n"), F.sum("pos").alias("pos"), F.sum(F.col("score") * F.col("n")).alias("sp")))
-
-        def statistic(reps: DataFrame, keys: list[str]) -> DataFrame:
-            n, sp, sy = [F.sum(F.col(c) * F.col("w")) for c in ("n", "sp", "pos")]
-            curve = reps.groupBy(*keys, "bin").agg(n.alias("n"), (sy / n - sp / n).alias("gap"))
-            return ece_of(curve, keys, "value")
+        draws = entity_draws(frame, entity, n_boot, seed, mode)
+        sums = replicate_sums(frame, draws, entity, [*by, "bin"], ["n", "pos", "sp"]).where("n > 0")
+        curve = sums.withColumn("gap", F.col("pos") / F.col("n") - F.col("sp") / F.col("n"))
+        out = summarise(ece_of(curve, ["rep", *by], "value"), by, n_boot) \
+            .withColumn("n_groups", F.lit(draws.n_entities).cast("bigint"))
     else:
         frame = pinned(score_histogram(rows, y, p, [*by, entity]))
-        small = one_task_holds(frame, by)
 
         def statistic(reps: DataFrame, keys: list[str]) -> DataFrame:
             weighted = reps.groupBy(*keys, "score").agg(
                 F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
-            return ece_of(reliability_of(binned_histogram(weighted, keys, k, scheme, small), keys), keys, "value")
+            return ece_of(reliability_of(binned_histogram(weighted, keys, k, scheme), keys), keys, "value")
 
-    out = clustered_stat_ci(frame, entity, statistic, by, n_boot, seed, mode).drop("p_value")
-    return out.withColumn("point_below_ci_lo", F.col("estimate") < F.col("ci_lo"))
+        out = clustered_stat_ci(frame, entity, statistic, by, n_boot, seed, mode)
+    return out.drop("p_value").withColumn("point_below_ci_lo", F.col("estimate") < F.col("ci_lo"))
 
 
 def ece_null_band(df: DataFrame, y: str, p: str, item: str, k: int, scheme: str, by: list[str],
@@ -145,15 +130,16 @@ def ece_null_band(df: DataFrame, y: str, p: str, item: str, k: int, scheme: str,
     """What a perfectly calibrated score of this size and shape would show.
 
     Outcomes are redrawn from the scores. Bins do not depend on the outcome, so a draw only
-    adds one count per bin, which Spark pre-aggregates before shuffling.
+    adds one count per bin, summed inside the tasks; no row is repeated per draw.
     """
     rows = df.where(F.col(y).isin(0, 1) & F.col(p).isNotNull())
     binned = equal_width_bin(rows, p, k) if scheme == "equal_width" else equal_mass_bin(rows, p, k, by)
-    draw = F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")
-    hit = uniform(F.lit(seed), F.col("draw"), F.col(item)) < F.col(p)
-    curves = binned.select(*by, "bin", p, item, draw).groupBy(*by, "draw", "bin").agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.avg(p).alias("_p"), F.avg(hit.cast("double")).alias("_y"))
-    drawn = ece_of(curves.withColumn("gap", F.col("_y") - F.col("_p")), [*by, "draw"])
+    hits = F.transform(F.sequence(F.lit(0), F.lit(n_draws - 1)),
+                       lambda d: (uniform(F.lit(seed), d, F.col(item)) < F.col(p)).cast("smallint"))
+    counted = array_sums(binned.select(*by, "bin", F.lit(1).alias("hits"), hits.alias("w")), [*by, "bin"], ["hits"])
+    sizes = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(p).alias("_p"))
+    curves = counted.join(F.broadcast(sizes), [*by, "bin"])  # k bins a cell
+    drawn = ece_of(curves.withColumn("gap", F.col("hits") / F.col("n") - F.col("_p")), [*by, "place"])
     q = F.percentile("ece", F.array(F.lit(0.025), F.lit(0.975)))
     band = drawn.groupBy(*by).agg(q.alias("_q")).select(
         *by, F.col("_q")[0].alias("null_lo"), F.col("_q")[1].alias("null_hi"))

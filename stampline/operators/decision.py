@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stampline.functions.histogram import score_histogram
 from stampline.operators.resampling import (
-    OBSERVED, entity_draws, summarise, with_replicates,
+    OBSERVED, entity_draws, replicate_sums, summarise,
 )
 from stampline.session import pinned
 
@@ -68,8 +68,7 @@ def net_benefit_at(pooled: DataFrame, seeds: DataFrame, y: str, p: str, threshol
     """Net benefit at one threshold with interval, paired against treat-all, with seed spread."""
     counts = pinned(entity_counts(pooled, y, p, threshold, entity, by))
     draws = entity_draws(counts, entity, n_boot, seed, mode)
-    sums = with_replicates(counts, draws, entity).groupBy("rep", *by).agg(
-        *[F.sum(F.col(c) * F.col("w")).alias(c) for c in ("n", "pos", "tp", "fp")])
+    sums = replicate_sums(counts, draws, entity, by, ["n", "pos", "tp", "fp"])
     t = F.lit(threshold)
     nb = net_benefit(F.col("tp"), F.col("fp"), F.col("n"), t)
     everyone = net_benefit(F.col("pos"), F.col("n") - F.col("pos"), F.col("n"), t)

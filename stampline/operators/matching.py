@@ -130,7 +130,8 @@ def weighted_smd(df: DataFrame, value: str, y: str, weights: dict[str, str | Non
         *[F.sum(w(c)).alias(f"_w_{n}") for n, c in weights.items()])
     for n in weights:
         means = means.withColumn(f"_m_{n}", F.when(F.col(f"_w_{n}") > 0, F.col(f"_s_{n}") / F.col(f"_w_{n}")))
-    spread = rows.join(means, keys).groupBy(*keys).agg(
+    # Cells are declared (labels, variables), two rows each.
+    spread = rows.join(F.broadcast(means), keys).groupBy(*keys).agg(
         *[F.sum(w(c) * F.pow(x - F.col(f"_m_{n}"), 2)).alias(f"_v_{n}") for n, c in weights.items()],
         *[F.first(f"_m_{n}").alias(f"_m_{n}") for n in weights],
         *[F.first(f"_w_{n}").alias(f"_w_{n}") for n in weights])
@@ -169,9 +170,11 @@ def balance_table(df: DataFrame, labels: list[str], coarse: dict[str, str], raw:
                       "held_fixed": F.col("variable").isin(*held) if held else F.lit(False)})
     levels = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level"))
                        for c in coarse.values()])
-    cells = rows.select("label", "y", "pair_weight", F.explode(levels).alias("_l")) \
-        .groupBy("label", "y", "_l.variable", "_l.level") \
-        .agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("pair_weight").cast("double").alias("w"))
+    # Joint levels first, so that only they multiply by the variables, not the rows.
+    joint = rows.groupBy("label", "y", *dict.fromkeys(coarse.values())).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col("pair_weight").cast("double")).alias("w"))
+    cells = joint.select("label", "y", "n", "w", F.explode(levels).alias("_l")) \
+        .groupBy("label", "y", "_l.variable", "_l.level").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
     totals = long.groupBy("label").agg(F.count_if(F.col("y") == 1).alias("n1"), F.count_if(F.col("y") == 0).alias("n0"))
     pairs = stratum_labels(df, labels, stratum, sentinel).groupBy("label").agg(F.sum("n_pairs").alias("pairs"))
     wide = cells.groupBy("label", "variable", "level").agg(*[

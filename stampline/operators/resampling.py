@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +151,57 @@ def with_replicates(frame: DataFrame, draws: Draws, entity: str) -> DataFrame:
     )
 
 
+#: Replicates one pass of `replicate_sums` carries.
+SUMS_PER_PASS = 1000
+
+
+def array_sums(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """(by, place, values): for each place of the rows' arrays `w`, the sums of w[place] times the values.
+
+    No row per place: a task multiplies its rows' arrays with their values and keeps one small matrix per
+    cell. The cells of `by` are declared or few, and all arrays are equally long.
+    """
+    rows = rows.select(*by, *[F.col(c).cast("double").alias(c) for c in values], "w")
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by]
+                       + ["place int"] + [f"`{c}` double" for c in values])
+
+    def sums(batches):
+        cells: dict[tuple, np.ndarray] = {}
+        kinds = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kinds = [batch.schema.field(c).type for c in by]
+            table = pa.Table.from_batches([batch])
+            groups = table.select(by).to_pandas().groupby(by, dropna=False, sort=False).indices if by \
+                else {(): np.arange(batch.num_rows)}
+            keys = table.select(by).to_pylist() if by else None
+            weights = batch.column(batch.schema.get_field_index("w")).flatten().to_numpy().reshape(batch.num_rows, -1)
+            x = np.stack([table.column(c).to_numpy() for c in values], axis=1)
+            for at in groups.values():
+                key = tuple(keys[at[0]].values()) if by else ()
+                part = weights[at].T.astype(float) @ x[at]
+                cells[key] = cells[key] + part if key in cells else part
+        for key, total in cells.items():
+            columns = [pa.array([k] * len(total), kind) for k, kind in zip(key, kinds)]
+            columns.append(pa.array(np.arange(len(total), dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(c) for c in total.T.copy()], names=[*by, "place", *values])
+
+    return rows.mapInArrow(sums, schema).groupBy(*by, "place").agg(*[F.sum(c).alias(c) for c in values])
+
+
+def replicate_sums(frame: DataFrame, draws: Draws, entity: str, by: list[str], values: list[str]) -> DataFrame:
+    """(rep, by, values): weighted sums of columns on every draw; rep -1 is the observed sample."""
+    out = None
+    for first in range(0, draws.n_boot, SUMS_PER_PASS):
+        sums = array_sums(with_weights(frame, draws.part(first, SUMS_PER_PASS), entity), by, values)
+        part = sums.select((F.col("place") - 1 + F.when(F.col("place") > 0, first).otherwise(0)).alias("rep"), *by, *values)
+        if first:
+            part = part.where(F.col("rep") != OBSERVED)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def two_sided(value: Column) -> Column:
     """min(1, 2 * smaller tail share); both tails include zero."""
     low = F.avg(F.when(value <= 0, 1.0).when(value.isNotNull(), 0.0))

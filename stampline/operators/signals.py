@@ -7,9 +7,10 @@ the row, so nothing shuffles; NumPy runs on Arrow batches where a channel needs
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,34 +19,46 @@ from stampline.functions.expr import uniform
 LEADS = "array<array<double>>"
 
 
-def once(udf):
-    """Keep the planner from evaluating a Python function again in a filter it derives."""
-    return udf.asNondeterministic()
+def on_channels(df: DataFrame, leads: str, fn: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Replace the channels by `fn(samples, bounds)` of a whole Arrow batch at once.
 
+    samples: all channels end to end, NULL as NaN; bounds: where each begins, and the end. fn returns the new
+    ones alike. NULL records and NULL channels stay NULL.
+    """
+    @F.arrow_udf(LEADS)
+    def run(records: pa.Array) -> pa.Array:
+        channels = records.flatten()
+        samples = channels.flatten().to_numpy(zero_copy_only=False).astype(float)
+        bounds = _bounds(channels)
+        samples, bounds = fn(samples, bounds)
+        inner = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(samples, from_pandas=True),
+                                         mask=channels.is_null())
+        return pa.ListArray.from_arrays(pa.array(_bounds(records), pa.int32()), inner, mask=records.is_null())
 
-def _fill_gaps(channel: np.ndarray) -> np.ndarray:
-    """Linear inside, last value after the end; a leading gap has nothing to start from."""
-    known = np.flatnonzero(~np.isnan(channel))
-    if known.size == 0:
-        return channel
-    out = np.interp(np.arange(channel.size), known, channel[known])
-    out[: known[0]] = np.nan
-    return out
+    # The flag keeps the planner from evaluating the function again in a filter it derives.
+    return df.withColumn(leads, run.asNondeterministic()(F.col(leads)))
 
 
-def _to_lists(leads: list[np.ndarray]) -> list[list[float | None]]:
-    return [[None if np.isnan(x) else float(x) for x in lead] for lead in leads]
+def _bounds(lists: pa.Array) -> np.ndarray:
+    return np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
 
 
-def signal_clean(df: DataFrame, leads: str = "leads", clip: float = 3.0) -> DataFrame:
-    """Fill interior gaps by linear interpolation, then clip to ±clip."""
+def filled(samples: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Linear inside a channel, last value after the end; a leading gap has nothing to start from."""
+    at, known = np.arange(len(samples)), ~np.isnan(samples)
+    begin, end = (np.repeat(b, np.diff(bounds)) for b in (bounds[:-1], bounds[1:]))
+    before = np.maximum.accumulate(np.where(known, at, -1)) if len(at) else at
+    after = np.minimum.accumulate(np.where(known, at, len(at))[::-1])[::-1] if len(at) else at
+    some, more = before >= begin, after < end
+    left = samples[np.where(some, before, at)]
+    right = samples[np.where(more, after, at)]
+    slope = np.where(more & (after > before), (right - left) / np.maximum(after - before, 1), 0.0)
+    return np.where(known, samples, np.where(some, left + slope * (at - before), np.nan))
 
-    @F.pandas_udf(LEADS)
-    def clean(col: pd.Series) -> pd.Series:
-        return col.map(lambda rec: None if rec is None else _to_lists(
-            [np.clip(_fill_gaps(np.array(lead, dtype=float)), -clip, clip) for lead in rec]))
 
-    return df.withColumn(leads, once(clean)(F.col(leads)))
+def signal_clean(df: DataFrame, leads: str = "leads", clip: float = 3.0) -> DataFrame:
+    """Fill interior gaps by linear interpolation, then clip to ±clip."""
+    return on_channels(df, leads, lambda samples, bounds: (np.clip(filled(samples, bounds), -clip, clip), bounds))
 
 
 def fir_taps(factor: int, half_width: int = 4) -> list[float]:
@@ -62,20 +75,21 @@ def fir_taps(factor: int, half_width: int = 4) -> list[float]:
 
 def signal_decimate(df: DataFrame, factor: int, leads: str = "leads") -> DataFrame:
     """Band-limit each channel and keep every factor-th sample; the ends are held. NULL counts as 0."""
-    taps = np.array(fir_taps(factor))
+    taps = fir_taps(factor)
     half = len(taps) // 2
 
-    @F.pandas_udf(LEADS)
-    def decimate(col: pd.Series) -> pd.Series:
-        def one(lead):
-            x = np.nan_to_num(np.array(lead, dtype=float))
-            padded = np.pad(x, half, mode="edge")
-            windows = np.lib.stride_tricks.sliding_window_view(padded, len(taps))[::factor]
-            return (windows @ taps).tolist()
-
-        return col.map(lambda rec: None if rec is None else [one(lead) for lead in rec])
-
-    return df.withColumn(leads, once(decimate)(F.col(leads)))
+    def decimate(samples: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.nan_to_num(samples)
+        kept = -(-np.diff(bounds) // factor)
+        new = np.append(0, np.cumsum(kept))
+        begin, last = (np.repeat(b, kept) for b in (bounds[:-1], bounds[1:] - 1))
+        centre = begin + (np.arange(new[-1]) - np.repeat(new[:-1], kept)) * factor
+        out = np.zeros(len(centre))
+        for k, tap in enumerate(taps):  # one pass over all channels per tap
+            out += tap * x[np.clip(centre + k - half, begin, last)]
+        return out, new
+
+    return on_channels(df, leads, decimate)
 
 
 def leads_by_name(df: DataFrame, order: list[str], names: str = "names", leads: str = "leads") -> DataFrame:

@@ -13,7 +13,7 @@ from stampline.session import pinned
 
 K = 10
 B = 200
-DRAWS = 200
+DRAWS = 400
 WIDTH = "least(9, greatest(0, floor(p * 10)))::int"
 MASS = "(ceil(10 * (rank() over (partition by {k} order by p))::double / count(*) over (partition by {k})) - 1)::int"
 BINNED = f"""

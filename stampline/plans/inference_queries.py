@@ -12,7 +12,9 @@ from stampline.plans.discrimination_queries import pooled, r
 from stampline.plans.registry import query
 from stampline.session import pinned
 
-B = 200
+#: Replicates: of most registered queries; of the one timed against other implementations; of a contrast, so that
+#: several passes run; and the declared number of a full report.
+B, TIMED, CONTRAST, DECLARED = 200, 500, 1_100, 10_000
 HOURS = {f"h{h}": h for h in v.HORIZONS}
 POOLED_UNIVERSE = "select entity_id as entity from pooled"
 CI = "round(estimate, 6) as {0}, round(ci_lo, 6) as ci_lo, round(ci_hi, 6) as ci_hi"
@@ -23,9 +25,9 @@ def pooled_table(spark, sf):
     return pinned(pooled(spark, sf))
 
 
-def arms_ctes(arms: str = "'ctx','sig'") -> str:
+def arms_ctes(arms: str = "'ctx','sig'", n_boot: int = B) -> str:
     """reps as (rep, label, arm, auroc) and cnt as (label, n_items, n_positives, n_groups)."""
-    return (v.draws_sql(POOLED_UNIVERSE, B) + f""",
+    return (v.draws_sql(POOLED_UNIVERSE, n_boot) + f""",
 j as (select d.rep, d.w, p.arm, p.label, p.y, p.score from pooled p join draws d
       on d.entity = p.entity_id where p.arm in ({arms})),""" + v.auroc_sql("j", "rep, label, arm", "a") + """,
 cnt as (select label, count(*) as n_items, sum(y)::bigint as n_positives,
@@ -59,26 +61,28 @@ def e11(spark, sf):
                       "n_positives", "n_groups")
 
 
-@query("e11_clustered_auroc_ci_poisson", v.with_views("lines", f"""
+for _name, _n in (("e11_clustered_auroc_ci_poisson", TIMED), ("e11_clustered_auroc_ci_declared", DECLARED)):
+    def _interval(spark, sf, n=_n):
+        out = inf.clustered_auroc_ci(v.lines(spark, sf), "y", "score", "cluster", [], n, mode="poisson")
+        return out.select(r("auroc"), r("ci_lo"), r("ci_hi"), "n_boot", "n_finite", "n_items", "n_groups")
+
+    query(_name, v.with_views("lines", f"""
 select {CI.format('auroc')}, n_boot, n_finite,
        (select count(*) from lines) as n_items, (select count(distinct cluster) from lines) as n_groups
-from ({v.summary_sql('a', '', B, 'auroc')})""",
-       v.draws_sql("select cluster as entity from lines", B, 0, "poisson") + """,
+from ({v.summary_sql('a', '', _n, 'auroc')})""",
+          v.draws_sql("select cluster as entity from lines", _n, 0, "poisson") + """,
 j as (select d.rep, c.y, c.score, sum(d.w * c.n) as w from
       (select cluster, y, score, count(*) as n from lines group by all) c
-      join draws d on d.entity = c.cluster group by all),""" + v.auroc_sql("j", "rep", "a")))
-def e11_poisson(spark, sf):
-    out = inf.clustered_auroc_ci(v.lines(spark, sf), "y", "score", "cluster", [], B, mode="poisson")
-    return out.select(r("auroc"), r("ci_lo"), r("ci_hi"), "n_boot", "n_finite", "n_items", "n_groups")
+      join draws d on d.entity = c.cluster group by all),""" + v.auroc_sql("j", "rep", "a")))(_interval)
 
 
 @query("e12_paired_auroc_diff", v.with_views("pooled", f"""
 select s.label, {CI.format('difference')}, round(p_value, 6) as p_value, round(w.ctx, 6) as auroc_a,
        round(w.sig, 6) as auroc_b, n_boot, n_finite, n_items, n_groups
-from ({v.summary_sql('(select *, sig - ctx as value from wide)', 'label', B)}) s
-join wide w on w.label = s.label and w.rep = -1 join cnt on cnt.label = s.label""", arms_ctes()))
+from ({v.summary_sql('(select *, sig - ctx as value from wide)', 'label', CONTRAST)}) s
+join wide w on w.label = s.label and w.rep = -1 join cnt on cnt.label = s.label""", arms_ctes(n_boot=CONTRAST)))
 def e12(spark, sf):
-    out = inf.paired_auroc_diff(pooled(spark, sf), "ctx", "sig", ["label"], "item_id", "entity_id", B)
+    out = inf.paired_auroc_diff(pooled(spark, sf), "ctx", "sig", ["label"], "item_id", "entity_id", CONTRAST)
     return out.select("label", r("difference"), r("ci_lo"), r("ci_hi"), r("p_value"), r("auroc_a"),
                       r("auroc_b"), "n_boot", "n_finite", "n_items", "n_groups")
 
