@@ -125,6 +125,19 @@ def ece_ci(df: DataFrame, y: str, p: str, entity: str, k: int, scheme: str, by:
     return out.drop("p_value").withColumn("point_below_ci_lo", F.col("estimate") < F.col("ci_lo"))
 
 
+def ece_seed_spread(df: DataFrame, y: str, p: str, k: int, scheme: str, by: list[str], seed: str = "seed") -> DataFrame:
+    """ECE of every seed (mean, smallest, largest, spread) with the mean prediction and the observed rate.
+
+    Rows without a defined outcome or a probability take no part.
+    """
+    rows = df.where(F.col(y).isin(0, 1) & F.col(p).isNotNull())
+    per = ece(rows, y, p, k, scheme, [*by, seed]).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_seeds"), F.avg("ece").alias("seed_ece_mean"), F.min("ece").alias("seed_ece_min"),
+        F.max("ece").alias("seed_ece_max"), (F.max("ece") - F.min("ece")).alias("seed_ece_spread"))
+    level = rows.groupBy(*by).agg(F.avg(p).alias("mean_predicted"), F.avg(F.col(y).cast("double")).alias("observed_rate"))
+    return per.join(level, by)
+
+
 def ece_null_band(df: DataFrame, y: str, p: str, item: str, k: int, scheme: str, by: list[str],
                   n_draws: int, seed: int = 0) -> DataFrame:
     """What a perfectly calibrated score of this size and shape would show.

@@ -82,6 +82,21 @@ def f5(spark, sf):
         "point_below_ci_lo", "n_groups")
 
 
+@query("f5_ece_seed_spread", v.with_views("predictions", """
+select arm, label, count(*) as n_seeds, round(avg(ece), 6) as seed_ece_mean, round(min(ece), 6) as seed_ece_min,
+       round(max(ece), 6) as seed_ece_max, round(max(ece) - min(ece), 6) as seed_ece_spread,
+       round(max(mp), 6) as mean_predicted, round(max(ob), 6) as observed_rate
+from (select arm, label, seed, sum(n * abs(gap)) / sum(n) as ece from (
+        select arm, label, seed, least(9, greatest(0, floor(score * 10)))::int as bin, count(*) as n,
+               avg(y) - avg(score) as gap from predictions where y in (0, 1) group by all) group by all)
+join (select arm, label, avg(score) as mp, avg(y) as ob from predictions where y in (0, 1) group by all) using (arm, label)
+group by arm, label"""))
+def f5_seeds(spark, sf):
+    out = cal.ece_seed_spread(pinned(v.predictions(spark, sf)), "y", "score", K, "equal_width", ["arm", "label"])
+    return out.select("arm", "label", "n_seeds", *[r(c) for c in ("seed_ece_mean", "seed_ece_min", "seed_ece_max",
+                                                                 "seed_ece_spread", "mean_predicted", "observed_rate")])
+
+
 NULLS = CURVE + f""",
 nd as (select scheme, label, draw, sum(n * abs(yy - pp)) / sum(n) as value from (
          select scheme, label, b.range as draw, bin, count(*) as n, avg(p) as pp,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stampline.operators import cohort, inference as inf
 from stampline.operators import discrimination as d
 from stampline.operators.resampling import clustered_stat_ci, cluster_weights
+from stampline.operators import report as rep
 from stampline.plans import views as v
 from stampline.plans.discrimination_queries import pooled, r
 from stampline.plans.registry import query
@@ -234,6 +235,33 @@ def e18(spark, sf):
                       "n_items", "n_groups", "meets_target", "meets_target_plain_baseline")
 
 
+def retained_sql(spec: str, strata: str) -> str:
+    """Retained gain under one choice of strata, as a subquery with CTEs of its own."""
+    ctes = matched_ctes("'ctx','sig'").replace("join strata s using", f"join ({strata}) s using")
+    return f"""select * from (with {ctes},
+q1 as (select rep, label, case when abs(w_all - b_all) >= 1e-12 then (w_in - b_in) / (w_all - b_all) end as value from mw)
+select '{spec}' as spec, s.label, {CI.format('estimate')}, n_finite, round(o.w_in - o.b_in, 6) as gain_matched,
+       round(o.w_all - o.b_all, 6) as gain_unmatched_same_rows, n_items, n_groups
+from ({v.summary_sql('q1', 'label', B)}) s join mw o on o.label = s.label and o.rep = -1 join mc on mc.label = s.label)"""
+
+
+@query("i1_matching_sensitivity", v.with_views("pooled strata",
+       retained_sql("declared", "select * from strata") + " union all "
+       + retained_sql("acuity only", "select item_id, split_part(stratum, '|', 1) as stratum from strata")))
+def i1_matching(spark, sf):
+    """The retained gain beside the same rows matched on a coarser key."""
+    pool, strata = pooled_table(spark, sf), v.strata(spark, sf)
+    coarse = strata.withColumn("stratum", F.split("stratum", r"\|")[0])
+    cols = ["label", "estimate", "ci_lo", "ci_hi", "n_finite", "gain_matched", "gain_unmatched_same_rows", "n_items", "n_groups"]
+
+    def gain(keys):
+        return inf.gain_retained(pool, keys, "ctx", "sig", ["label"], "item_id", "entity_id", B, 0.5)
+
+    out = rep.declared_and_sensitivity(gain(strata), {"acuity only": gain(coarse)}, cols)
+    return out.select("spec", "label", *ci_cols("estimate", False), "n_finite", r("gain_matched"),
+                      r("gain_unmatched_same_rows"), "n_items", "n_groups")
+
+
 @query("e19_restricted_vs_plain_diff", v.with_views("pooled strata", f"""
 select s.label, {CI.format('difference')}, round(p_value, 6) as p_value, round(w_in, 6) as within,
        round(w_all, 6) as plain, n_items, n_groups
