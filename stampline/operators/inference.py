@@ -105,12 +105,16 @@ def clustered_auroc_ci(df: DataFrame, y: str, score: str, entity: str, by: list[
 
 
 def arm_replicates(pooled: DataFrame, arms: list[str], by: list[str], item: str, entity: str,
-                   n_boot: int, seed: int = 0, mode: str = "multinomial"
+                   n_boot: int, seed: int = 0, mode: str = "multinomial", universe: DataFrame | None = None
                    ) -> tuple[DataFrame, DataFrame]:
-    """(wide replicate table over the arms, counts per cell) on the common rows."""
+    """(wide replicate table over the arms, counts per cell) on the common rows.
+
+    Draws are of the entities in `universe`, so that comparisons with one universe share them; by default of the
+    entities in the common rows.
+    """
     rows = common_rows(pooled, arms, by, item, [entity, "y"])
     hist = entity_histogram(rows, "y", "score", entity, [*by, "arm"])
-    reps = replicate_auroc(hist, entity, [*by, "arm"], n_boot, seed, mode)
+    reps = replicate_auroc(hist, entity, [*by, "arm"], n_boot, seed, mode, universe)
     one_arm = hist.where(F.col("arm") == arms[0])
     return pinned(pivot_arms(reps, by, arms)), cell_counts(one_arm, entity, by)
 
@@ -164,13 +168,13 @@ def recovery_ratio_ci(pooled: DataFrame, arms: list[str], reference: str, by: li
                       label: str = "label", seed: int = 0, mode: str = "multinomial") -> DataFrame:
     """Recovery ratio of each arm against the reference, resampled as one quantity.
 
-    Each arm is compared on the rows it shares with the reference. Draws are hashes of the entity in Poisson mode
-    and of its place among the entities of the shared rows in multinomial mode, so arms that share the same
-    entities share their draws.
+    Each arm is compared on the rows it shares with the reference, all arms on the same draws: those of the
+    entities of the whole table.
     """
+    everyone = pinned(pooled.select(entity).distinct())
     out = None
     for arm in arms:
-        wide, counts = arm_replicates(pooled, [arm, reference], by, item, entity, n_boot, seed, mode)
+        wide, counts = arm_replicates(pooled, [arm, reference], by, item, entity, n_boot, seed, mode, everyone)
         vals = wide.withColumn("value", recovery_ratio(F.col(arm), F.col(reference)))
         ends = wide.where(F.col("rep") == OBSERVED).select(
             *by, F.col(arm).alias("numerator_auroc"), F.col(reference).alias("denominator_auroc"))

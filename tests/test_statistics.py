@@ -259,3 +259,19 @@ def test_the_ratio_takes_rows_that_the_reference_scored(spark):
     got = recovery_ratio_fixed_denominator(rows, names, "entity", 20, 0.7, reference=other).first()
     want = recovery_ratio_fixed_denominator(other, names, "entity", 20, 0.7).first()
     assert (got.estimate, got.ci_lo) == (want.estimate, want.ci_lo)
+
+
+def test_arms_with_different_rows_share_their_draws(spark):
+    """The ratio of an arm does not change when another arm scored other items."""
+    def rows(arm, items, step):
+        return [(arm, "h", i, i % 9, i % 2, ((i * step) % 11) / 11) for i in items]
+
+    schema = "arm string, label string, item_id long, entity long, y int, score double"
+    base = rows("ref", range(90), 3) + rows("a", range(90), 5)
+    both = spark.createDataFrame(base + rows("b", range(45, 90), 7), schema)
+
+    def ratio(arms):
+        out = inf.recovery_ratio_ci(both, arms, "ref", ["label"], "item_id", "entity", 30, 0.7, ("a", "h"))
+        return {r.arm: (r.estimate, r.ci_lo, r.ci_hi) for r in out.collect()}
+
+    assert ratio(["a", "b"])["a"] == ratio(["a"])["a"]
