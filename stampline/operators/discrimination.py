@@ -133,18 +133,23 @@ def macro_auroc(preds: DataFrame, target: str, by: list[str] | None = None) -> D
 def midrank_spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Spearman correlation with average ranks per group; NULL if either side is flat.
 
-    Pearson on mid-ranks. Ranks come from per-value counts, so tied values cost one row.
+    Pearson on mid-ranks, on the histogram of value pairs: tied pairs are one row before any join. Ranks are
+    taken around their mean, which is known, so large groups lose no digits.
     """
-    pair = df.dropna(subset=[x, y])
+    pair = df.dropna(subset=[x, y]).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = pair.groupBy(*by).agg(F.sum("_c").alias("n"))
 
     def ranks(col: str, name: str) -> DataFrame:
-        counts = pair.groupBy(*by, F.col(col)).agg(F.count(F.lit(1)).alias("_n"))
+        counts = pair.groupBy(*by, F.col(col)).agg(F.sum("_c").alias("_n"))
         run = running_before(counts, by, col, {"_before": "_n"})
         return run.select(*by, col, (F.col("_before") + (F.col("_n") + 1) / 2.0).alias(name))
 
-    ranked = pair.join(ranks(x, "_rx"), [*by, x]).join(ranks(y, "_ry"), [*by, y])
-    return ranked.groupBy(*by).agg(rank_correlation("_rx", "_ry").alias("spearman"),
-                                   F.count(F.lit(1)).alias("n"))
+    a, b = (F.col(r) - (F.col("n") + 1) / 2.0 for r in ("_rx", "_ry"))
+    sums = pair.join(F.broadcast(sizes), by).join(ranks(x, "_rx"), [*by, x]).join(ranks(y, "_ry"), [*by, y]).groupBy(*by).agg(
+        F.sum(F.col("_c") * a * b).alias("_ab"), F.sum(F.col("_c") * a * a).alias("_aa"),
+        F.sum(F.col("_c") * b * b).alias("_bb"), F.max("n").alias("n"))
+    spread = F.sqrt("_aa") * F.sqrt("_bb")
+    return sums.select(*by, F.when(spread > 0, F.col("_ab") / spread).alias("spearman"), "n")
 
 
 def rank_correlation(x: str, y: str) -> Column:
