@@ -68,20 +68,24 @@ def frequencies(docs: DataFrame, holds, sizes: list[int]) -> DataFrame:
     return map_texts(docs, "text", count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def candidates(docs: DataFrame, holds, sizes: list[int], width: int) -> DataFrame:
+def candidates(docs: DataFrame, holds, sizes: list[int], width: int, shingle: int) -> DataFrame:
     """id and n_words of every text, with the places whose shingle may be a prefix: shingle, at (word), lead (words
     before it in `around`), around (the words within reach of a window)."""
 
     def probe(part: Slice):
         words = part.words(ALNUM, lower=True)
-        at, hashes = (np.concatenate(x) for x in zip(*(shingles(words, s) for s in sizes)))
+        found = [shingles(words, s) for s in sizes]
+        at, hashes = (np.concatenate(x) for x in zip(*found))
+        size = np.repeat(sizes, [len(places) for places, _ in found])
         mine = holds.value.may_hold(hashes)
-        at, hashes = at[mine], hashes[mine]
+        at, hashes, size = at[mine], hashes[mine], size[mine]
         text = np.searchsorted(words.first, at, "right") - 1
         order = np.argsort(text, kind="stable")
-        at, hashes, text = at[order], hashes[order], text[order]
-        first = np.maximum(at - width + 1, words.first[text])
-        last = np.minimum(at + width, words.first[text + 1]) - 1
+        at, hashes, text, size = at[order], hashes[order], text[order], size[order]
+        # A shingle of the full size may lie anywhere in a window; a shorter one is the window.
+        reach = np.where(size == shingle, width - size, 0)
+        first = np.maximum(at - reach, words.first[text])
+        last = np.minimum(at + size + reach, words.first[text + 1]) - 1
         joined, begin, end = words.joined() if len(at) else (b"", np.zeros(1, int), np.zeros(1, int))
         around = [joined[a:b].decode() for a, b in zip(begin[first], end[last])]
         flat = pa.StructArray.from_arrays(
@@ -110,7 +114,7 @@ def hits(docs: DataFrame, items: DataFrame, width: int, shingle: int) -> tuple[D
     ranked = tokens.join(counted.withColumnRenamed("n", "freq"), "shingle", "left").groupBy("window", "n").agg(
         F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "shingle", "offset")).alias("rarest"))
     prefix = written(ranked.where("rarest.freq > 0").select("window", "n", "rarest.shingle", "rarest.offset"))
-    texts = written(candidates(docs, bitmap(prefix, "shingle"), sizes, width)
+    texts = written(candidates(docs, bitmap(prefix, "shingle"), sizes, width, shingle)
                     .withColumn("row", F.monotonically_increasing_id()))
     places = texts.select("row", "n_words", F.inline("places"))
     begin = F.col("at") - F.col("offset")
