@@ -263,7 +263,8 @@ def text_udf(fn: Callable[[Slice], pa.Array], kind: str, *names: str):
 
     def run(text: pa.Array, *more: pa.Array) -> pa.Array:
         batch = batch_of(text=text, **dict(zip(names, more)))
-        return pa.concat_arrays([fn(part) for part in slices([batch], "text")])
+        found = [fn(part) for part in slices([batch], "text")]
+        return pa.concat_arrays(found) if found else fn(Slice(batch, "text"))
 
     if not names:
         def one(text: pa.Array) -> pa.Array:

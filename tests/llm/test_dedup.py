@@ -72,7 +72,8 @@ def test_near_duplicates_match_brute_force(documents, rows):
     assert got == brute.near_duplicates(rows)
 
 
-def test_links_are_exact_in_crowded_anchors(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [2, 3, 5])
+def test_links_are_exact_in_crowded_anchors(spark, monkeypatch, blocks):
     """Random fingerprints with neighbours at every distance, anchors cut into slices of two homes."""
     monkeypatch.setattr(simhash, "HOMES", 2)
     rng = random.Random(1)
@@ -81,7 +82,7 @@ def test_links_are_exact_in_crowded_anchors(spark, monkeypatch):
         for flips in range(1, 8):
             prints.add(p ^ sum(1 << b for b in rng.sample(range(64), flips)))
     signed = [(int(np.uint64(p).astype(np.int64)),) for p in prints]
-    links = simhash.near_links(spark.createDataFrame(signed, "fp long"))
+    links = simhash.near_links(spark.createDataFrame(signed, "fp long"), blocks=blocks)
     got = {r.node: r.root for r in components(links, "a", "b").collect()}
     array = np.array([s for s, in signed], np.int64).view(np.uint64)
     near = np.bitwise_count(array[:, None] ^ array[None]) <= 4

@@ -91,3 +91,25 @@ def test_a_table_without_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_nulls_repeats_and_clashing_columns(spark):
+    """Rows with nulls in any column, repeated rows, empty and long texts, and columns with the stages' names."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (90001, None, "en", "src", 0), (90002, "", None, "src", 0),
+         (90003, " \n ", "en", None, 3), (90004, "word " * 30_000, "en", "src", None), (None, "text without an id", "en", "s", 18),
+         (90005, "a b c", "en", "s", 5), (90005, "a b c", "en", "s", 5)], docs.schema)
+    names = ("id", "th", "text_", "score", "spans", "row", "fp", "window", "item", "path", "core", "y", "quality", "place")
+    docs = docs.union(odd).union(odd).withColumns({n: F.lit(None).cast("string") if i % 2 else F.lit(i)
+                                                   for i, n in enumerate(names)})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF))
+        assert docs.columns == columns, name
+        if name == "SimHash near-dedup":
+            assert docs.count() == docs.select("doc_id", "text").distinct().count()
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert out.count() == docs.count() > 0
