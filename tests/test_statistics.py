@@ -238,7 +238,6 @@ def test_pairs_beyond_a_long(spark):
     """Three thousand million rows of each class in one stratum, given as counts."""
     from pyspark.sql import functions as F
 
-    from stampline.operators.discrimination import concordance_pairs  # noqa: F401
     from stampline.operators.matching import stratum_labels
 
     df = spark.range(4).select(F.lit("s").alias("stratum"), (F.col("id") % 2).cast("int").alias("h"))
