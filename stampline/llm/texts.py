@@ -331,9 +331,6 @@ class Bits:
     def __init__(self, words: np.ndarray, mask: int):
         self.words, self.mask = words, np.uint64(mask)
 
-    def __contains__(self, _):
-        raise TypeError("use may_hold")
-
     def may_hold(self, hashes: np.ndarray) -> np.ndarray:
         slot = (hashes >> np.uint64(7)) & self.mask
         return (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
