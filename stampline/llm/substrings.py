@@ -77,7 +77,7 @@ def kept_paths(part: Slice, k: int, m: int, holds) -> tuple[Paths, np.ndarray]:
     if holds is not None:
         paths.take(holds.value.may_hold(paths.core))
     first = paths.begin - paths.words.first[paths.text]
-    return paths, place(part.column("th")[paths.text], first, paths.size)
+    return paths, place(first, paths.size)
 
 
 def tag(path, id, at):
@@ -88,16 +88,17 @@ def tag(path, id, at):
 
 
 def candidate_paths(docs: DataFrame, k: int, m: int, holds) -> DataFrame:
-    """id, core, path and at (`place` of the first word, and the number of edges)."""
+    """id, th, core, path and at (`place` of the first word, and the number of edges)."""
 
     def emit(part):
         paths, at = kept_paths(part, k, m, holds)
         if not len(at):
             return None
         path = paths.hash_of(1, paths.size + k - 1, paths.begin)
-        return batch_of(id=part.column("id")[paths.text], core=paths.core.view(np.int64), path=path.view(np.int64), at=at)
+        return batch_of(id=part.column("id")[paths.text], th=part.column("th")[paths.text],
+                        core=paths.core.view(np.int64), path=path.view(np.int64), at=at)
 
-    return map_texts(docs, "text", emit, "id long, core long, path long, at long")
+    return map_texts(docs, "text", emit, "id long, th long, core long, path long, at long")
 
 
 def edges_of(docs: DataFrame, k: int, m: int, holds, opened) -> DataFrame:
@@ -117,21 +118,24 @@ def edges_of(docs: DataFrame, k: int, m: int, holds, opened) -> DataFrame:
         size = paths.size
         step = ranges(size)
         edge = paths.hash_of(2, k, np.repeat(paths.begin, size) + step)
-        return batch_of(id=np.repeat(id, size), core=np.repeat(paths.core, size).view(np.int64),
+        return batch_of(id=np.repeat(id, size), th=np.repeat(part.column("th")[paths.text], size),
+                        core=np.repeat(paths.core, size).view(np.int64),
                         edge=edge.view(np.int64), at=np.repeat(at & ~np.int64(0xFFFFF), size) + (step << 20) + k)
 
-    return map_texts(docs, "text", emit, "id long, core long, edge long, at long")
+    return map_texts(docs, "text", emit, "id long, th long, core long, edge long, at long")
 
 
 def later_places(rows: DataFrame, firsts: DataFrame, keys: list[str]) -> DataFrame:
     """Places after the first one with the same keys."""
-    return rows.join(firsts.where("first < last").select(*keys, "first"), keys).where(
-        F.struct("id", "at") > F.col("first")).select("id", "at")
+    return rows.join(firsts.where("several").select(*keys, "first"), keys).where(
+        F.struct("id", "th", "at") > F.col("first")).select("id", "th", "at")
 
 
-def first_and_last(rows: DataFrame, keys: list[str]) -> DataFrame:
-    here = F.struct("id", "at")
-    return rows.groupBy(*keys).agg(F.min(here).alias("first"), F.max(here).alias("last"))
+def first_places(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, `first` (the first place) and `several` (whether there is another one)."""
+    here = F.struct("id", "th", "at")
+    return rows.groupBy(*keys).agg(F.min(here).alias("first"), F.max(here).alias("last")).select(
+        *keys, "first", (F.col("first") < F.col("last")).alias("several"))
 
 
 def repeated_spans(docs: DataFrame, k: int = 20, m: int = 8) -> DataFrame:
@@ -144,16 +148,16 @@ def repeated_spans(docs: DataFrame, k: int = 20, m: int = 8) -> DataFrame:
     cores = written(repeated_cores(docs, k, m))
     holds = bitmap(cores, "core") if cores.count() <= FILTER_ROOM else None
     found = candidate_paths(docs, k, m, holds)
-    paths = written(first_and_last(found, ["core", "path"]))
+    paths = written(first_places(found, ["core", "path"]))
     whole = written(later_places(found, paths, ["core", "path"]))
     forks = written(paths.groupBy("core").count().where("count > 1").select("core"))
     opened = written(paths.select("core", tag(F.col("path"), F.col("first.id"), F.col("first.at")).alias("tag"))
                      .join(forks, "core", "left_semi").select("tag"))
     edges = written(edges_of(docs, k, m, holds, bitmap(opened, "tag") if opened.count() <= FILTER_ROOM else None))
-    single = later_places(edges, written(first_and_last(edges, ["core", "edge"])), ["core", "edge"])
-    th, begin, low = place_parts()
-    return (whole.select("id", th, begin, (low + F.lit(k - 1)).alias("size"))
-            .unionByName(written(single).select("id", th, begin, low.alias("size"))))
+    single = later_places(edges, written(first_places(edges, ["core", "edge"])), ["core", "edge"])
+    begin, low = place_parts()
+    return (whole.select("id", "th", begin, (low + F.lit(k - 1)).alias("size"))
+            .unionByName(written(single).select("id", "th", begin, low.alias("size"))))
 
 
 def kept_words(part: Slice) -> tuple[np.ndarray, np.ndarray, list[bytes]]:

@@ -82,8 +82,8 @@ RUN_BITS = 10
 
 
 def candidate_runs(docs: DataFrame, width: int, q: int, holds) -> DataFrame:
-    """Runs whose anchor may be repeated: id, core, kind, and at (`place` of the first string, with the number of
-    strings and the anchor's offset)."""
+    """Runs whose anchor may be repeated: id, th, core, kind, and at (`place` of the first string, with the number
+    of strings and the anchor's offset)."""
 
     def emit(part):
         runs = Runs(part, width, q)
@@ -92,23 +92,23 @@ def candidate_runs(docs: DataFrame, width: int, q: int, holds) -> DataFrame:
         if not len(keep):
             return None
         text, begin = runs.text[keep], runs.begin[keep]
-        return batch_of(id=part.column("id")[text], core=runs.core[keep].view(np.int64), kind=kind[keep].view(np.int64),
-                        at=place(part.column("th")[text], begin - part.at[text],
-                                 runs.size[keep] << RUN_BITS | runs.anchor[keep] - begin))
+        return batch_of(id=part.column("id")[text], th=part.column("th")[text], core=runs.core[keep].view(np.int64),
+                        kind=kind[keep].view(np.int64),
+                        at=place(begin - part.at[text], runs.size[keep] << RUN_BITS | runs.anchor[keep] - begin))
 
-    return map_texts(docs, "text", emit, "id long, core long, kind long, at long")
+    return map_texts(docs, "text", emit, "id long, th long, core long, kind long, at long")
 
 
 def run_parts() -> list:
-    """th, begin, size, off of a run's `at`."""
-    th, begin, low = place_parts()
-    return [th, begin, F.shiftright(low, RUN_BITS).alias("size"),
+    """begin, size, off of a run's `at`."""
+    begin, low = place_parts()
+    return [begin, F.shiftright(low, RUN_BITS).alias("size"),
             low.bitwiseAND(F.lit((1 << RUN_BITS) - 1)).alias("off")]
 
 
 def cut_runs(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
-    """The bytes of the runs in `places` (id, core, crowded, at), from one join with their texts."""
-    listed = (places.select("id", "core", "crowded", *run_parts()).groupBy("id", "th")
+    """The bytes of the runs in `places` (id, th, core, crowded, at), from one join with their texts."""
+    listed = (places.select("id", "th", "core", "crowded", *run_parts()).groupBy("id", "th")
               .agg(F.collect_list(F.struct("core", "crowded", "begin", "size", "off")).alias("runs")))
 
     def cut(part):
@@ -274,12 +274,13 @@ def repeated_strings(docs: DataFrame, width: int = 400, q: int = 200) -> DataFra
     anchors = written(repeated_anchors(docs, width, q))
     holds = bitmap(anchors, "core") if anchors.count() <= FILTER_ROOM else None
     found = candidate_runs(docs, width, q, holds)
-    here = F.struct("id", "at")
-    kinds = written(found.groupBy("core", "kind").agg(F.min(here).alias("first"), F.max(here).alias("last")))
-    twice = kinds.where("first < last").select("core", "kind")
-    th, begin, size, _ = run_parts()
+    here = F.struct("id", "th", "at")
+    kinds = written(found.groupBy("core", "kind").agg(F.min(here).alias("first"), F.max(here).alias("last"))
+                    .select("core", "kind", "first", (F.col("first") < F.col("last")).alias("several")))
+    twice = kinds.where("several").select("core", "kind")
+    begin, size, _ = run_parts()
     equal = written(found.join(twice, ["core", "kind"])
-                    .select("id", th, begin, (size + F.lit(width - 1)).alias("size")))
+                    .select("id", "th", begin, (size + F.lit(width - 1)).alias("size")))
     several = written(kinds.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
     opened = kinds.join(several, "core").select("first.*", "core", (F.col("n") > BUCKET_ROOM).alias("crowded"))
     cuts = written(cut_runs(docs, opened, width))

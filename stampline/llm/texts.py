@@ -236,12 +236,8 @@ def shown(col: str = "id") -> Column:
     return F.when(F.col(col) != NO_ID, F.col(col))
 
 
-#: Bits of a text's hash that tell apart different texts with one id.
-MARK_BITS = 12
-
-
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`keyed`, and `th`, some bits of the text's hash, so that different texts sharing an id stay apart."""
+    """`keyed`, and `th`, the text's 64-bit hash, so that different texts sharing an id stay apart."""
     return keyed(df, id_col, text_col).withColumn("th", text_mark(F.col("text")))
 
 
@@ -255,7 +251,7 @@ def marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def text_mark(text: Column) -> Column:
-    return F.coalesce(F.xxhash64(text).bitwiseAND(F.lit((1 << MARK_BITS - 1) - 1)), F.lit(0))
+    return F.xxhash64(text)  # of a null text the seed
 
 
 def text_udf(fn: Callable[[Slice], pa.Array], kind: str, *names: str):
@@ -278,15 +274,14 @@ def text_udf(fn: Callable[[Slice], pa.Array], kind: str, *names: str):
     return F.arrow_udf(two, kind)
 
 
-def place(th, begin, low=0):
-    """One long for a place in a text: its mark, a position of 32 bits, and 20 bits more."""
-    return th << 52 | begin << 20 | low
+def place(begin, low=0):
+    """One long for a place in a text: a position, and 20 bits more."""
+    return begin << 20 | low
 
 
 def place_parts(at: str = "at") -> tuple[Column, Column, Column]:
-    """(th, begin, low) of `place`."""
-    return (F.shiftright(at, 52).alias("th"), F.shiftright(at, 20).bitwiseAND(F.lit(0xFFFFFFFF)).alias("begin"),
-            F.col(at).bitwiseAND(F.lit(0xFFFFF)).alias("low"))
+    """(begin, low) of `place`."""
+    return F.shiftright(at, 20).alias("begin"), F.col(at).bitwiseAND(F.lit(0xFFFFF)).alias("low")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from stampline.llm import simhash, substrings, suffixes
+from stampline.llm import decontaminate, simhash, substrings, suffixes
 from stampline.llm.components import components
 from stampline.llm.texts import PLAIN, Slice, batch_of, sliding_argmin
 
@@ -157,3 +157,22 @@ def test_words_of_slices():
     joined, begin, end = w.joined()
     assert [joined[a:b].decode() for a, b in zip(begin, end)] == ["a", "bé", "c", "d", "e", "f"]
     assert joined.decode() == "a bé cde f"
+
+
+def test_many_texts_without_an_id_stay_apart(documents, spark):
+    """5,000 different texts share the null id; three of them share a passage, one of those a benchmark's."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(5000)]
+    passage = " ".join(word() for _ in range(60))
+    texts[:3] = [t + " " + passage for t in texts[:3]]
+    df = documents([(None, t) for t in texts])
+    assert sorted(r.text for r in simhash.keep_first(df).collect()) == sorted(texts)
+    cut = [r.n_removed for r in substrings.substring_dedup(df).collect() if r.n_removed]
+    assert cut == [60, 60]
+    stay = [r.text for r in substrings.without_repeats(df).collect()]
+    assert len(stay) == 5000 and len(set(stay) - set(texts)) == 2 and set(texts[3:]) <= set(stay)
+    cut = [r.n_removed for r in suffixes.suffix_dedup(df).collect() if r.n_removed]
+    assert cut == [len(passage) + 1] * 3  # and the space before it
+    items = spark.createDataFrame([(1, " ".join(texts[0].split(" ")[:12]))], "item_id long, text string")
+    assert sorted(r.text for r in decontaminate.keep_clean(df, items).collect()) == sorted(texts[1:])
