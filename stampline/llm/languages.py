@@ -3,8 +3,9 @@
 A word is a run of letters. Its script comes from code point ranges and leaves the languages learned with that
 script as candidates; their score for the word is a sum of log probabilities of hashed byte trigrams. A path
 through the words of a text picks a language per word and pays a penalty at each switch; the best one labels
-the spans. Where no stretch of a text gains more than the penalty for another language than the best overall,
-that one language is the best path, and the dynamic programme is skipped.
+the spans. Where every stretch of a text gains less than half the penalty for another language over the best
+overall, no stretches pay for their switches: that one language is the best path, and the dynamic programme is
+skipped.
 
 Trigram counts come from a bounded sample of labelled texts, summed over the tasks.
 """
@@ -171,7 +172,8 @@ def label_words(words: WordBytes, profiles: Profiles, penalty: float) -> np.ndar
         best = int(mine.sum(axis=0).argmax())
         gains = np.cumsum(mine - mine[:, best:best + 1], axis=0)
         low = np.minimum.accumulate(np.vstack([np.zeros((1, gains.shape[1])), gains[:-1]]), axis=0)
-        if (gains - low).max() > penalty:
+        # m stretches in other languages gain at most m times this, and pay for m - 1 switches or more.
+        if (gains - low).max() >= penalty / 2:
             open_texts.append(i)
         else:
             path[a:b] = best

@@ -113,6 +113,19 @@ def test_a_rule_list_is_an_ordered_conditional():
 
 # Languages -----------------------------------------------------------------------------------------
 
+def test_the_shortcut_around_viterbi_is_exact(monkeypatch):
+    """Also where two languages, each for a part, beat the best overall language that no path needs."""
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(12)
+    texts = [np.array([[20.0, -30, 0], [-30, 20, 0]])] + [rng.normal(0, 10, (rng.integers(1, 12), 3)) for _ in range(400)]
+    scores, first = np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts]))
+    monkeypatch.setattr(languages, "word_scores", lambda words, profiles: scores)
+    short = languages.label_words(SimpleNamespace(first=first), None, languages.SWITCH)
+    assert short[:2].tolist() == [0, 1]
+    assert (short == languages.viterbi(scores, first, languages.SWITCH)).all()
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     for _ in range(60):
