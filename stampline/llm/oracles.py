@@ -108,3 +108,91 @@ select d.doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_ba
   case when n_base > 0 then 1.0 else coalesce(share, 0.0) end::double as score
 from d left join base using (doc_id) left join more using (doc_id)
 """
+
+HARD_NEGATIVES = """
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_dot_product(a.v, r.v)::bigint as score
+  from rows a, rows r where a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, positive_id,
+       (row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id))::int as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from positives p join scored n on n.anchor_id = p.anchor_id and not n.same
+  and 80 * positive_score <= 100 * score and score <= positive_score
+qualify rank <= 5
+"""
+
+CONVERSATIONS = r"""
+with recursive damaged as (
+  select conv_id, turn, case when hit = 4 then 'user' else coalesce(role, ' ') end as role,
+         case hit when 1 then '' when 2 then translate(coalesce(text, ' '), '.!?', '') else coalesce(text, ' ') end as text,
+         unnest(case hit when 0 then [] when 3 then [1, 2] else [1] end) as copy
+  from (select *, crc % 20 as hit from (
+    select *, list_reduce(list_prepend(4294967295::ubigint, list_transform(
+      range(octet_length(encode(key))), lambda i: ascii(key[i + 1])::ubigint)), lambda c, b: list_reduce(
+        list_prepend(xor(c, b), list_transform(range(8), lambda j: 0::ubigint)),
+        lambda x, z: case when x & 1 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)) as raw,
+      xor(raw, 4294967295::ubigint) as crc
+    from (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations)))),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+         row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen,
+         rtrim(text, e' \t\n\x0b\x0c\r') as bare, role[1] as initial from damaged),
+faulty as (
+  select *, case when bare = '' then 'blank' when seen > 1 then 'duplicate'
+                 when bare[-1] not in ('.', '!', '?') then 'truncated' else '' end as fault,
+         lag(initial) over (partition by conv_id order by i) as before from placed),
+edits as (  -- state 0: nothing yet, 1: a system turn, 2: an open user turn, 3: an assistant turn last
+  select * from (values ('s', 0, 1), ('u', 0, 2), ('u', 1, 2), ('u', 3, 2), ('a', 2, 3)) t(initial, state, following)),
+fits as (select * from (values (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user'))
+         t(state, following, role)),
+states as (select state from fits),
+inserts as (  -- up to two inserts from a state
+  select state as a, state as b, 0 as cost, '' as audit, '' as made from states
+  union all select state, following, 3, 'I', role || ':' || chr(10) from fits
+  union all select f.state, g.following, 6, 'II', f.role || ':' || chr(10) || g.role || ':' || chr(10)
+  from fits f join fits g on g.state = f.following),
+paths as (
+  select conv_id, 0::bigint as i, b as state, cost::bigint as cost, audit, made from
+    (select distinct conv_id from damaged), inserts where a = 0
+  union all
+  select conv_id, i, state, cost, audit, made from (
+    select *, row_number() over (partition by conv_id, state order by cost, audit) as place from (
+      select p.conv_id, r.i, n.b as state, p.cost + e.cost + n.cost as cost, p.audit || e.letter || n.audit as audit,
+             p.made || e.made || n.made as made
+      from paths p join faulty r on r.conv_id is not distinct from p.conv_id and r.i = p.i + 1
+      cross join lateral (
+        select 'D' as letter, 4 as cost, p.state as following, '' as made
+        union all select 'K', case when r.fault = 'truncated' then 3 else 0 end, k.following,
+          r.role || ':' || r.text || chr(10)
+          from edits k where k.state = p.state and k.initial = r.initial and r.fault not in ('blank', 'duplicate')
+        union all select 'R', 3 + case when r.fault = 'truncated' then 3 else 0 end, f.following,
+          f.role || ':' || r.text || chr(10)
+          from fits f where f.state = p.state and r.fault not in ('blank', 'duplicate')) e
+      join inserts n on n.a = e.following)) where place = 1),
+ended as (
+  select p.* from paths p join (select conv_id, max(i) as n from faulty group by conv_id) c
+    on c.conv_id is not distinct from p.conv_id and c.n = p.i
+  where p.state in (0, 3)
+  qualify row_number() over (partition by p.conv_id order by cost, audit) = 1),
+counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+         count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+         count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (i > 1 and before || initial not in ('su', 'ua', 'au')) as illegal
+  from faulty group by conv_id)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost,
+       coalesce(audit, '') as audit, sha256(coalesce(made[:-2], '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counted c on c.conv_id is not distinct from o.conv_id
+left join ended e on e.conv_id is not distinct from o.conv_id
+"""

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stampline.llm import oracles
 from stampline.llm.bpe import bpe_digests
+from stampline.llm.conversations import conversation_repair
 from stampline.llm.decontaminate import decontaminate
 from stampline.llm.languages import language_predictions
 from stampline.llm.licenses import license_scan
+from stampline.llm.negatives import mined_negatives
+from stampline.llm.pages import main_text
 from stampline.llm.quality import quality_scores
 from stampline.llm.rules import apply_rules, quality_rules
 from stampline.llm.simhash import near_duplicates
@@ -97,3 +100,18 @@ def op9(spark, sf):
 @query("op10_substring_dedup", oracles.SUBSTRINGS)
 def op10(spark, sf):
     return substring_dedup(table(spark, sf, "documents"))
+
+
+@query("op11_hard_negatives", oracles.HARD_NEGATIVES)
+def op11(spark, sf):
+    return mined_negatives(table(spark, sf, "embeddings"))
+
+
+@query("op12_html_extraction")
+def op12(spark, sf):
+    return main_text(table(spark, sf, "pages"))
+
+
+@query("op13_conversation_repair", oracles.CONVERSATIONS)
+def op13(spark, sf):
+    return conversation_repair(table(spark, sf, "conversations"))
