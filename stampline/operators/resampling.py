@@ -4,7 +4,7 @@ A replicate draws whole entities with replacement. The draw is a weight per (rep
 entity), derived from a hash, so every cell that shares an entity sees the same draw and a
 retried task sees the same numbers.
 
-mode='multinomial'  exactly G of G entities per replicate; needs a dense entity index.
+mode='multinomial'  exactly G of G entities per replicate, by binomial splitting over a dense entity index.
 mode='poisson'      independent Poisson(1) weights; one narrow pass, no index, no shuffle.
 """
 
@@ -14,12 +14,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stampline.functions.expr import poisson1, uniform
+from stampline.functions.splitting import Tree, replicate_keys
 from stampline.session import pinned
 
 #: Replicate number that stands for the observed sample, every entity once.
@@ -85,23 +85,28 @@ def poisson_weights(index: DataFrame, entity: str, seed: int) -> Callable[[int,
     return weights
 
 
+#: Entities whose replicate counts a task holds at once.
+ENTITIES_PER_STEP = 512
+
+
 def multinomial_weights(index: DataFrame, entity: str, size: int, seed: int) -> Callable[[int, int], DataFrame]:
-    """G of G entities per replicate; an entity is drawn about n times in n replicates, so its list is short."""
+    """G of G entities per replicate by recursive binomial splitting over the index: no row per draw, no shuffle."""
     def weights(first: int, n: int) -> DataFrame:
-        g = max(size, 1)
-        slots = index.sparkSession.range(first * g, (first + n) * g if size else first * g).select(
-            F.expr(f"cast(id div {g} as int)").alias("rep"), (F.col("id") % g).alias("slot"))
-        picked = F.floor(uniform(F.lit(seed), F.col("rep"), F.col("slot")) * size)
-        packed = slots.select(picked.alias("idx"), (F.col("rep") - first).alias("rep")) \
-            .groupBy("idx").agg(F.collect_list("rep").alias("reps"))
-
-        @F.pandas_udf("array<smallint>")
-        def dense(reps: pd.Series) -> pd.Series:
-            return reps.map(lambda r: np.concatenate(
-                [[1], np.bincount(np.asarray([] if r is None else r, dtype=np.int64), minlength=n)]).astype(np.int16))
-
-        # The flag keeps the planner from evaluating the function a second time in a derived filter.
-        return index.join(packed, "idx", "left").select(entity, dense.asNondeterministic()("reps").alias("w"))
+        def draw(batches):
+            tree = Tree(size, replicate_keys(seed, first, n))
+            for batch in batches:
+                idx = batch.column("idx").to_numpy()
+                runs = np.flatnonzero(np.append(True, np.diff(idx) != 1)) if len(idx) else []
+                for run, stop in zip(runs, [*runs[1:], len(idx)]):
+                    for lo in range(run, stop, ENTITIES_PER_STEP):
+                        hi = min(lo + ENTITIES_PER_STEP, stop)
+                        dense = np.ones((hi - lo, n + 1), np.int16)
+                        dense[:, 1:] = tree.counts(int(idx[lo]), int(idx[hi - 1]) + 1)
+                        lists = pa.ListArray.from_arrays(np.arange(hi - lo + 1, dtype=np.int32) * (n + 1), dense.ravel())
+                        yield pa.RecordBatch.from_arrays([batch.column(entity)[lo:hi], lists], names=[entity, "w"])
+
+        kind = index.schema[entity].dataType.simpleString()
+        return index.select(entity, "idx").mapInArrow(draw, f"`{entity}` {kind}, w array<smallint>")
 
     return weights
 

@@ -246,17 +246,15 @@ def draws_sql(universe: str, n_boot: int, seed: int = 0, mode: str = "multinomia
       from (select distinct entity from ({universe})) e,
            (select range::int as rep from range({n_boot})) b)) where w > 0
   union all select -1, entity, 1 from (select distinct entity from ({universe})))"""
+    from stampline.functions.splitting import splitting_sql
+
     return f"""
 {name}_e as (select entity, row_number() over (order by entity) - 1 as idx
              from (select distinct entity from ({universe}) where entity is not null)),
 {name}_g as (select count(*) as g from {name}_e),
+{splitting_sql(name, seed, n_boot)},
 {name} as (
-  select c.rep, e.entity, c.w from (
-    select rep, idx, count(*)::int as w from (
-      select b.rep, cast(floor(('0x' || substr(md5('{seed}|' || b.rep || '|' || e.idx), 1, 8))::bigint
-             / 4294967296.0::double * g) as bigint) as idx
-      from {name}_e e, {name}_g, (select range::int as rep from range({n_boot})) b)
-    group by rep, idx) c join {name}_e e using (idx)
+  select c.rep, e.entity, c.w from {name}_leaf c join {name}_e e using (idx)
   union all select -1, entity, 1 from {name}_e)"""
 
 
