@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stampline.functions.expr import uniform
 from stampline.functions.histogram import score_histogram
+from stampline.functions.matrices import (
+    RANGE, NewtonCell, key_schema, keyed, mass_bin_sums, newton_sums, range_carries, tag_first, with_carries,
+)
 from stampline.functions.ordered import running_before
 from stampline.operators.resampling import (
-    array_sums, clustered_stat_ci, entity_draws, replicate_sums, summarise, with_replicates,
+    OBSERVED, SUMS_PER_PASS, Draws, array_sums, entity_draws, replicate_sums, summarise, with_weights,
 )
 from stampline.session import pinned
 
@@ -100,7 +104,8 @@ def ece_ci(df: DataFrame, y: str, p: str, entity: str, k: int, scheme: str, by:
     """ECE interval; every replicate finds its own bins.
 
     Equal-width bins are fixed by the score, so rows shrink to one per (entity, bin) before the
-    replicates come in. Equal-mass bins follow the running replicate weight.
+    replicates come in. Equal-mass bins follow the running replicate weight: rows stay in score order, each
+    carrying its entity's weights, and ranges learn from one carry row what lies below them in every replicate.
     """
     rows = df.where(F.col(entity).isNotNull())
     if scheme == "equal_width":
@@ -114,15 +119,43 @@ def ece_ci(df: DataFrame, y: str, p: str, entity: str, k: int, scheme: str, by:
         out = summarise(ece_of(curve, ["rep", *by], "value"), by, n_boot) \
             .withColumn("n_groups", F.lit(draws.n_entities).cast("bigint"))
     else:
-        frame = pinned(score_histogram(rows, y, p, [*by, entity]))
+        rows, keys = keyed(rows, by)
+        order = [*keys, "score", entity]
+        hist = score_histogram(rows, y, p, [*keys, entity]).repartitionByRange(*order).sortWithinPartitions(*order)
+        hist = pinned(tag_first(hist, keys))
+        draws = entity_draws(hist, entity, n_boot, seed, mode)
+        sums = replicate_mass_bins(hist, draws, entity, keys, k)
+        curve = sums.withColumn("gap", F.col("pos") / F.col("n") - F.col("sp") / F.col("n"))
+        out = summarise(ece_of(curve, ["rep", *keys], "value"), keys, n_boot).drop("_all") \
+            .withColumn("n_groups", F.lit(draws.n_entities).cast("bigint"))
+    return out.drop("p_value").withColumn("point_below_ci_lo", F.col("estimate") < F.col("ci_lo"))
 
-        def statistic(reps: DataFrame, keys: list[str]) -> DataFrame:
-            weighted = reps.groupBy(*keys, "score").agg(
-                F.sum(F.col("pos") * F.col("w")).alias("pos"), F.sum(F.col("neg") * F.col("w")).alias("neg"))
-            return ece_of(reliability_of(binned_histogram(weighted, keys, k, scheme), keys), keys, "value")
 
-        out = clustered_stat_ci(frame, entity, statistic, by, n_boot, seed, mode)
-    return out.drop("p_value").withColumn("point_below_ci_lo", F.col("estimate") < F.col("ci_lo"))
+def replicate_mass_bins(hist: DataFrame, draws: Draws, entity: str, by: list[str], k: int) -> DataFrame:
+    """(rep, by, bin, n, pos, sp) of bins of equal mass on every draw; `hist` went through `tag_first`."""
+    out = None
+    for first in range(0, draws.n_boot, SUMS_PER_PASS):
+        block = draws.part(first, SUMS_PER_PASS)
+        rows = with_weights(hist, block, entity)
+        if not block.small:
+            rows = in_ranges(rows, [*by, "score", entity])
+        carries = pinned(range_carries(rows, by))
+        rows, kept = with_carries(rows, carries, by, block.n_boot + 1)
+        if not kept:
+            rows = in_ranges(rows, [*by, "score", entity])
+        sums = mass_bin_sums(rows, by, k)
+        part = sums.select((F.col("place") - 1 + F.when(F.col("place") > 0, first).otherwise(0)).alias("rep"),
+                           *by, "bin", "n", "pos", "sp")
+        if first:
+            part = part.where(F.col("rep") != OBSERVED)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def in_ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Back to the ranges of `tag_first` after a join by key."""
+    n = rows.agg(F.max(RANGE)).first()[0]
+    return rows.repartitionById((n or 0) + 1, F.col(RANGE)).sortWithinPartitions(*order)
 
 
 def ece_seed_spread(df: DataFrame, y: str, p: str, k: int, scheme: str, by: list[str], seed: str = "seed") -> DataFrame:
@@ -268,10 +301,6 @@ def fit_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
         F.when(F.col("full_done") & ~F.col("flat"), F.col("full_b")).alias("slope"))
 
 
-def keyed(df: DataFrame, by: list[str]) -> tuple[DataFrame, list[str]]:
-    return (df, by) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
-
-
 def calibration_fit(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     """(by, intercept, slope) from one loop over the distinct probabilities."""
     rows, keys = keyed(df, by or [])
@@ -290,18 +319,63 @@ def calibration_slope(df: DataFrame, y: str, p: str, by: list[str] | None = None
 
 def calibration_fit_ci(df: DataFrame, y: str, p: str, entity: str, by: list[str], n_boot: int, seed: int = 0,
                        mode: str = "multinomial") -> DataFrame:
-    """(by, quantity, estimate, interval) for intercept, slope and Brier on the same draws."""
-    hist = pinned(score_histogram(df.where(F.col(entity).isNotNull()), y, p, [*by, entity]))
+    """(by, quantity, estimate, interval) for intercept, slope and Brier on the same draws.
+
+    A Newton step serves all replicates of a pass: tasks add up nine sums per replicate from matrices rows x
+    replicates, and only these reach the driver, which keeps a few numbers per cell and replicate. Settled
+    replicates are not computed again. The cells of `by` are declared or few.
+    """
+    rows, keys = keyed(df.where(F.col(entity).isNotNull()), by)
+    hist = pinned(score_histogram(rows, y, p, [*keys, entity]).select(
+        *keys, entity, "pos", (F.col("pos") + F.col("neg")).alias("n"), logit(F.col("score")).alias("x"), *[
+            e.alias(c) for c, e in (("nx", F.lit(0.0)), ("nxx", F.lit(0.0)), ("sq", F.col("pos") * F.pow(1 - F.col("score"), 2)
+                                                                            + F.col("neg") * F.pow("score", 2)))])
+        .withColumns({"nx": F.col("n") * F.col("x"), "nxx": F.col("n") * F.col("x") * F.col("x")}))
     draws = entity_draws(hist, entity, n_boot, seed, mode)
-    keys = ["rep", *by]
-    cells = pinned(
-        with_replicates(hist, draws, entity).groupBy(*keys, "score").agg(
-            F.sum(F.col("pos") * F.col("w")).alias("pos"),
-            F.sum((F.col("pos") + F.col("neg")) * F.col("w")).alias("n"))
-        .withColumn("x", logit(F.col("score"))))
-    square = F.col("pos") * F.pow(1 - F.col("score"), 2) + (F.col("n") - F.col("pos")) * F.pow("score", 2)
-    brier = cells.groupBy(*keys).agg((F.sum(square) / F.sum("n")).alias("brier"))
-    wide = fit_cells(cells, keys).join(brier, keys)
-    long = wide.unpivot(keys, ["intercept", "slope", "brier"], "quantity", "value")
-    return summarise(long, [*by, "quantity"], n_boot).drop("p_value") \
-        .withColumn("n_undefined", F.col("n_boot") - F.col("n_finite"))
+    parts = None
+    for first in range(0, n_boot, SUMS_PER_PASS):
+        block = draws.part(first, SUMS_PER_PASS)
+        weighted = pinned(with_weights(hist, block, entity).select(*keys, "x", "n", "pos", "nx", "nxx", "sq", "w"))
+        values = replicate_fits(weighted, keys, first)
+        parts = values if parts is None else parts.unionByName(values)
+    long = parts.unpivot(["rep", *keys], ["intercept", "slope", "brier"], "quantity", "value")
+    return summarise(long, [*keys, "quantity"], n_boot).select(
+        *by, "quantity", "estimate", "ci_lo", "ci_hi", "n_boot", "n_finite",
+        (F.col("n_boot") - F.col("n_finite")).alias("n_undefined"))
+
+
+def replicate_fits(weighted: DataFrame, keys: list[str], first: int, max_iter: int = 25) -> DataFrame:
+    """(rep, keys, intercept, slope, brier) of the replicates in the rows' weights; NULL where undefined or not
+    converged. The observed sample comes with the first pass only."""
+    import pandas as pd
+
+    sums = array_sums(weighted, keys, ["n", "pos", "nx", "nxx", "sq"]).toPandas()
+    cells = {key: part.sort_values("place") for key, part in sums.groupby(keys, dropna=False)}
+    fits, flats = {}, {}
+    for key, part in cells.items():
+        n = part["n"].to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mean = part["nx"] / n
+            flats[key] = ~(np.sqrt(np.maximum(part["nxx"] / n - mean * mean, 0)).to_numpy() >= FLAT_LOGIT)
+        fits[key] = NewtonCell(len(part), ((part["pos"] > 0) & (part["pos"] < part["n"])).to_numpy())
+    for _ in range(max_iter):
+        state = {key: fit.candidates() for key, fit in fits.items() if not fit.done.all()}
+        if not state:
+            break
+        for key, found in newton_sums(weighted, keys, state).items():
+            fits[key].step(found)
+    out = []
+    for key, part in cells.items():
+        fit, rep = fits[key], np.arange(len(part)) - 1
+        rep[1:] += first
+        columns = {"rep": rep} | {k: [v] * len(part) for k, v in zip(keys, key)} | {
+            "intercept": np.where(fit.settled[0], fit.at[0], np.nan),
+            "slope": np.where(fit.settled[1] & ~flats[key], fit.at[2], np.nan),
+            "brier": (part["sq"] / part["n"]).to_numpy()}
+        out.append(pd.DataFrame(columns).iloc[1 if first else 0:])
+    schema = "rep long, " + key_schema(weighted, keys) + "intercept double, slope double, brier double"
+    if not out:
+        return weighted.sparkSession.createDataFrame([], schema)
+    values = weighted.sparkSession.createDataFrame(pd.concat(out), schema)
+    defined = {c: F.when(~F.isnan(c), F.col(c)) for c in ("intercept", "slope", "brier")}
+    return values.withColumns(defined)

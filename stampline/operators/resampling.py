@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stampline.functions.expr import poisson1, uniform
+from stampline.functions.matrices import Mergeable, keyed, merged_values
 from stampline.functions.splitting import Tree, replicate_keys
 from stampline.session import pinned
 
@@ -156,8 +157,8 @@ def with_replicates(frame: DataFrame, draws: Draws, entity: str) -> DataFrame:
     )
 
 
-#: Replicates one pass of `replicate_sums` carries.
-SUMS_PER_PASS = 1000
+#: Replicates that one pass of sums in matrices carries.
+SUMS_PER_PASS = 2500
 
 
 def array_sums(rows: DataFrame, by: list[str], values: list[str]) -> DataFrame:
@@ -246,3 +247,25 @@ def clustered_stat_ci(frame: DataFrame, entity: str,
     values = statistic(rows, ["rep", *by])
     return summarise(values, by, n_boot, level=level) \
         .withColumn("n_groups", F.lit(draws.n_entities).cast("bigint"))
+
+
+def clustered_callback_ci(frame: DataFrame, entity: str, statistic: Mergeable, columns: list[str], by: list[str],
+                          n_boot: int, seed: int = 0, mode: str = "multinomial", universe: DataFrame | None = None,
+                          level: float = 0.95) -> DataFrame:
+    """Interval and p-value for a caller's statistic in plain Python, on each draw.
+
+    The statistic is given rows of `columns` with their weights, a chunk and many replicates at a time, and merges
+    its states; no call sees a whole replicate and no row is repeated per replicate. NaN marks an undefined one.
+    """
+    frame, keys = keyed(frame.select(*dict.fromkeys([*by, entity, *columns])), by)
+    draws = entity_draws((universe if universe is not None else frame).select(entity), entity, n_boot, seed, mode)
+    values = None
+    for first in range(0, n_boot, SUMS_PER_PASS):
+        rows = with_weights(frame, draws.part(first, SUMS_PER_PASS), entity)
+        part = merged_values(rows, keys, columns, statistic).select(
+            (F.col("place") - 1 + F.when(F.col("place") > 0, first).otherwise(0)).alias("rep"), *keys, "value")
+        if first:
+            part = part.where(F.col("rep") != OBSERVED)
+        values = part if values is None else values.unionByName(part)
+    return summarise(values, keys, n_boot, level=level).drop("_all") \
+        .withColumn("n_groups", F.lit(draws.n_entities).cast("bigint"))

@@ -11,11 +11,12 @@ from stampline.plans.discrimination_queries import pooled, r
 from stampline.plans.registry import query
 from stampline.session import pinned
 
-K = 10
-B = 200
+#: Bins and replicates as declared.
+K = 15
+B = 10_000
 DRAWS = 400
-WIDTH = "least(9, greatest(0, floor(p * 10)))::int"
-MASS = "(ceil(10 * (rank() over (partition by {k} order by p))::double / count(*) over (partition by {k})) - 1)::int"
+WIDTH = f"least({K - 1}, greatest(0, floor(p * {K})))::int"
+MASS = f"(ceil({K} * (rank() over (partition by {{k}} order by p))::double / count(*) over (partition by {{k}})) - 1)::int"
 BINNED = f"""
 binned as (select 'equal_width' as scheme, label, doc_id, source, y, p, {WIDTH} as bin from docs
            union all select 'equal_mass', label, doc_id, source, y, p, {MASS.format(k='label')} from docs)"""
@@ -64,7 +65,7 @@ j as (select d.rep, c.label, c.p, sum(d.w * c.n)::double as n, sum(d.w * c.pos):
       from (select label, source, p, count(*) as n, sum(y) as pos from docs group by all) c
       join draws d on d.entity = c.source group by all),
 jb as (select *, 'equal_width' as scheme, """ + WIDTH + """ as bin from j
-       union all select *, 'equal_mass', (ceil(10 * (coalesce(sum(n) over (partition by rep, label order by p
+       union all select *, 'equal_mass', (ceil(""" + str(K) + """ * (coalesce(sum(n) over (partition by rep, label order by p
          rows between unbounded preceding and 1 preceding), 0) + 1) / sum(n) over (partition by rep, label)) - 1)::int from j),
 re as (select rep, scheme, label, sum(n * abs(g)) / sum(n) as value from (
          select rep, scheme, label, bin, sum(n) as n, sum(pos) / sum(n) - sum(n * p) / sum(n) as g
@@ -82,12 +83,12 @@ def f5(spark, sf):
         "point_below_ci_lo", "n_groups")
 
 
-@query("f5_ece_seed_spread", v.with_views("predictions", """
+@query("f5_ece_seed_spread", v.with_views("predictions", f"""
 select arm, label, count(*) as n_seeds, round(avg(ece), 6) as seed_ece_mean, round(min(ece), 6) as seed_ece_min,
        round(max(ece), 6) as seed_ece_max, round(max(ece) - min(ece), 6) as seed_ece_spread,
        round(max(mp), 6) as mean_predicted, round(max(ob), 6) as observed_rate
 from (select arm, label, seed, sum(n * abs(gap)) / sum(n) as ece from (
-        select arm, label, seed, least(9, greatest(0, floor(score * 10)))::int as bin, count(*) as n,
+        select arm, label, seed, {WIDTH.replace('p *', 'score *')} as bin, count(*) as n,
                avg(y) - avg(score) as gap from predictions where y in (0, 1) group by all) group by all)
 join (select arm, label, avg(score) as mp, avg(y) as ob from predictions where y in (0, 1) group by all) using (arm, label)
 group by arm, label"""))
@@ -115,8 +116,8 @@ def f6(spark, sf):
         "scheme", "label", r("ece"), r("null_lo"), r("null_hi"), "inside_null_band")
 
 
-@query("f7_bin_occupancy", v.with_views("docs", """
-select scheme, label, 10::bigint as n_bins, count(*) as n_occupied, min(n) as count_min, max(n) as count_max
+@query("f7_bin_occupancy", v.with_views("docs", f"""
+select scheme, label, {K}::bigint as n_bins, count(*) as n_occupied, min(n) as count_min, max(n) as count_max
 from curve group by scheme, label""", CURVE))
 def f7(spark, sf):
     docs = v.scored_documents(spark, sf)
@@ -143,8 +144,7 @@ LOGIT = "ln(least(1 - 1e-12, greatest(1e-12, p)) / (1 - least(1 - 1e-12, greates
 CELLS = f"""
 cells as materialized (select label, p, {LOGIT} as x, count(*)::double as n, sum(y)::double as pos
                        from docs group by label, p),"""
-FIT_B = 100
-REP_CELLS = v.draws_sql("select source as entity from docs", FIT_B) + f""",
+REP_CELLS = v.draws_sql("select source as entity from docs", B) + f""",
 rcells as materialized (select rep, label, p, {LOGIT} as x, sum(w * n)::double as n, sum(w * pos)::double as pos
   from (select label, source, p, count(*) as n, sum(y) as pos from docs group by all) c
   join draws on entity = source group by rep, label, p),"""
@@ -164,14 +164,14 @@ def f9(spark, sf):
 
 @query("f10_calibration_fit_ci", v.with_views("docs", f"""
 select label, quantity, round(estimate, 6) as estimate, round(ci_lo, 6) as ci_lo, round(ci_hi, 6) as ci_hi, n_boot,
-       n_boot - n_finite as n_undefined from ({v.summary_sql('q', 'label, quantity', FIT_B)})""",
+       n_boot - n_finite as n_undefined from ({v.summary_sql('q', 'label, quantity', B)})""",
        REP_CELLS + newton_sql("rcells", "rep, label", False, "fa") + ",\n"
        + newton_sql("rcells", "rep, label", True, "fb") + """,
 q as (select rep, label, 'intercept' as quantity, a as value from fa union all select rep, label, 'slope', b from fb
       union all select rep, label, 'brier', sum(pos * (1 - p) * (1 - p) + (n - pos) * p * p) / sum(n)
       from rcells group by rep, label)"""))
 def f10(spark, sf):
-    out = cal.calibration_fit_ci(v.scored_documents(spark, sf), "y", "p", "source", ["label"], FIT_B)
+    out = cal.calibration_fit_ci(v.scored_documents(spark, sf), "y", "p", "source", ["label"], B)
     return out.select("label", "quantity", r("estimate"), r("ci_lo"), r("ci_hi"), "n_boot", "n_undefined")
 
 

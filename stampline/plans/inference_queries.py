@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stampline.operators import cohort, inference as inf
 from stampline.operators import discrimination as d
-from stampline.operators.resampling import clustered_stat_ci, cluster_weights
+from stampline.operators.resampling import Mergeable, clustered_callback_ci, clustered_stat_ci, cluster_weights
 from stampline.operators import report as rep
 from stampline.plans import views as v
 from stampline.plans.discrimination_queries import pooled, r
@@ -151,6 +152,33 @@ def e15(spark, sf):
     return out.select("event_type", *ci_cols(), "n_boot", "n_finite", "n_groups")
 
 
+def deviation() -> Mergeable:
+    """Standard deviation of `value` from its weighted moments, as a caller would write it in plain Python."""
+    def add(state, rows, weights):
+        return state + np.stack([rows["n"], rows["sv"], rows["sq"]]) @ weights
+
+    def finish(state):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.sqrt(np.maximum(state[2] / state[0] - (state[1] / state[0]) ** 2, 0.0))
+
+    return Mergeable(lambda width: np.zeros((3, width)), add, lambda a, b: a + b, finish)
+
+
+@query("e15_clustered_callback_ci", v.with_views("records", f"""
+select event_type, {CI.format('estimate')}, n_boot, n_finite, (select count(distinct entity_id) from records) as n_groups
+from ({v.summary_sql('s', 'event_type', DECLARED)})""",
+       v.draws_sql("select entity_id as entity from records", DECLARED) + """,
+s as (select d.rep, event_type, sqrt(greatest(sum(w * sq) / sum(w * n) - pow(sum(w * sv) / sum(w * n), 2), 0)) as value from
+      (select entity_id, event_type, sum(value) as sv, sum(value * value) as sq, count(value)::double as n from records group by all) x
+      join draws d on d.entity = x.entity_id group by all)"""))
+def e15_callback(spark, sf):
+    per = pinned(v.base_records(spark, sf).groupBy("entity_id", "event_type").agg(
+        F.sum("value").alias("sv"), F.sum(F.col("value") * F.col("value")).alias("sq"),
+        F.count("value").cast("double").alias("n")))
+    out = clustered_callback_ci(per, "entity_id", deviation(), ["n", "sv", "sq"], ["event_type"], DECLARED)
+    return out.select("event_type", *ci_cols("estimate", False), "n_boot", "n_finite", "n_groups")
+
+
 RATIO = "case when abs({1} - 0.5::double) >= 1e-12 then ({0} - 0.5::double) / ({1} - 0.5::double) end"
 
 
