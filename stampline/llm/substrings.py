@@ -177,7 +177,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """All rows with all their columns; texts that lose words are their kept words, joined by one space, others
     stay as they are. A column n_chars follows the text."""
     spans = repeated_spans(texts_of(docs, id_col, text_col), k, m)
-    listed = spans.groupBy("id", "th").agg(F.collect_list(F.struct("begin", "size")).alias(SPANS))
+    listed = spans.groupBy("id", "th").agg(F.collect_set(F.struct("begin", "size")).alias(SPANS))
     rows = marked(docs, id_col, text_col).join(
         listed.withColumnsRenamed({"id": ID, "th": MARK}), [ID, MARK], "left")
     kept = text_udf(lambda part: pa.array(kept_words(part)[2], pa.binary()).cast(pa.string()), "string", "spans")

@@ -285,8 +285,9 @@ def place_parts(at: str = "at") -> tuple[Column, Column, Column]:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with the list of their spans (id, th, begin, size); null where there are none."""
-    listed = spans.groupBy("id", "th").agg(F.collect_list(F.struct("begin", "size")).alias("spans"))
+    """docs with the set of their spans (id, th, begin, size); null where there are none. Equal rows each bring the
+    spans of their text, which count once."""
+    listed = spans.groupBy("id", "th").agg(F.collect_set(F.struct("begin", "size")).alias("spans"))
     return docs.join(listed, ["id", "th"], "left")
 
 

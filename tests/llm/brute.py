@@ -110,3 +110,37 @@ def contamination(rows, items, width=10):
         named = sorted(str(x) for x in named if x is not None)
         out.append((d, len(w), len(hit), len(named), sha(",".join(named)), bool(hit)))
     return sorted(out)
+
+
+def shingles(text, k=5):
+    w = words(text, lower=True)
+    return frozenset(tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def similar_pairs(texts, least=0.8, k=5):
+    """Pairs i < j of texts whose shingle sets differ and have a Jaccard similarity of at least `least`."""
+    sets, at = [shingles(t, k) for t in texts], defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            at[x].append(i)
+    both = Counter((i, j) for ids in at.values() for n, i in enumerate(ids) for j in ids[n + 1:])
+    return {(i, j) for (i, j), n in both.items() if sets[i] != sets[j] and n >= least * (len(sets[i]) + len(sets[j]) - n)}
+
+
+def similar_groups(rows, least=0.8, k=5):
+    """{row number: smallest row number of its group} of (id, text) rows; equal shingle sets are one."""
+    rows = list(rows)
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    first, links = {}, similar_pairs([t for _, t in rows], least, k)
+    for i, (_, t) in enumerate(rows):
+        links.add((first.setdefault(shingles(t, k), i), i))
+    for i, j in links:
+        a, b = sorted((top(i), top(j)))
+        root[b] = a
+    return {i: top(i) for i in range(len(rows))}
