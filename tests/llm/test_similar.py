@@ -60,7 +60,7 @@ def test_given_documents(spark):
 def test_a_hub_costs_a_pair_a_member(documents, family, monkeypatch):
     hub = family[320:620]
     rows = S.prints_of(texts_of(documents(hub), "doc_id", "text"), 5, 42)
-    nodes = rows.selectExpr("th as node", "th as `group`", "prints").distinct()
+    nodes = rows.selectExpr("th as node", "prints").distinct()
     n = nodes.count()
     assert S.candidate_pairs(nodes.coalesce(1), 0).count() <= 40 * n < n * n / 4
 
