@@ -70,7 +70,7 @@ def test_closest_forest_is_minimal():
     for _ in range(20):
         n = 30
         a, b, d = rng.integers(0, 12, n), rng.integers(0, 12, n), rng.integers(0, 9, n)
-        keep = S.closest_forest(a, b, d)
+        keep = S.closest_forest(a, b, d, 12)
         root = list(range(12))
 
         def top(i):
