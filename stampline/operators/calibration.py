@@ -356,7 +356,10 @@ def replicate_fits(weighted: DataFrame, keys: list[str], first: int, max_iter: i
         n = part["n"].to_numpy()
         with np.errstate(divide="ignore", invalid="ignore"):
             mean = part["nx"] / n
-            flats[key] = ~(np.sqrt(np.maximum(part["nxx"] / n - mean * mean, 0)).to_numpy() >= FLAT_LOGIT)
+            square = part["nxx"] / n
+            # Sums over many rows leave a relative rounding error of some 1e-15 in the variance.
+            least = np.maximum(FLAT_LOGIT ** 2, 1e-14 * square)
+            flats[key] = ~(square - mean * mean >= least).to_numpy()
         fits[key] = NewtonCell(len(part), ((part["pos"] > 0) & (part["pos"] < part["n"])).to_numpy())
     for _ in range(max_iter):
         state = {key: fit.candidates() for key, fit in fits.items() if not fit.done.all()}
