@@ -282,9 +282,10 @@ def logit_cells(df: DataFrame, y: str, p: str, keys: list[str]) -> DataFrame:
 def flat_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, flat, one_class): where a slope or any fit is undefined."""
     mean = F.sum(F.col("n") * F.col("x")) / F.sum("n")
-    var = F.sum(F.col("n") * F.col("x") * F.col("x")) / F.sum("n") - mean * mean
+    square = F.sum(F.col("n") * F.col("x") * F.col("x")) / F.sum("n")
+    least = F.greatest(F.lit(FLAT_LOGIT ** 2), 1e-14 * square)  # the rounding of long sums
     return cells.groupBy(*keys).agg(
-        (F.sqrt(F.greatest(var, F.lit(0.0))) < FLAT_LOGIT).alias("flat"),
+        (square - mean * mean < least).alias("flat"),
         ((F.sum("pos") == 0) | (F.sum("pos") == F.sum("n"))).alias("one_class"))
 
 
