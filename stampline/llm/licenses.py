@@ -1,11 +1,13 @@
 """License scans by an exact set-similarity join.
 
-A block is a line of a text, as the set of its words. A template is in a block if at least `threshold` of the
-template's words are. Tokens are ordered by the number of lines that hold them, over all texts, rare ones
-first: of a template T with least overlap a = ceil(threshold |T|), every such block holds a token among the
-first |T| - a + 1, so blocks and templates are joined on those prefix tokens. The length filter asks for a
-template words in the block, the positional filter bounds the overlap by what stands before and after the
-shared token in both orders, and what is left is counted exactly.
+A block is as many consecutive words of a text as a template has, line breaks or not, as the set of its words; every
+start gives one, and a text of fewer words is one block. A template is in a block if at least `threshold` of the
+template's words are. Tokens are ordered by how often they occur in all texts, rare ones first: of a template T with
+least overlap a = ceil(threshold |T|), every such block holds a token among the first |T| - a + 1, so blocks and
+templates of one size are joined on those prefix tokens. The length filter asks for a template words in the block, the
+positional filter bounds the overlap by what stands before and after the shared token in both orders, and what is left
+is counted exactly. Where a template fits inside a place that another one fits whose words include all of its own, the
+larger one counts there alone.
 
 Templates are a declared list; of a block only the words that occur in some template take part. Phrases
 (consecutive words) give the base labels, templates add their own.
@@ -17,14 +19,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stampline.llm.texts import ALNUM, Slice, Words, batch_of, keyed, map_texts, shown, written
+from stampline.llm.texts import ALNUM, Slice, Words, batch_of, keyed, map_texts, ranges, shown, written
 
 #: Phrases and their labels (fixed values).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Templates and their labels: how a line states a license (fixed values).
+#: Templates and their labels: how a text states a license, and how its header begins (fixed values).
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("gpl-3.0", "gnu general public license version 3"),
@@ -34,9 +36,17 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in "
+                   "compliance with the license"),
+    ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
+                   "general public license as published by the free software foundation"),
+    ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
+                   "associated documentation files"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 ]
 THRESHOLD = 0.9
+#: Numbers in the matrix of blocks that a task holds at once.
+CELLS = 1 << 20
 
 
 def word_hashes(texts: list[str]) -> list[np.ndarray]:
@@ -48,7 +58,9 @@ class Vocabulary:
     """Hashes of the words of all templates, sorted; a word's token is its place here."""
 
     def __init__(self, templates: list[str]):
-        self.of_template = [np.unique(h) for h in word_hashes(templates)]
+        split = word_hashes(templates)
+        self.size = [len(h) for h in split]
+        self.of_template = [np.unique(h) for h in split]
         self.hashes = np.unique(np.concatenate([*self.of_template, np.zeros(0, np.uint64)]))
 
     def tokens(self, hashes: np.ndarray) -> np.ndarray:
@@ -59,20 +71,12 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, at, -1)
 
 
-def block_tokens(part: Slice, words: Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(block, token) for the template words of each line, each token once; blocks number the slice's lines."""
-    token = vocabulary.tokens(words.hashes())
-    mine = np.flatnonzero(token >= 0)
-    block = np.searchsorted(np.flatnonzero(part.buf == 0x0A), words.start[mine]) + words.text_of()[mine]
-    pairs = np.unique(block * len(vocabulary.hashes) + token[mine]) if len(mine) else np.zeros(0, np.int64)
-    return pairs // max(1, len(vocabulary.hashes)), pairs % max(1, len(vocabulary.hashes))
-
-
 def token_counts(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """In how many lines of all texts each token occurs."""
+    """How often each token occurs in all texts."""
 
     def count(part: Slice):
-        n = np.bincount(block_tokens(part, part.words(ALNUM, lower=True), vocabulary)[1])
+        token = vocabulary.tokens(part.words(ALNUM, lower=True).hashes())
+        n = np.bincount(token[token >= 0])
         some = np.flatnonzero(n)
         return batch_of(token=some, n=n[some]) if len(some) else None
 
@@ -82,10 +86,33 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     return out
 
 
-def scanned(docs: DataFrame, vocabulary: Vocabulary, rank: np.ndarray, prefix: np.ndarray,
+def blocks_of(words: Words, ranks: np.ndarray, size: int, least: int, prefix: np.ndarray):
+    """(text, start, ranks in order, how many) of the blocks of `size` words with `least` template words, one of them
+    in `prefix`. ranks: of each word, -1 if in no template."""
+    counts = np.where(words.count >= size, words.count - size + 1, np.minimum(words.count, 1))
+    text = np.repeat(np.arange(len(counts)), counts)
+    start = words.first[text] + ranges(counts)
+    held = np.append(0, np.cumsum(ranks >= 0))
+    some = held[np.minimum(start + size, words.first[text + 1])] - held[start] >= least
+    text, start = text[some], start[some]
+    out = []
+    for i in range(0, len(start), max(1, CELLS // size)):
+        t, s = text[i:i + CELLS // size], start[i:i + CELLS // size]
+        at = s[:, None] + np.arange(size)
+        inside = at < words.first[t + 1][:, None]
+        found = np.sort(np.where(inside, ranks[np.minimum(at, len(ranks) - 1)], -1), axis=1)
+        new = found >= 0
+        new[:, 1:] &= found[:, 1:] != found[:, :-1]
+        keep = (new.sum(axis=1) >= least) & (new & prefix[found]).any(axis=1)
+        out.append((t[keep], s[keep] - words.first[t[keep]], found[keep][new[keep]], new[keep].sum(axis=1)))
+    none = np.zeros(0, np.int64)
+    return [np.concatenate(c) for c in zip(*out)] if out else [none] * 4
+
+
+def scanned(docs: DataFrame, vocabulary: Vocabulary, rank: np.ndarray, sizes: dict[int, tuple[int, np.ndarray]],
             phrases: dict[str, str]) -> DataFrame:
-    """One row per text: id, n_words, n_base, first_word, last_word, base (labels), and blocks (the ranks of their
-    template words, in order) that hold a prefix token."""
+    """One row per text: id, n_words, n_base, first_word, last_word, base (labels), and blocks (size, start, and the
+    ranks of their template words, in order). sizes: of each template size the least overlap and the prefix tokens."""
     targets = list(zip(word_hashes(list(phrases)), phrases.values())) if phrases else []
 
     def scan(part: Slice):
@@ -110,26 +137,41 @@ def scanned(docs: DataFrame, vocabulary: Vocabulary, rank: np.ndarray, prefix: n
         for t, label in zip(text.tolist(), labels):
             base[t].add(label)
 
-        block, token = block_tokens(part, words, vocabulary)
-        ranks = rank[token]
-        order = np.lexsort([ranks, block])
-        block, ranks = block[order], ranks[order]
-        held = np.isin(block, block[prefix[ranks]])
-        block, ranks = block[held], ranks[held]
-        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))[:len(block)]
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(ranks)).astype(np.int32)),
-                                         pa.array(ranks.astype(np.int32)))
-        newlines = np.append(0, np.cumsum(part.buf == 0x0A))[part.at]
-        first_block = newlines + np.arange(part.n + 1)  # a line more than breaks in each text
-        bounds = np.searchsorted(block[starts], first_block)
+        token = vocabulary.tokens(hashes)
+        ranks = np.append(rank, -1)[token]
+        found = [(size, *blocks_of(words, ranks, size, least, prefix)) for size, (least, prefix) in sizes.items()]
+        none = np.zeros(0, np.int64)
+        text, start, flat, length = (np.concatenate([none, *(f[i] for f in found)]) for i in range(1, 5))
+        size = np.repeat([0, *(f[0] for f in found)], [0, *(len(f[1]) for f in found)])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)).astype(np.int32)),
+                                         pa.array(flat.astype(np.int32)))
+        order = np.argsort(text, kind="stable")
+        made = pa.StructArray.from_arrays([pa.array(size.astype(np.int32)), pa.array(start), lists],
+                                          names=["size", "start", "ranks"]).take(pa.array(order))
+        bounds = np.searchsorted(text[order], np.arange(part.n + 1))
         return batch_of(
             id=part.batch.column("id"), n_words=words.count.astype(np.int64), n_base=n_base.astype(np.int64),
             first_word=pa.array(first, mask=n_base == 0), last_word=pa.array(last, mask=n_base == 0),
             base=pa.array([sorted(b) for b in base], pa.list_(pa.string())),
-            blocks=pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), lists))
+            blocks=pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), made))
 
     return map_texts(docs, "text", scan, "id long, n_words long, n_base long, first_word long, last_word long, "
-                                         "base array<string>, blocks array<array<int>>")
+                                         "base array<string>, blocks array<struct<size int, start long, ranks array<int>>>")
+
+
+def largest_fits(fits: DataFrame, larger: list[tuple[int, int]]) -> DataFrame:
+    """fits (row, start, end, template, ...) without those inside a fit of a larger template; larger: pairs of a
+    template and one with all its words and more. A sorted sweep per text and pair carries the furthest end."""
+    if not larger:
+        return fits
+    pairs = F.broadcast(fits.sparkSession.createDataFrame(
+        [(t, a, b, t == b) for a, b in larger for t in (a, b)], "template int, a int, b int, large boolean"))
+    sweep = Window.partitionBy("row", "a", "b").orderBy("start", F.desc("large")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    inside = (fits.select("row", "start", "end", "template").join(pairs, "template")
+              .withColumn("reach", F.max(F.when(F.col("large"), F.col("end"))).over(sweep))
+              .where("not large and reach >= end").select("row", "start", "template"))
+    return fits.join(inside, ["row", "start", "template"], "left_anti")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -139,10 +181,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Words are runs of letters, digits and non-ASCII characters after A-Z are lower-cased. n_base counts places
     of all phrases, first_word and last_word are their smallest and largest start. `labels` are the base labels
-    and those of every template that some line holds. score: 1 with a base label, else the largest share of a
-    template's words in a line (of those at the threshold), else 0. Labels are distinct, sorted and
-    comma-joined. Null texts are empty. Rows stay as many as they are; other columns are left behind.
-    Templates without words are left out.
+    and those of every template that fits some block, but for fits inside that of a larger template. score: 1 with
+    a base label, else the largest share of a template's words in a block (of those at the threshold), else 0.
+    Labels are distinct, sorted and comma-joined. Null texts are empty. Rows stay as many as they are; other columns
+    are left behind. Templates without words are left out.
     """
     templates = [t for t, h in zip(templates, word_hashes([t for _, t in templates])) if len(h)] if templates else []
     vocabulary = Vocabulary([t for _, t in templates])
@@ -150,25 +192,30 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = token_counts(base, vocabulary)
     rank = np.empty(len(counts), np.int64)
     rank[np.lexsort([np.arange(len(counts)), counts])] = np.arange(len(counts))
-    prefix, rows = np.zeros(len(counts), bool), []
-    for (label, _), hashes in zip(templates, vocabulary.of_template):
+    sizes: dict[int, tuple[int, np.ndarray]] = {}
+    rows = []
+    for number, ((label, _), size, hashes) in enumerate(zip(templates, vocabulary.size, vocabulary.of_template)):
         ranks = np.sort(rank[vocabulary.tokens(hashes)]).tolist()
         least = max(1, math.ceil(threshold * len(ranks) - 1e-9))
-        for i, r in enumerate(ranks[:len(ranks) - least + 1]):
-            prefix[r] = True
-            rows.append((r, i, label, ranks, least))
+        lowest, prefix = sizes.get(size, (least, np.zeros(len(counts), bool)))
+        prefix[ranks[:len(ranks) - least + 1]] = True
+        sizes[size] = min(lowest, least), prefix
+        rows += [(size, r, i, number, label, ranks, least) for i, r in enumerate(ranks[:len(ranks) - least + 1])]
+    sets = [set(h.tolist()) for h in vocabulary.of_template]
+    larger = [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if x < y]
     wanted = docs.sparkSession.createDataFrame(
-        rows, "token int, i int, label string, template array<int>, least int")
-    texts = written(scanned(base, vocabulary, rank, prefix, phrases).withColumn("row", F.monotonically_increasing_id()))
-    probes = (texts.select("row", F.posexplode("blocks").alias("block", "ranks"))
-              .select("row", "block", "ranks", F.posexplode("ranks").alias("j", "token")))
-    before, after = F.least("i", "j"), F.least(F.size("template") - 1 - F.col("i"), F.size("ranks") - 1 - F.col("j"))
-    overlap = F.size(F.array_intersect("ranks", "template"))
-    found = (probes.join(wanted, "token")
-             .where((F.size("ranks") >= F.col("least")) & (before + 1 + after >= F.col("least")))
-             .withColumn("overlap", overlap).where("overlap >= least")
-             .groupBy("row").agg(F.collect_set("label").alias("more"),
-                                 F.max(F.col("overlap") / F.size("template")).alias("share")))
+        rows, "size int, token int, i int, template int, label string, wanted array<int>, least int")
+    texts = written(scanned(base, vocabulary, rank, sizes, phrases).withColumn("row", F.monotonically_increasing_id()))
+    probes = (texts.select("row", F.explode("blocks").alias("block")).select("row", "block.*")
+              .select("row", "size", "start", "ranks", F.posexplode("ranks").alias("j", "token")))
+    before, after = F.least("i", "j"), F.least(F.size("wanted") - 1 - F.col("i"), F.size("ranks") - 1 - F.col("j"))
+    fits = (probes.join(wanted, ["size", "token"])
+            .where((F.size("ranks") >= F.col("least")) & (before + 1 + after >= F.col("least")))
+            .withColumn("overlap", F.size(F.array_intersect("ranks", "wanted"))).where("overlap >= least")
+            .select("row", "start", (F.col("start") + F.col("size")).alias("end"), "template", "label",
+                    (F.col("overlap") / F.size("wanted")).alias("share")).distinct())
+    found = largest_fits(fits, larger).groupBy("row").agg(
+        F.collect_set("label").alias("more"), F.max("share").alias("share"))
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     return texts.join(found, "row", "left").select(
         shown().alias(id_col), "n_words", "n_base", "first_word", "last_word",

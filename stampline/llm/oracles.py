@@ -85,21 +85,34 @@ base as (
     list_sort(list(distinct label)) as labels from places group by doc_id),
 templates(label, t) as (values
   ('apache-2.0', 'licensed under the apache license version 2 0'),
+  ('apache-2.0', 'licensed under the apache license version 2 0 the license you may not use this file except in ' ||
+    'compliance with the license'),
   ('gpl-3.0', 'gnu general public license version 3'),
   ('gpl-2.0', 'gnu general public license version 2'),
+  ('gpl-notice', 'this program is free software you can redistribute it and or modify it under the terms of the gnu ' ||
+    'general public license as published by the free software foundation'),
   ('mit-notice', 'released under the mit license'),
+  ('mit-notice', 'permission is hereby granted free of charge to any person obtaining a copy of this software and ' ||
+    'associated documentation files'),
   ('cc-by-4.0', 'licensed under cc by 4 0'),
   ('cc-by-nc-4.0', 'licensed under cc by nc 4 0'),
   ('cc-by-sa-4.0', 'licensed under cc by sa 4 0'),
   ('bsd', 'redistribution and use in source and binary forms with or without modification are permitted'),
   ('mpl-2.0', 'this source code form is subject to the terms of the mozilla public license v 2 0')),
-sets as (select label, list_distinct(string_split(t, ' ')) as t from templates),
-lines as (
-  select doc_id, list_distinct(regexp_extract_all(translate(l, '{_UPPER}', '{_LOWER}'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as ws from (select doc_id, unnest(ls) as l from d)),
+sets as (
+  select label, len(string_split(t, ' ')) as size, list_distinct(string_split(t, ' ')) as t,
+    ceil(0.9 * len(list_distinct(string_split(t, ' '))) - 1e-9) as least from templates),
+hopeful as (select doc_id, ws, sets.* from d, sets where len(list_intersect(list_distinct(ws), t)) >= least),
+blocks as (
+  select doc_id, label, size, t, least, s, ws[s:s + size - 1] as b
+  from (select *, unnest(range(1, greatest(len(ws) - size, 0) + 2)) as s from hopeful)),
+fits as (
+  select doc_id, label, t, s, s + size as e, len(list_intersect(list_distinct(b), t)) as overlap
+  from blocks where len(list_intersect(list_distinct(b), t)) >= least),
 held as (
-  select doc_id, label, len(list_intersect(ws, t)) / len(t) as share from lines, sets
-  where len(list_intersect(ws, t)) >= ceil(0.9 * len(t) - 1e-9)),
+  select doc_id, label, overlap / len(t) as share from fits f where not exists (
+    select 1 from fits g where g.doc_id is not distinct from f.doc_id and g.s <= f.s and g.e >= f.e
+      and len(g.t) > len(f.t) and list_has_all(g.t, f.t))),
 more as (select doc_id, list(distinct label) as labels, max(share) as share from held group by doc_id)
 select d.doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word,
   coalesce(array_to_string(base.labels, ','), '') as base_labels,
