@@ -47,9 +47,16 @@ def a4(spark, sf):
     return k.select_by_prefix(orders, wide, ["l_"], "o_orderkey", expect=3)
 
 
-@query("a6_table_fingerprint", """
-select count(*) as n_rows, sum(('0x' || substr(md5(length(o_orderkey::varchar) || ':' || o_orderkey || '|' || length(o_custkey::varchar) || ':' || o_custkey || '|' || length(o_orderpriority::varchar) || ':' || o_orderpriority), 1, 8))::bigint)::hugeint::varchar as hash
-from orders""")
+def fingerprint_sql(text: str, source: str) -> str:
+    """n_rows and hash of `table_fingerprint` over rows given as text: 13 limbs of the SHA-256 digits, summed."""
+    limbs = ", ".join(f"coalesce(sum(('0x' || substr(h, {i}, 5))::bigint), 0)::hugeint::varchar" for i in range(1, 65, 5))
+    return (f"select count(*) as n_rows, array_to_string([{limbs}], ':') as hash "
+            f"from (select sha256({text}) as h from {source})")
+
+
+@query("a6_table_fingerprint", fingerprint_sql(
+    "length(o_orderkey::varchar) || ':' || o_orderkey || '|' || length(o_custkey::varchar) || ':' || o_custkey "
+    "|| '|' || length(o_orderpriority::varchar) || ':' || o_orderpriority", "orders"))
 def a6(spark, sf):
     return k.table_fingerprint(v.table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderpriority"])
 
@@ -60,6 +67,25 @@ def shared_folder(spark) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/derived-{uuid.uuid4().hex}"
 
 
+@query("a1_json_by_contract", """
+with n as (select count(*) as rows, count(*) filter (o_orderkey % 50 = 0) as broken from orders)
+select "column", problem, "rows" from (
+  select '_broken' as "column", 'corrupt' as problem, broken as "rows" from n
+  union all select 'o_orderkey', 'null', broken from n union all select 'o_custkey', 'null', broken from n
+  union all select 'o_orderdate', 'null', broken from n union all select 'o_comment', 'null', n.rows from n)
+where "rows" > 0""")
+def a1_json(spark, sf):
+    """Orders as JSON lines, every fiftieth cut short and one contracted field in none, read once by contract."""
+    columns = {**ORDERS.columns, "o_comment": k.ColumnSpec("string", "value", False)}
+    orders = v.table(spark, sf, "orders").select(*ORDERS.columns)
+    line = F.to_json(F.struct(*orders.columns))
+    whole = F.when(F.col("o_orderkey") % 50 == 0, F.substring(line, F.lit(1), F.length(line) - 3)).otherwise(line)
+    folder = f"{shared_folder(spark)}/orders.jsonl"
+    orders.select(whole.alias("value")).write.text(folder)
+    spec = k.TableSpec("orders", columns)
+    return k.validate_table(k.read_contract_table(spark, folder, spec, corrupt="_broken"), spec, corrupt="_broken")
+
+
 @query("a7_write_derived", """
 select count(*) as n_rows, 'parquet' as format, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' as columns,
        'cohort' as role from customer""")
@@ -110,13 +136,13 @@ def a9(spark, sf):
     return g.manifest_build(pages, "url", "fold", v.SPLIT, ["test", "val", "train"], URL)
 
 
-@query("a9_manifest_counts", """
+@query("a9_manifest_counts", f"""
 with p as (select regexp_extract(url, '^[a-z]+://[^/]+/([^?#]+)', 1) as path,
                   min(case when page_id % 20 = 19 then 0 when page_id % 20 = 18 then 1 else 2 end) as k
            from pages group by 1)
 select split, n_paths, n_rows, hash from (
   select case k when 0 then 'test' when 1 then 'val' else 'train' end as split, count(*) as n_paths from p group by k),
-  (select count(*) as n_rows, sum(('0x' || substr(md5(length(path) || ':' || path), 1, 8))::bigint)::hugeint::varchar as hash from p)""")
+  ({fingerprint_sql("length(path) || ':' || path", "p")})""")
 def a9_counts(spark, sf):
     pages = v.table(spark, sf, "pages").withColumn("fold", F.col("page_id") % 20)
     manifest = g.manifest_build(pages, "url", "fold", v.SPLIT, ["test", "val", "train"], URL)

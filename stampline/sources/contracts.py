@@ -41,28 +41,50 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_contract_table(spark: SparkSession, path: str, spec: TableSpec, required: bool = True) -> DataFrame | None:
+def read_contract_table(spark: SparkSession, path: str, spec: TableSpec, required: bool = True,
+                        corrupt: str | None = None) -> DataFrame | None:
     """Read only the contract's columns from Parquet, CSV, CSV.gz or JSON lines.
 
     Text columns are parsed to their declared types; a missing column fails with the table and
     its name. An absent optional table gives None.
+
+    JSON lines take their schema from the contract, so they are scanned once: a field that no line has is
+    NULL, which `validate_table` counts where none may be. A broken line is a row of NULLs; `corrupt` names
+    a column that holds such lines, which `validate_table` counts too.
     """
     if not _exists(spark, path):
         if required:
             raise FileNotFoundError(f"{spec.name}: no data at {path}")
         return None
     stem = re.sub(r"\.(gz|bz2|zst)$", "", path.rstrip("/"))
-    if stem.endswith((".csv", ".json", ".jsonl")):
-        raw = spark.read.option("header", True).csv(path) if stem.endswith(".csv") else spark.read.json(path)
+    if stem.endswith((".json", ".jsonl")):
+        raw = _json_by_contract(spark, path, spec, corrupt)
+    elif stem.endswith(".csv"):
+        raw = spark.read.option("header", True).csv(path)
     else:
         raw = spark.read.parquet(path)
     absent = [c for c in spec.columns if c not in raw.columns]
     if absent:
         raise ValueError(f"{spec.name}: missing column(s) {', '.join(absent)}")
     have = dict(raw.dtypes)
+    kept = [F.col(f"`{corrupt}`")] if corrupt in raw.columns and corrupt not in spec.columns else []
     return raw.select(*[
         (F.col(f"`{c}`") if have[c] == s.dtype else F.col(f"`{c}`").cast(s.dtype)).alias(c, metadata={"role": s.role})
-        for c, s in spec.columns.items()])
+        for c, s in spec.columns.items()], *kept)
+
+
+def _json_by_contract(spark: SparkSession, path: str, spec: TableSpec, corrupt: str | None) -> DataFrame:
+    """JSON lines with the contract's columns: nested ones by their types, all others as the text that stands there."""
+    if corrupt in spec.columns:
+        raise ValueError(f"{spec.name}: {corrupt} is a column of the contract")
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    schema = T.StructType([T.StructField(f.name, f.dataType if isinstance(f.dataType, nested) else T.StringType())
+                           for f in spec.schema()])
+    reader = spark.read.option("mode", "PERMISSIVE")
+    if corrupt is not None:
+        schema.add(corrupt, T.StringType())
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    return reader.schema(schema).json(path)
 
 
 def dropped_features(tables: dict[str, DataFrame | None], specs: list[TableSpec]) -> list[str]:
@@ -70,10 +92,11 @@ def dropped_features(tables: dict[str, DataFrame | None], specs: list[TableSpec]
     return [f for s in specs if tables.get(s.name) is None for f in s.features]
 
 
-def validate_table(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """(column, problem, rows): absent columns, uncastable values, NULLs where none may be.
+def validate_table(df: DataFrame, spec: TableSpec, corrupt: str | None = None) -> DataFrame:
+    """(column, problem, rows): absent columns, uncastable values, NULLs where none may be, and broken lines
+    where `corrupt` names the column that `read_contract_table` put them in.
 
-    One pass counts everything; the result has at most two rows per contracted column.
+    One pass counts everything; the result has at most two rows per contracted column and one for broken lines.
     """
     spark = df.sparkSession
     absent = [c for c in spec.columns if c not in df.columns]
@@ -86,18 +109,21 @@ def validate_table(df: DataFrame, spec: TableSpec) -> DataFrame:
         col = F.col(f"`{c}`")
         aggs += [F.count_if(col.isNotNull() & col.try_cast(s.dtype).isNull()).alias(f"uncastable#{c}"),
                  F.count_if(col.isNull()).alias(f"null#{c}")]
+    broken = corrupt is not None and corrupt in df.columns
+    if broken:
+        aggs.append(F.count_if(F.col(f"`{corrupt}`").isNotNull()).alias(f"corrupt#{corrupt}"))
     one = df.agg(*aggs)
+    counted = [(c, kind) for c, s in here.items() for kind in ("uncastable", "null")
+               if kind == "uncastable" or not s.nullable] + [(corrupt, "corrupt")] * broken
     parts = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(kind).alias("problem"),
-                               F.col(f"`{kind}#{c}`").alias("rows"))
-                      for c, s in here.items() for kind in ("uncastable", "null")
-                      if kind == "uncastable" or not s.nullable])
+                               F.col(f"`{kind}#{c}`").alias("rows")) for c, kind in counted])
     found = one.select(F.explode(parts).alias("_p")).select("_p.*")
     return out.unionByName(found.where(F.col("rows") > 0))
 
 
-def require_valid(df: DataFrame, spec: TableSpec) -> DataFrame:
+def require_valid(df: DataFrame, spec: TableSpec, corrupt: str | None = None) -> DataFrame:
     """Abort with every problem named, else hand the frame on."""
-    problems = validate_table(df, spec).collect()  # at most two rows per contracted column
+    problems = validate_table(df, spec, corrupt).collect()  # at most two rows per contracted column, and one
     if problems:
         text = "; ".join(f"{p.column}: {p.problem}" + (f" ({p.rows} rows)" if p.rows else "") for p in problems)
         raise ValueError(f"{spec.name}: {text}")
@@ -136,15 +162,20 @@ def select_by_prefix(cohort: DataFrame, wide: DataFrame, prefixes: list[str], ke
 def table_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(n_rows, hash): independent of row order and partitioning, computed in one pass.
 
-    Values carry their length, so neighbours cannot be confused, nor NULL with any text. The sum of the
-    32-bit row hashes is a decimal, given as text.
+    Values carry their length, so neighbours cannot be confused, nor NULL with any text. All 256 bits of each
+    row's SHA-256 count: as twelve limbs of 20 bits and one of 16, each summed over the rows and joined by
+    colons, so fingerprints of parts add up limb by limb. A limb holds the sum of 2^43 rows.
     """
     cols = columns or df.columns
     parts = [F.col(f"`{c}`").cast("string") for c in cols]
     text = F.concat_ws("|", *[F.coalesce(F.concat(F.length(p), F.lit(":"), p), F.lit("~")) for p in parts])
-    digest = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(20,0)")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.coalesce(F.sum(digest).cast("string"), F.lit("0")).alias("hash"))
+    digest = F.sha2(text, 256)
+    words = df.select(*[F.conv(F.substring(digest, 15 * i + 1, 15), 16, 10).cast("bigint").alias(f"_{i}")
+                        for i in range(5)])
+    low = (1 << 20) - 1
+    limbs = [F.shiftright(f"_{i}", shift).bitwiseAND(F.lit(low)) for i in range(4) for shift in (40, 20, 0)] + [F.col("_4")]
+    return words.agg(F.count(F.lit(1)).alias("n_rows"),
+                     F.concat_ws(":", *[F.coalesce(F.sum(x), F.lit(0)).cast("string") for x in limbs]).alias("hash"))
 
 
 def require_fingerprint(df: DataFrame, n_rows: int, hash_: str) -> DataFrame:

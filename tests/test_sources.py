@@ -28,6 +28,44 @@ def test_reads_json_lines(spark, tmp_path):
     assert k.read_contract_table(spark, str(tmp_path / "stays.jsonl"), SPEC).first().x == 1.0
 
 
+def test_json_by_contract_keeps_and_counts_broken_lines(spark, tmp_path):
+    spec = k.TableSpec("stays", {**SPEC.columns, "tags": k.ColumnSpec("array<string>"), "none": k.ColumnSpec("bigint")})
+    path = tmp_path / "stays.jsonl"
+    path.write_text('{"id": 1, "x": "2.5", "more": {"a": 1}, "tags": ["p"]}\n{"id": 2, "x":\n[]\nid 3\n'
+                    '{"id": 4, "t": "2024-01-01 00:00:00", "x": 1e2, "tags": null}\n')
+    df = k.read_contract_table(spark, str(path), spec, corrupt="bad")
+    assert df.columns == ["id", "t", "x", "tags", "none", "bad"] and dict(df.dtypes)["x"] == "double"
+    got = [(r.id, r.x, r.tags, r.none) for r in df.where("id is not null").orderBy("id").collect()]
+    assert got == [(1, 2.5, ["p"], None), (4, 100.0, None, None)]
+    assert {r.bad for r in df.collect()} >= {None, '{"id": 2, "x":', "id 3"}
+    problems = {(r.column, r.problem): r.rows for r in k.validate_table(df, spec, corrupt="bad").collect()}
+    assert problems[("bad", "corrupt")] == problems[("id", "null")] >= 2
+    with pytest.raises(ValueError, match="bad: corrupt"):
+        k.require_valid(df, spec, corrupt="bad")
+    assert k.read_contract_table(spark, str(path), spec).columns == list(spec.columns)
+    with pytest.raises(ValueError, match="column of the contract"):
+        k.read_contract_table(spark, str(path), spec, corrupt="x")
+
+
+def test_fingerprint_sums_all_bits_of_each_row(spark):
+    import hashlib
+    rows = [(1, "a"), (2, None), (2, None), (3, "é|~")]
+    df = spark.createDataFrame(rows, "i long, t string")
+
+    def limbs(some):
+        digests = [hashlib.sha256("|".join("~" if x is None else f"{len(str(x))}:{x}" for x in r).encode()).hexdigest()
+                   for r in some]
+        return [sum(int(d[i:i + 5], 16) for d in digests) for i in range(0, 64, 5)]
+
+    got = k.table_fingerprint(df.repartition(3)).first()
+    assert (got.n_rows, got.hash) == (4, ":".join(map(str, limbs(rows))))
+    one, two = (k.table_fingerprint(df.where(c)).first().hash.split(":") for c in ("i < 3", "i >= 3"))
+    assert [int(a) + int(b) for a, b in zip(one, two)] == limbs(rows)  # parts add up
+    changed = k.table_fingerprint(spark.createDataFrame([(1, "a"), (2, None), (2, None), (3, "è|~")], df.schema)).first()
+    assert all(a != b for a, b in zip(changed.hash.split(":"), got.hash.split(":")))  # one bit of one value
+    assert k.table_fingerprint(df.limit(0)).first().hash == ":".join(["0"] * 13)
+
+
 def test_missing_tables_and_columns(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="stays"):
         k.read_contract_table(spark, str(tmp_path / "none.parquet"), SPEC)
