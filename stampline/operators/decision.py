@@ -36,8 +36,8 @@ def net_benefit_curve(df: DataFrame, y: str, p: str, thresholds: list[float], by
     """
     hist = score_histogram(df, y, p, by)
     cuts = F.array(*[F.lit(float(t)) for t in thresholds])
-    slots = hist.withColumn("slot", F.size(F.filter(cuts, lambda t: F.col("score") >= t))) \
-        .groupBy(*by, "slot").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    slots = pinned(hist.withColumn("slot", F.size(F.filter(cuts, lambda t: F.col("score") >= t)))
+                   .groupBy(*by, "slot").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     totals = slots.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     ladder = F.posexplode(cuts).alias("_i", "threshold")
     steps = totals.select("*", ladder)

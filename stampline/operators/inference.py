@@ -46,14 +46,15 @@ def replicate_statistic(hist: DataFrame, draws: Draws, entity: str, keys: list[s
                         stratum: str | None = None) -> DataFrame:
     """(rep, keys, value): AUROC, or concordance inside strata, of every cell on every draw.
 
-    Passes take REPLICATES_PER_PASS replicates each, and a pass draws and joins only its own. With broadcast
+    Passes are even and take at most REPLICATES_PER_PASS replicates, and a pass draws and joins only its own. With broadcast
     draws the rows stay where they are; with joined draws they are put back in score order, each carrying two
     bytes per replicate of the pass.
     """
     order = [*keys, *([stratum] if stratum else []), "score", entity]
     out = None
-    for first in range(0, draws.n_boot, REPLICATES_PER_PASS):
-        block = draws.part(first, REPLICATES_PER_PASS)
+    per_pass = -(-draws.n_boot // max(1, -(-draws.n_boot // REPLICATES_PER_PASS)))
+    for first in range(0, draws.n_boot, max(1, per_pass)):
+        block = draws.part(first, per_pass)
         rows = with_weights(hist, block, entity)
         if not block.small:
             rows = rows.repartitionByRange(*order)
