@@ -7,6 +7,8 @@ input is read once; replicates, intervals, differences and ratios all come from
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,7 +39,11 @@ def entity_histogram(df: DataFrame, y: str, score: str, entity: str, keys: list[
     one cell, stratum or score holds most rows. Adaptive execution picks the number of ranges.
     """
     groups = [*keys, *([stratum] if stratum else [])]
-    hist = score_histogram(df.where(F.col(entity).isNotNull()), y, score, [*groups, entity])
+    return in_score_order(score_histogram(df.where(F.col(entity).isNotNull()), y, score, [*groups, entity]), groups, entity)
+
+
+def in_score_order(hist: DataFrame, groups: list[str], entity: str) -> DataFrame:
+    """The histogram written in ranges of (groups, score, entity)."""
     order = [*groups, "score", entity]
     return pinned(hist.repartitionByRange(*order).sortWithinPartitions(*order))
 
@@ -120,6 +126,34 @@ def arm_replicates(pooled: DataFrame, arms: list[str], by: list[str], item: str,
     return pinned(pivot_arms(reps, by, arms)), cell_counts(one_arm, entity, by)
 
 
+COMPARISON = "comparison"
+
+
+def compared_replicates(pooled: DataFrame, comparisons: dict[str, list[str]], by: list[str], item: str, entity: str,
+                        n_boot: int, seed: int = 0, mode: str = "multinomial", universe: DataFrame | None = None
+                        ) -> tuple[DataFrame, DataFrame]:
+    """`arm_replicates` of several sets of arms at once: each set on the rows that all its arms scored.
+
+    The name of the set joins the cell key as `comparison`, so rows are grouped, drawn and sorted once for all
+    sets. Columns of arms outside a set are NULL. All sets share the draws: of the entities in `universe`, by default
+    those in the rows of any set.
+    """
+    arms = list(dict.fromkeys(a for members in comparisons.values() for a in members))
+    carry, keys = [entity, "y"], [*by, COMPARISON]
+    wide = pooled.where(F.col("arm").isin(*arms)).groupBy(*by, item).agg(
+        *[F.first(c).alias(c) for c in carry],
+        *[F.max(F.when(F.col("arm") == a, F.col("score"))).alias(a) for a in arms]).dropna(subset=carry)
+    cells = [F.when(reduce(and_, [F.col(m).isNotNull() for m in members]),
+                    F.struct(F.lit(name).alias(COMPARISON), F.lit(a).alias("arm"), F.col(a).alias("score")))
+             for name, members in comparisons.items() for a in dict.fromkeys(members)]
+    rows = wide.select(*by, *carry, F.explode(F.array_compact(F.array(*cells))).alias("_c")).select(*by, *carry, "_c.*")
+    hist = entity_histogram(rows, "y", "score", entity, [*keys, "arm"])
+    reps = replicate_auroc(hist, entity, [*keys, "arm"], n_boot, seed, mode, universe)
+    leads = reduce(or_, [(F.col(COMPARISON) == name) & (F.col("arm") == members[0])
+                         for name, members in comparisons.items()])
+    return pinned(pivot_arms(reps, keys, arms)), cell_counts(hist.where(leads), entity, keys)
+
+
 def paired_auroc_diff(pooled: DataFrame, a: str, b: str, by: list[str], item: str, entity: str,
                       n_boot: int, seed: int = 0, mode: str = "multinomial") -> DataFrame:
     """AUROC(b) - AUROC(a) on the same draws, with interval and two-sided p."""
@@ -173,15 +207,14 @@ def recovery_ratio_ci(pooled: DataFrame, arms: list[str], reference: str, by: li
     entities of the whole table.
     """
     everyone = pinned(pooled.select(entity).distinct())
-    out = None
-    for arm in arms:
-        wide, counts = arm_replicates(pooled, [arm, reference], by, item, entity, n_boot, seed, mode, everyone)
-        vals = wide.withColumn("value", recovery_ratio(F.col(arm), F.col(reference)))
-        ends = wide.where(F.col("rep") == OBSERVED).select(
-            *by, F.col(arm).alias("numerator_auroc"), F.col(reference).alias("denominator_auroc"))
-        one = summarise(vals, by, n_boot).join(ends, by).join(counts, by) \
-            .withColumn("arm", F.lit(arm))
-        out = one if out is None else out.unionByName(one)
+    wide, counts = compared_replicates(pooled, {arm: [arm, reference] for arm in arms}, by, item, entity, n_boot, seed,
+                                       mode, everyone)
+    keys = [*by, COMPARISON]
+    own = F.coalesce(*[F.when(F.col(COMPARISON) == a, F.col(a)) for a in arms])
+    vals = wide.withColumns({"numerator_auroc": own, "denominator_auroc": F.col(reference),
+                             "value": recovery_ratio(own, F.col(reference))})
+    ends = vals.where(F.col("rep") == OBSERVED).select(*keys, "numerator_auroc", "denominator_auroc")
+    out = summarise(vals, keys, n_boot).join(ends, keys).join(counts, keys).withColumnRenamed(COMPARISON, "arm")
     return out.withColumns({
         "meets_target": F.coalesce(F.col("estimate") >= F.lit(target), F.lit(False)),
         "is_primary": (F.col("arm") == primary[0]) & (F.col(label) == primary[1])})
@@ -230,8 +263,9 @@ def matched_replicates(rows: DataFrame, base: str, wave: str, stratum: str, by:
     per = rows.groupBy(*keys, stratum).agg(F.min("y").alias("_lo"), F.max("y").alias("_hi"))
     good = per.where((F.col("_lo") == 0) & (F.col("_hi") == 1)).select(*keys, stratum)
     kept = rows.join(good, [*keys, stratum], "left_semi")
-    hist = entity_histogram(kept, "y", "score", entity, keys)
     strat = entity_histogram(kept, "y", "score", entity, keys, stratum)
+    hist = in_score_order(strat.groupBy(*keys, entity, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")),
+                          keys, entity)
     draws = entity_draws(hist, entity, n_boot, seed, mode)
     within = replicate_statistic(strat, draws, entity, keys, stratum).withColumnRenamed("value", "within")
     plain = replicate_statistic(hist, draws, entity, keys).withColumnRenamed("value", "plain")
@@ -287,35 +321,41 @@ def restricted_vs_plain_diff(pooled: DataFrame, strata: DataFrame, arm: str, by:
 
 # ---- trends and ladders -----------------------------------------------------
 
-def replicate_spearman(reps: DataFrame, x: str, value: str, n_points: int) -> DataFrame:
-    """(rep, value): Spearman between x and value per replicate, undefined unless all points are.
+def replicate_spearman(reps: DataFrame, x: str, value: str, n_points: int, by: list[str] | None = None) -> DataFrame:
+    """(rep, by, value): Spearman between x and value per replicate, undefined unless all points are.
 
     Each replicate holds one row per horizon, so its window is bounded by the declared ladder.
     """
+    keys = ["rep", *(by or [])]
+
     def midrank(col: str) -> Column:
-        w = Window.partitionBy("rep")
-        ties = F.count(F.lit(1)).over(Window.partitionBy("rep", col))
+        w = Window.partitionBy(*keys)
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, col))
         return F.rank().over(w.orderBy(col)) + (ties - 1) / 2.0
 
-    ranked = reps.where(F.col(value).isNotNull()) \
-        .select("rep", midrank(x).alias("_rx"), midrank(value).alias("_ry"))
-    full = F.count(F.lit(1)) == n_points
-    return ranked.groupBy("rep").agg(F.when(full, rank_correlation("_rx", "_ry")).alias("value"))
+    ranked = reps.select(*keys, F.col(value).alias("_v"), midrank(x).alias("_rx"), midrank(value).alias("_ry"))
+    full = F.count("_v") == n_points  # then no rank counts an undefined point
+    return ranked.groupBy(*keys).agg(F.when(full, rank_correlation("_rx", "_ry")).alias("value"))
 
 
-def horizon_trend(pooled: DataFrame, horizons: dict[str, int], a: str, b: str, quantity: str,
+def horizon_trend(pooled: DataFrame, horizons: dict[str, int], a: str, b: str, quantity: str | list[str],
                   item: str, entity: str, n_boot: int, label: str = "label", seed: int = 0,
                   mode: str = "multinomial") -> DataFrame:
-    """Spearman of horizon against b - a ('delta') or the ratio of a to b ('ratio')."""
+    """Spearman of horizon against b - a ('delta') or the ratio of a to b ('ratio'), one row per quantity asked for.
+
+    Several quantities come from one table of replicates. A table without common rows gives no row.
+    """
     rows = pooled.where(F.col(label).isin(*horizons))
     wide, _ = arm_replicates(rows, [a, b], [label], item, entity, n_boot, seed, mode)
-    values = wide.withColumn(
-        "q", F.col(b) - F.col(a) if quantity == "delta" else recovery_ratio(F.col(a), F.col(b)))
+    made = {"delta": F.col(b) - F.col(a), "ratio": recovery_ratio(F.col(a), F.col(b))}
+    asked = [quantity] if isinstance(quantity, str) else quantity
+    parts = F.array(*[F.struct(F.lit(q).alias("quantity"), made[q].alias("q")) for q in asked])
     days = F.create_map(*[F.lit(x) for pair in horizons.items() for x in pair])
-    reps = replicate_spearman(values.withColumn("horizon", days[F.col(label)]), "horizon", "q",
-                              len(horizons))
-    return summarise(reps, [], n_boot).withColumns({
-        "quantity": F.lit(quantity), "n_labels": F.lit(len(horizons)).cast("bigint"),
+    values = wide.select("rep", days[F.col(label)].alias("horizon"), F.explode(parts).alias("_p")) \
+        .select("rep", "horizon", "_p.*")
+    reps = replicate_spearman(values, "horizon", "q", len(horizons), ["quantity"])
+    return summarise(reps, ["quantity"], n_boot).withColumns({
+        "n_labels": F.lit(len(horizons)).cast("bigint"),
         "supported": F.coalesce((F.col("estimate") < 0) & (F.col("ci_hi") < 0), F.lit(False))})
 
 
@@ -442,21 +482,27 @@ def unit_restriction_sensitivity(crops: DataFrame, first_items: DataFrame, targe
 def arm_sensitivity(pooled: DataFrame, pairs: list[tuple[str, str, str]], reference: str,
                     by: list[str], item: str, entity: str, n_boot: int, seed: int = 0,
                     mode: str = "multinomial") -> DataFrame:
-    """Exploratory against declared arm on common rows: AUROC, recovery ratio, paired difference."""
-    out = None
-    for arm, declared, question in pairs:
-        members = list(dict.fromkeys([arm, declared, reference]))
-        wide, counts = arm_replicates(pooled, members, by, item, entity, n_boot, seed, mode)
-
-        def part(quantity: str, who: str, value: Column) -> Column:
-            return F.struct(F.lit(quantity).alias("quantity"), F.lit(who).alias("arm"), value.alias("value"))
-
-        parts = [part("auroc", m, F.col(m)) for m in (arm, declared)]
-        parts += [part("recovery_ratio", m, recovery_ratio(F.col(m), F.col(reference)))
-                  for m in (arm, declared)]
-        parts.append(part("paired_difference", f"{declared} - {arm}", F.col(declared) - F.col(arm)))
-        long = wide.select("rep", *by, F.explode(F.array(*parts)).alias("_p")).select("rep", *by, "_p.*")
-        one = summarise(long, [*by, "quantity", "arm"], n_boot).join(counts, by) \
-            .withColumns({"question": F.lit(question), "declared_arm": F.lit(declared)})
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Exploratory against declared arm on common rows: AUROC, recovery ratio, paired difference.
+
+    All pairs share one table of replicates, drawn from the entities in any pair's common rows.
+    """
+    sets = {str(i): list(dict.fromkeys([arm, declared, reference])) for i, (arm, declared, _) in enumerate(pairs)}
+    wide, counts = compared_replicates(pooled, sets, by, item, entity, n_boot, seed, mode)
+
+    def part(quantity: str, who: str, value: Column) -> Column:
+        return F.struct(F.lit(quantity).alias("quantity"), F.lit(who).alias("arm"), value.alias("value"))
+
+    def parts(arm: str, declared: str) -> Column:
+        return F.array(*[part("auroc", m, F.col(m)) for m in (arm, declared)],
+                       *[part("recovery_ratio", m, recovery_ratio(F.col(m), F.col(reference))) for m in (arm, declared)],
+                       part("paired_difference", f"{declared} - {arm}", F.col(declared) - F.col(arm)))
+
+    def of_pair(choice) -> Column:
+        return F.coalesce(*[F.when(F.col(COMPARISON) == str(i), choice(*pair)) for i, pair in enumerate(pairs)])
+
+    keys = [*by, COMPARISON]
+    long = wide.select("rep", *keys, F.explode(of_pair(lambda arm, declared, _: parts(arm, declared))).alias("_p")) \
+        .select("rep", *keys, "_p.*")
+    return summarise(long, [*keys, "quantity", "arm"], n_boot).join(counts, keys).withColumns({
+        "question": of_pair(lambda arm, declared, question: F.lit(question)),
+        "declared_arm": of_pair(lambda arm, declared, question: F.lit(declared))}).drop(COMPARISON)

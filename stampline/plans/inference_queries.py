@@ -14,9 +14,9 @@ from stampline.plans.discrimination_queries import pooled, r
 from stampline.plans.registry import query
 from stampline.session import pinned
 
-#: Replicates: of most registered queries; of the one timed against other implementations; of a contrast, so that
-#: several passes run; and the declared number of a full report.
-B, TIMED, CONTRAST, DECLARED = 200, 500, 1_100, 10_000
+#: Replicates: of most registered queries, whose SQL twins bound them; of the one timed against other implementations; of a
+#: contrast, so that several passes run; the declared number of a full report; and of tables that list the weights.
+B, TIMED, CONTRAST, DECLARED, LISTED = 1_000, 500, 1_100, 10_000, 200
 HOURS = {f"h{h}": h for h in v.HORIZONS}
 POOLED_UNIVERSE = "select entity_id as entity from pooled"
 CI = "round(estimate, 6) as {0}, round(ci_lo, 6) as ci_lo, round(ci_hi, 6) as ci_hi"
@@ -46,11 +46,11 @@ def ci_cols(name="estimate", p=True):
 for _mode in ("multinomial", "poisson"):
     def _weights(spark, sf, mode=_mode):
         li = v.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cluster"))
-        return cluster_weights(li, "cluster", B, 7, mode)
+        return cluster_weights(li, "cluster", LISTED, 7, mode)
 
     query(f"e10_cluster_weights_{_mode}",
           v.with_views("", "select rep, entity as cluster, w::bigint as w from draws where rep >= 0",
-                       v.draws_sql("select l_suppkey as entity from lineitem", B, 7, _mode)))(_weights)
+                       v.draws_sql("select l_suppkey as entity from lineitem", LISTED, 7, _mode)))(_weights)
 
 
 @query("e11_clustered_auroc_ci", v.with_views("pooled", f"""
@@ -221,13 +221,13 @@ def e17(spark, sf):
                       "meets_target", "denominator_resampled")
 
 
-def matched_ctes(arms: str) -> str:
+def matched_ctes(arms: str, n_boot: int = B) -> str:
     return f"""
 m0 as (select p.arm, p.label, p.item_id, p.entity_id, p.y, p.score, s.stratum
        from pooled p join strata s using (item_id) where p.arm in ({arms})),
 m as (select * from m0 where (label, stratum) in (
         select (label, stratum) from m0 group by label, stratum having min(y) = 0 and max(y) = 1)),
-""" + v.draws_sql("select entity_id as entity from m", B) + """,
+""" + v.draws_sql("select entity_id as entity from m", n_boot) + """,
 j as (select d.rep, d.w, arm, label, stratum, y, score from m join draws d on d.entity = m.entity_id),
 """ + concordance_sql("j", "rep, label, arm", "c") + "," + v.auroc_sql("j", "rep, label, arm", "a") + """,
 mw as (select rep, label, max(value) filter (arm = 'sig') as w_in, max(value) filter (arm = 'ctx') as b_in,
@@ -317,8 +317,7 @@ sp as (select rep, quantity, case when count(*) = 3 and min(ry) < max(ry) then c
        from rk group by rep, quantity)"""))
 def e21(spark, sf):
     pool = pooled_table(spark, sf)
-    both = [inf.horizon_trend(pool, HOURS, "ctx", "sig", q, "item_id", "entity_id", B) for q in ("delta", "ratio")]
-    out = both[0].unionByName(both[1])
+    out = inf.horizon_trend(pool, HOURS, "ctx", "sig", ["delta", "ratio"], "item_id", "entity_id", B)
     return out.select("quantity", *ci_cols(), "n_boot", "n_finite", "n_labels", "supported")
 
 
@@ -364,7 +363,7 @@ HOLM_OUT = """round(p_holm, 6) as p_holm, {m}::bigint as holm_family_size, prese
 
 
 @query("e23_holm", v.with_views("pooled", f"""
-select arm_a, arm_b, label, round(p_value, 6) as p_value, {HOLM_OUT.format(m=FAMILY, floor='0.01')} from hm""",
+select arm_a, arm_b, label, round(p_value, 6) as p_value, {HOLM_OUT.format(m=FAMILY, floor=2 / B)} from hm""",
        CONTRAST_CTES + "," + HOLM_SQL.format(order="arm_a, arm_b, label", source="ct", m=FAMILY)))
 def e23(spark, sf):
     out = inf.holm(contrast_table(pooled(spark, sf)), "p_value", FAMILY, B, order=["arm_a", "arm_b", "label"])
@@ -373,9 +372,9 @@ def e23(spark, sf):
 
 
 @query("e24_family_union", v.with_views("pooled strata", f"""
-select contrast, label, phase, round(p_value, 6) as p_value, {HOLM_OUT.format(m=FAMILY, floor='0.01')},
+select contrast, label, phase, round(p_value, 6) as p_value, {HOLM_OUT.format(m=FAMILY, floor=2 / B)},
        present = {FAMILY} as family_complete from hm""",
-       CONTRAST_CTES + ",\n" + matched_ctes("'sig'").replace("draws", "mdraws").replace(" j as", " mj as")
+       CONTRAST_CTES + ",\n" + matched_ctes("'sig'", B).replace("draws", "mdraws").replace(" j as", " mj as")
        .replace("\nj as", "\nmj as").replace("from j ", "from mj ").replace("a_h", "ma_h").replace("a_b ", "ma_b ")
        .replace("\na as (", "\nma as (").replace("c join a using", "c join ma using") + f""",
 md as ({v.summary_sql('(select *, w_in - w_all as value from mw)', 'label', B)}),
