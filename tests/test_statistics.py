@@ -274,3 +274,22 @@ def test_arms_with_different_rows_share_their_draws(spark):
         return {r.arm: (r.estimate, r.ci_lo, r.ci_hi) for r in out.collect()}
 
     assert ratio(["a", "b"])["a"] == ratio(["a"])["a"]
+
+
+def test_pairs_of_a_sensitivity_table_keep_their_own_rows(spark):
+    """Two pairs at once give what each gives alone, though one arm scored fewer items of the same entities."""
+    def rows(arm, items, step):
+        return [(arm, "h", i, i % 9, i // 9 % 2, ((i * step) % 11) / 11) for i in items]
+
+    table = spark.createDataFrame(rows("ref", range(90), 3) + rows("a", range(90), 5) + rows("b", range(45, 90), 7),
+                                  "arm string, label string, item_id long, entity long, y int, score double")
+
+    def got(pairs):
+        out = inf.arm_sensitivity(table, pairs, "ref", ["label"], "item_id", "entity", 30)
+        return {(r.question, r.quantity, r.arm): (r.estimate, r.ci_lo, r.ci_hi, r.n_items, r.declared_arm)
+                for r in out.collect()}
+
+    first, second = ("a", "ref", "one"), ("b", "a", "two")
+    both = got([first, second])
+    assert both == {**got([first]), **got([second])}
+    assert {v[3] for k, v in both.items() if k[0] == "two"} == {45}
